@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import language_id, quality_model
 from .common import crc_mod, table
+from .decontaminate import contaminated
 from .packing import pack
 from .quality_rules import quality_rules
 from .simhash import near_duplicates
@@ -18,6 +19,10 @@ from .url_filters import url_filters
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
