@@ -11,6 +11,7 @@ from . import language_id, quality_model
 from .common import crc_mod, table
 from .decontaminate import contaminated
 from .packing import pack
+from .pii import find_pii
 from .quality_rules import quality_rules
 from .simhash import near_duplicates
 from .url_filters import url_filters
@@ -61,6 +62,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
