@@ -14,6 +14,7 @@ from .packing import pack
 from .pii import find_pii
 from .quality_rules import quality_rules
 from .simhash import near_duplicates
+from .suffix_dedup import digest, remove_repeats
 from .url_filters import url_filters
 
 #: The rules of the registered query (fixed values): verdict, host, path.
@@ -66,6 +67,10 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
