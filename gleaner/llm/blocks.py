@@ -11,12 +11,13 @@ and a key that every block holds arrives once per block, not once per document.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, shuffle_partitions
@@ -64,7 +65,7 @@ def unpack_keys(steps: np.ndarray) -> np.ndarray:
     return np.cumsum(steps, dtype=steps.dtype)
 
 
-def make_blocks(rows: DataFrame, encode: Callable[[list[tuple]], bytes], columns: list[str], size_of: Callable[[tuple], int], label: str) -> DataFrame:
+def make_blocks(rows: DataFrame, encode: Callable[[list[tuple]], bytes], columns: list[str], size_of: Callable[[tuple], int], label: str, most: int = BLOCK_BYTES) -> DataFrame:
     """Written table (block, data) of the rows' columns, encoded block by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,7 +79,7 @@ def make_blocks(rows: DataFrame, encode: Callable[[list[tuple]], bytes], columns
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
                 n = size_of(row)
-                if held and size + n > BLOCK_BYTES:
+                if held and size + n > most:
                     yield one(held)
                     held, size = [], 0
                 held.append(row)
@@ -103,7 +104,16 @@ def exchange(blocks: DataFrame, earlier: list[DataFrame], ask: Ask, answer: Answ
             yield pa.RecordBatch.from_arrays([pa.array([r["block"] for r in rows], pa.int64()), pa.array([bucket] * len(rows), pa.int64()), pa.array(found, pa.binary())], ["block", "bucket", "data"])
 
     asked = per_block(blocks, earlier, questions, "block long, bucket long, data binary")
-    return materialize(asked.repartition(n, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(reduce, "block long, bucket long, data binary"), label)
+    out = materialize(asked.repartition(n, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(reduce, "block long, bucket long, data binary"), label)
+    del asked
+    release(blocks.sparkSession)
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished exchanges now rather than at its driver's next collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[dict]]]:
