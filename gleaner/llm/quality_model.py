@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WIDTH, EMBED, FILTERS, HIDDEN = 5, 8, 16, 12
 STRIDE = 128
@@ -172,14 +173,20 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 2400) -> ByteConvNet
     return ByteConvNet().fit([t.encode() for t in rows["text"]], np.array(rows["quality"]), sizes.get(1, 0) / max(total, 1))
 
 
-def score(docs: DataFrame, net: ByteConvNet) -> DataFrame:
-    """doc_id, score (probability of good quality) for every row."""
+def with_score(docs: DataFrame, net: ByteConvNet, name: str = "score") -> DataFrame:
+    """``docs`` with the probability of good quality in a new column ``name``."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
+    own = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = shared.value.score([b or b"" for b in batch.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.float64())], ["doc_id", "score"])
+            out = shared.value.score([b or b"" for b in batch.column(batch.num_columns - 1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64())], [*own, name])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    return docs.withColumn("_bytes", F.col("text").cast("string").cast("binary")).mapInArrow(run, schema)
 
-    ids = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, f"doc_id {ids}, score double")
+
+def score(docs: DataFrame, net: ByteConvNet) -> DataFrame:
+    """doc_id, score for every row."""
+    return with_score(docs.select("doc_id", "text"), net).select("doc_id", "score")
