@@ -41,13 +41,13 @@ def human_bytes(n: Column) -> Column:
     """1023 B, 1.5 KB, 12 MB: one decimal below ten, none for bytes."""
     unit = F.when(n >= 1 << 30, F.lit("GB")).when(n >= 1 << 20, F.lit("MB")).when(n >= 1 << 10, F.lit("KB")).otherwise("B")
     v = F.when(n >= 1 << 30, n / (1 << 30)).when(n >= 1 << 20, n / (1 << 20)).when(n >= 1 << 10, n / (1 << 10)).otherwise(n.cast("double"))
-    return F.when((v < 10) & (unit != "B"), F.format_string("%.1f %s", v, unit)).otherwise(F.format_string("%.0f %s", v, unit))
+    return F.when((v < 10) & (unit != "B"), F.format_string("%.1f %s", F.bround(v, 1), unit)).otherwise(F.format_string("%.0f %s", F.bround(v, 0), unit))
 
 
 def human_time(s: Column) -> Column:
     """12s, 5m, 4h 12m."""
     s = s.cast("long")
-    return F.when(s < 60, F.format_string("%ds", s)).when(s < 3600, F.format_string("%dm", F.expr("1") * F.floor(s / 60))).otherwise(F.format_string("%dh %dm", F.floor(s / 3600), F.floor((s % 3600) / 60)))
+    return F.when(s < 60, F.format_string("%ds", s)).when(s < 3600, F.format_string("%dm", F.floor(s / 60))).otherwise(F.format_string("%dh %dm", F.floor(s / 3600), F.floor((s % 3600) / 60)))
 
 
 def redact(value: Column, keep: int = 4) -> Column:

@@ -78,7 +78,7 @@ def _rows(docs: DataFrame, schema: str, make) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = [r for d in f.itertuples(index=False) for r in make(d, *parse(d.text, d.code))]
-            yield pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in names if c in ("src", "id", "doc_id", "line")})
+            yield pd.DataFrame(rows, columns=names, dtype=object).astype({c: "Int64" for c in names if c in ("src", "id", "doc_id", "line")})
 
     return docs.select("doc_id", "path", "text", lang.alias("code")).where("code is not null and text is not null").mapInPandas(run, schema)
 
