@@ -15,7 +15,7 @@ LIMIT, SEMANTIC_LIMIT = 400, 5
 _FILENAME = re.compile(fixed.FILENAME, re.I)
 _SHAPE = re.compile(r"[A-Za-z_]\w*\.[A-Za-z_]\w*|[A-Za-z_]\w*\([^)]*\)")
 _UNITS = {"": 0, "b": 0, "k": 1, "m": 2, "g": 3, "t": 4}
-_SIZE = r"\s*(\d+(?:\.\d+)?)\s*([kmgt]?i?b?)\b"
+_SIZE = r"\s*(\d+(?:\.\d+)?)(?![\d.])(?!\s*(?:sec|min|hour|day|week|month|year))(?:\s*([kmgt]i?b|[kmgtb])\b)?"
 _OVER = re.compile(r"(?:\b(?:over|larger than|bigger than|greater than|above)|>)" + _SIZE)
 _UNDER = re.compile(r"(?:\b(?:under|smaller than|less than|below)|<)" + _SIZE)
 _ABOUT = re.compile(r"\b(\d+(?:\.\d+)?)\s*(tb|gb|mb|kb)\b")
@@ -52,7 +52,7 @@ def exact_applies(query: str) -> bool:
 
 
 def _bytes(number: str, unit: str) -> int:
-    return int(float(number) * 1024 ** _UNITS[unit[:1] if unit[:1] in "kmgt" else ""])
+    return int(float(number) * 1024 ** _UNITS[(unit or "")[:1]])
 
 
 def _moment(word: str, number: str | None, unit: str | None, now: datetime, compat: bool) -> tuple[float, float | None]:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleaner.functions import fixed
 from gleaner.functions import text as X
@@ -64,7 +65,7 @@ def decode(content: bytes | None) -> str:
     return "\n".join(x if len(x) <= fixed.MAX_LINE_CHARS else x[: fixed.MAX_LINE_CHARS] + " …[line truncated]" for x in text.splitlines())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decoded(content: pd.Series) -> pd.Series:
     return content.map(decode)
 
