@@ -37,12 +37,15 @@ BLOCK = 1 << 18
 
 
 def _chunks(data: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Byte codes padded to whole strides, and the first stride of each text. starts: n + 1 offsets into ``data``."""
+    """Byte codes padded to whole strides, and the first stride of each text. starts: n + 1 offsets into ``data``.
+
+    WIDTH - 1 zeros stand before each text, so that no filter reaches from one text into the next.
+    """
     sizes = np.diff(starts)
-    strides = np.maximum(2, -(-sizes // STRIDE))
+    strides = np.maximum(2, -(-(sizes + WIDTH - 1) // STRIDE))
     first = np.concatenate([[0], np.cumsum(strides)])
     codes = np.zeros(first[-1] * STRIDE + WIDTH, np.uint8)
-    at = np.arange(len(data)) + np.repeat(first[:-1] * STRIDE - starts[:-1], sizes)
+    at = np.arange(len(data)) + np.repeat(first[:-1] * STRIDE + WIDTH - 1 - starts[:-1], sizes)
     codes[at] = np.frombuffer(data, np.uint8)
     return codes, first
 

@@ -44,6 +44,7 @@ def test_against_brute_force(spark, monkeypatch):
     for seed, piece in ((1, 1 << 19), (2, 97)):
         monkeypatch.setattr(S, "PIECE", piece)
         monkeypatch.setattr(S, "BUCKET_BYTES", 3000)
+        monkeypatch.setattr(S, "AT_ONCE", 500)
         rows = corpus(seed)
         frame = spark.createDataFrame([(d, t, "kept", 1) for d, t in rows], "doc_id long, text string, kept string, n_bytes int").repartition(3)
         got = S.digest(S.remove_repeats(frame)).collect()
