@@ -152,3 +152,14 @@ def ranked(hits: DataFrame, backend: str, weight: float = 1.0) -> DataFrame:
     """A backend's cut list as (backend, doc_id, pos, weight, score); the one task that numbers it reads ``limit`` rows."""
     order = Window.orderBy(F.desc(F.round("score", 9)), "doc_id")
     return hits.select(F.lit(backend).alias("backend"), "doc_id", (F.row_number().over(order) - 1).alias("pos"), F.lit(weight).alias("weight"), F.col("score").cast("double").alias("score"))
+
+
+def explain_empty(docs: DataFrame, filters: dict) -> DataFrame:
+    """For each filter alone, how many files pass it, and the largest file: why a filter search found nothing."""
+    passes = {k: _passes(k, v) for k, v in filters.items() if k in ("min_bytes", "max_bytes", "since", "until", "ext")}
+    files = docs.where(~F.col("is_dir"))
+    return files.agg(F.count("*").alias("files"), F.max("size").alias("largest"), *(F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(f"passes_{k}") for k, c in passes.items()))
+
+
+def _passes(kind: str, value) -> Column:
+    return {"min_bytes": F.col("size") >= value, "max_bytes": F.col("size") <= value, "since": F.col("mtime") >= value, "until": F.col("mtime") < value, "ext": F.lower("path").endswith(str(value))}[kind]

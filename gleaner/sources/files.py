@@ -101,4 +101,7 @@ def write_json(hits: DataFrame, path: str) -> None:
     hits.write.mode("overwrite").json(path)
 
 
-__all__ = ["admission", "decode", "directories", "extract", "ingest", "listing", "write_json"]
+def contents(spark: SparkSession, ledger: DataFrame, root: str, most: int = 48 << 20) -> DataFrame:
+    """path, size, text of skipped files of at most ``most`` bytes, for search.grep."""
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("length") <= most)
+    return read.join(ledger.select("path"), "path", "left_semi").select("path", F.col("length").alias("size"), decoded(F.col("content")).alias("text"))

@@ -1,6 +1,7 @@
 import math
 
 import pytest
+from gleaner.functions import embed
 from gleaner.functions import text as X
 from gleaner.operators import graph, maintenance
 from gleaner.operators import search as S
@@ -105,6 +106,7 @@ def test_ingest_of_a_directory(spark, tmp_path):
     assert {(r.path.rsplit("/", 1)[1], r.lang, r.n_lines) for r in docs.collect()} == {("n.md", "markdown", 2), ("none", "text", 1)}
     assert {(r.path.rsplit("/", 1)[1], r.reason) for r in skipped.collect()} == {("x.so", "binary_ext"), ("bin", "unknown_ext"), ("blank.txt", "no_text_content"), ("big.txt", "too_large"), ("p.pdf", "media")}
     assert files.ingest(spark, str(tmp_path), known=docs)[0].count() == 0
+    assert [r.path.rsplit("/", 1)[1] for r in S.grep(files.contents(spark, skipped, str(tmp_path)), "A\0B").collect()] == ["bin"]
 
 
 def test_stream_upserts_by_path(spark, tmp_path):
@@ -118,6 +120,16 @@ def test_stream_upserts_by_path(spark, tmp_path):
     assert got == [(1, "a", "new"), (2, "b", "same"), (3, "c", "more")]
 
 
+def test_vectors_resume_by_document(spark, docs):
+    stored = embed.chunk_vectors(docs).select("doc_id", "fingerprint", "policy").distinct()
+    now = docs.withColumn("text", F.when(F.col("doc_id") == 1, "changed").otherwise(F.col("text")))
+    marks = now.select("doc_id", X.fingerprint(F.col("mtime"), F.col("text")).alias("fingerprint"))
+    plan = {r.doc_id: r.action for r in maintenance.resume_plan(marks, stored, embed.policy_version()).collect()}
+    assert plan == {0: "keep", 1: "embed", 2: "keep"}
+    hits, _ = Engine(docs, embed.chunk_vectors(docs).where("off >= 0"), embed.embed_query).search("what is the quick fox")
+    assert hits.first().doc_id == 0
+
+
 def test_rerank_moves_only_the_head(spark):
     hits = spark.createDataFrame([(i, i) for i in range(5)], "doc_id long, pos int")
     scores = spark.createDataFrame([(0, 0.1), (1, 0.9), (2, 0.5)], "doc_id long, rerank_score double")
