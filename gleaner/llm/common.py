@@ -25,7 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     base = f"/tmp/checkpoints/gleaner-{os.getuid()}"
     os.makedirs(base, exist_ok=True)
