@@ -25,8 +25,10 @@ ignored.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -44,35 +46,61 @@ WORDS = 300_000
 #: Pieces of one length that one window partition ranks, about.
 BUCKET_ROWS = 2000
 _ODD = re.compile("[\x1c-\x1f]")
+_LATIN = re.compile("([a-zß-öø-ÿ]+)([.,]?)")
 
 
 class WordTokenizer:
-    """Ids of whole texts as little-endian 32-bit integers."""
+    """Ids of whole texts as little-endian 32-bit integers.
+
+    Words of Latin letters, with or without a full stop or comma behind, go
+    straight to the tokenizer's BPE model: its normalizer leaves them as they are
+    but for case, and its pre-tokenizer cuts off the mark alone. Other words are
+    encoded in full, many in one call, between zeros that tell them apart.
+    """
 
     def __init__(self, path: str):
-        import os
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.spelled = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.marks = {m: self._encode(m) for m in ".,"}
+        self.zero = int(np.frombuffer(self._encode("0"), "<u4")[0])
         self.known: dict[str, bytes] = {}
-        self.mark_text, self.mark = "<|endoftext|>", self.tokenizer.token_to_id("<|endoftext|>")
 
     def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > WORDS:
-            self.known.clear()
-        plain = [w for w in words if "<|" not in w and self.mark is not None]
-        for w in words.difference(plain):
-            self.known[w] = self._encode(w)
-        for a in range(0, len(plain), 512):
-            part = plain[a : a + 512]
-            ids = np.array(self.tokenizer.encode(f" {self.mark_text} ".join(part), add_special_tokens=False).ids, "<u4")
-            for w, own in zip(part, np.split(ids, np.flatnonzero(ids == self.mark)), strict=True):
-                self.known[w] = own[own != self.mark].tobytes()
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def _letters(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(word if word.isascii() else self.spelled(word)[0][0])]).tobytes()
+
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words not known yet; remembered while there is room."""
+        new: dict[str, bytes] = {}
+        rest = []
+        for w in words:
+            if m := _LATIN.fullmatch(w.lower()):
+                bare, mark = m.groups()
+                ids = self.known.get(bare) or new.get(bare)
+                if ids is None:
+                    ids = new[bare] = self._letters(bare)
+                new[w] = ids + self.marks[mark] if mark else ids
+            elif "0" in w or "<|" in w:
+                new[w] = self._encode(w)
+            else:
+                rest.append(w)
+        for a in range(0, len(rest), 512):
+            part = rest[a : a + 512]
+            data = self._encode(" 0 ".join(part))
+            ends = [*(np.flatnonzero(np.frombuffer(data, "<u4") == self.zero) * 4).tolist(), len(data)]
+            at = 0
+            for w, end in zip(part, ends, strict=True):
+                new[w] = data[at:end]
+                at = end + 4
+        if len(self.known) < WORDS:
+            self.known.update(new)
+        return new
 
     def ids(self, text: str) -> bytes:
         if _ODD.search(text):
@@ -81,13 +109,9 @@ class WordTokenizer:
         try:
             return b"".join(map(self.known.__getitem__, words))
         except KeyError:
-            missing = {w for w in words if w not in self.known}
-            if len(missing) > WORDS // 2:
-                return self._encode(text)
-            if len(self.known) + len(missing) > WORDS:
-                missing = set(words)
-            self._learn(missing)
-            return b"".join(map(self.known.__getitem__, words))
+            known = self.known
+            new = self._learn({w for w in words if w not in known})
+            return b"".join([new[w] if w in new else known[w] for w in words])
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, length: int) -> DataFrame:
