@@ -44,7 +44,7 @@ END_ID = 1
 #: Words a worker remembers.
 WORDS = 300_000
 #: Pieces of one length that one window partition ranks, about.
-BUCKET_ROWS = 2000
+BUCKET_ROWS = 500
 _ODD = re.compile("[\x1c-\x1f]")
 _LATIN = re.compile("([a-zß-öø-ÿ]+)([.,]?)")
 
