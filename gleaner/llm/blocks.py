@@ -65,10 +65,19 @@ def unpack_keys(steps: np.ndarray) -> np.ndarray:
     return np.cumsum(steps, dtype=steps.dtype)
 
 
+def lean() -> None:
+    """Have a worker's C library hand freed arrays back to the system at once, where it can."""
+    import ctypes
+
+    if hasattr(libc := ctypes.CDLL(None), "mallopt"):
+        libc.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD, fixed
+
+
 def make_blocks(rows: DataFrame, encode: Callable[[list[tuple]], bytes], columns: list[str], size_of: Callable[[tuple], int], label: str, most: int = BLOCK_BYTES) -> DataFrame:
     """Written table (block, data) of the rows' columns, encoded block by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         rng = np.random.default_rng()
 
         def one(held: list[tuple]) -> pa.RecordBatch:
@@ -99,6 +108,7 @@ def exchange(blocks: DataFrame, earlier: list[DataFrame], ask: Ask, answer: Answ
             yield block, bucket, payload
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for bucket, rows in _groups(batches, "bucket"):
             found = answer([r["data"] for r in rows])
             yield pa.RecordBatch.from_arrays([pa.array([r["block"] for r in rows], pa.int64()), pa.array([bucket] * len(rows), pa.int64()), pa.array(found, pa.binary())], ["block", "bucket", "data"])
@@ -145,6 +155,7 @@ def per_block(blocks: DataFrame, earlier: list[DataFrame], make: Callable[[int,
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             for row in batch.to_pylist():
                 yield from send(make(row["block"], row["data"], []))
@@ -152,6 +163,7 @@ def per_block(blocks: DataFrame, earlier: list[DataFrame], make: Callable[[int,
     steps = len(earlier)
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for block, rows in _groups(batches, "block"):
             known: list[dict[int, bytes]] = [{} for _ in range(steps)]
             for r in rows[1:]:

@@ -40,7 +40,9 @@ SPREAD = LENGTH - GRAM + 1  # grams in a window
 CONTEXT = LENGTH + SPREAD - 1  # bytes that windows with one anchor can reach
 SHALLOW, TRIE = 16, 32  # depth in bytes before tries, and suffixes in a trie at most
 #: Positions scanned at a time, and text bytes for which there is one bucket.
-PIECE, BUCKET_BYTES = 1 << 19, 8 << 20
+PIECE, BUCKET_BYTES = 1 << 18, 8 << 20
+#: Suffixes sorted at a time, and suffixes in tries that grow together.
+AT_ONCE, TOGETHER = 300_000, 16_384
 NO_ID = (1 << 63) - 1
 U = np.uint64
 _MIX = U(0x9E3779B97F4A7C15)
@@ -226,11 +228,15 @@ def sort_suffixes(text: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.nd
         size = np.bincount(group)[group]
         alone.append(order[size == 1])
         tries = (size > 1) & (size <= TRIE) & (depth >= SHALLOW)
-        if tries.any():
-            picked, own = order[tries], group[tries]
-            leaf = _blind_tries(text, base[picked], own, depth)
-            done.append((picked, leaf + classes))
-            classes += int(leaf.max()) + 1
+        low = 1
+        for width in (TRIE // 8, TRIE // 4, TRIE):  # tries of about one size share a table
+            own = np.flatnonzero(tries & (size > low) & (size <= width))
+            low = width
+            for part in _whole_groups(group[own]):
+                picked = order[own[part]]
+                leaf = _blind_tries(text, base[picked], group[own[part]], depth, width)
+                done.append((picked, leaf + classes))
+                classes += int(leaf.max()) + 1
         rest = (size > 1) & ~tries
         order, group = order[rest], group[rest]
         if not len(order):
@@ -249,6 +255,16 @@ def sort_suffixes(text: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate([single, *(o for o, _ in done)]), np.concatenate([np.full(len(single), -1), *(c for _, c in done)])
 
 
+def _whole_groups(group: np.ndarray) -> Iterator[slice]:
+    """Runs of about TOGETHER rows that end where a group does."""
+    at = 0
+    while at < len(group):
+        end = min(at + TOGETHER, len(group))
+        end = int(np.searchsorted(group, group[end - 1], "right"))
+        yield slice(at, end)
+        at = end
+
+
 def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
     """Length of the common prefix of suffixes known to share ``depth`` bytes."""
     lcp = np.full(len(a), LENGTH)
@@ -265,7 +281,7 @@ def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.nd
     return lcp
 
 
-def _blind_tries(text: np.ndarray, base: np.ndarray, group: np.ndarray, depth: int) -> np.ndarray:
+def _blind_tries(text: np.ndarray, base: np.ndarray, group: np.ndarray, depth: int, width: int) -> np.ndarray:
     """Leaf number of each suffix: tries of all groups grow together, a leaf a round.
 
     A trie is its leaves in order and the depths at which neighbours part. The
@@ -273,9 +289,9 @@ def _blind_tries(text: np.ndarray, base: np.ndarray, group: np.ndarray, depth: i
     """
     head = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     trie = np.repeat(np.arange(len(head)), np.diff(np.r_[head, len(group)]))
-    leaves = np.zeros((len(head), TRIE), np.int64)
-    parts = np.zeros((len(head), TRIE), np.int64)
-    number = np.zeros((len(head), TRIE), np.int64)
+    leaves = np.zeros((len(head), width), np.int64)
+    parts = np.zeros((len(head), width), np.int64)
+    number = np.zeros((len(head), width), np.int64)
     used = np.ones(len(head), np.int64)
     leaves[:, 0] = base[head]
     number[:, 0] = np.arange(len(head))
@@ -301,7 +317,7 @@ def _blind_tries(text: np.ndarray, base: np.ndarray, group: np.ndarray, depth: i
             break
         first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])  # one new leaf for each trie that needs one
         g, y, j, depth_at = t[first], x[first], best[first], lcp[first]
-        column = np.arange(TRIE)
+        column = np.arange(width)
         within = column < used[g, None]
         apart = (parts[g] < depth_at[:, None]) & within  # neighbours that part above the new leaf's branch
         low = np.where(apart & (column <= j[:, None]) & (column > 0), column, 0).max(axis=1)
@@ -310,14 +326,14 @@ def _blind_tries(text: np.ndarray, base: np.ndarray, group: np.ndarray, depth: i
         own = text[leaves[g] + depth_at[:, None]]
         larger = (column >= low[:, None]) & (column < high[:, None]) & (own > byte[:, None])
         spot = np.where(larger, column, high[:, None]).min(axis=1)
-        before = parts[g, np.minimum(spot, TRIE - 1)]
+        before = parts[g, np.minimum(spot, width - 1)]
         moved = np.where(column > spot[:, None], column - 1, column)
         rows = g[:, None]
         leaves[g], parts[g], number[g] = leaves[rows, moved], parts[rows, moved], number[rows, moved]
         leaves[g, spot] = y
         number[g, spot] = np.arange(total, total + len(g))
         parts[g, spot] = np.where(spot == low, before, depth_at)
-        inside = (spot < high) & (spot + 1 < TRIE)
+        inside = (spot < high) & (spot + 1 < width)
         parts[g[inside], spot[inside] + 1] = depth_at[inside]
         used[g] += 1
         out[left[first]] = number[g, spot]
@@ -327,19 +343,38 @@ def _blind_tries(text: np.ndarray, base: np.ndarray, group: np.ndarray, depth: i
 
 
 def answer_windows(asked: list[bytes]) -> list[bytes]:
-    """For each record: a bit for each window in turn that a document before the record's own has."""
+    """For each record: a bit for each window in turn that a document before the record's own has.
+
+    Records are taken in turns of about AT_ONCE windows; those with one anchor share a turn.
+    """
     ids, records = [], []
     for data in asked:
         a, r = unpack_arrays(data)
         ids.append(a)
         records.append(r.reshape(-1, CONTEXT + 2))
     doc, rec = np.concatenate(ids), np.concatenate(records)
+    del records
     lo, n = rec[:, CONTEXT].astype(np.int64), rec[:, CONTEXT + 1].astype(np.int64) - rec[:, CONTEXT] + 1
-    text = np.zeros(len(rec) * CONTEXT + 8, np.uint8)
-    text[:-8] = rec[:, :CONTEXT].reshape(-1)
-    own = np.repeat(np.arange(len(rec)), n)
     start = np.cumsum(n) - n
-    base = own * CONTEXT + np.repeat(lo - start, n) + np.arange(n.sum())
+    hit = np.zeros(int(n.sum()), np.uint8)
+    anchor = np.ascontiguousarray(rec[:, SPREAD - 1 : SPREAD + 7]).view("<u8").reshape(-1) * _MIX
+    turns = -(-len(hit) // AT_ONCE)
+    turn = ((anchor >> U(40)).astype(np.int64) * turns) >> 24
+    for k in range(turns):
+        own = np.flatnonzero(turn == k)
+        if len(own):
+            m = n[own]
+            place = np.repeat(start[own] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            hit[place] = _repeats(rec[own, :CONTEXT], doc[own], lo[own], m)
+    ends = np.cumsum([int(n[a:b].sum()) for a, b in _spans(ids)])[:-1]
+    return [pack_arrays(np.packbits(x)) for x in np.split(hit, ends)]
+
+
+def _repeats(rec: np.ndarray, doc: np.ndarray, lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    text = np.zeros(rec.size + 8, np.uint8)
+    text[:-8] = rec.reshape(-1)
+    own = np.repeat(np.arange(len(rec)), n)
+    base = own * CONTEXT + np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
     order, of = sort_suffixes(text, base)
     hit = np.zeros(len(base), np.uint8)
     met = of >= 0
@@ -349,10 +384,7 @@ def answer_windows(asked: list[bytes]) -> list[bytes]:
         least = np.full(int(of.max()) + 1, NO_ID)
         np.minimum.at(least, of, ids_of)
         hit[order] = least[of] < ids_of
-    out = []
-    for a, b in zip(*(lambda e: (e[:-1], e[1:]))(np.concatenate([[0], np.cumsum([n[k0:k1].sum() for k0, k1 in _spans(ids)])])), strict=True):
-        out.append(pack_arrays(np.packbits(hit[a:b])))
-    return out
+    return hit
 
 
 def _spans(parts: list[np.ndarray]) -> list[tuple[int, int]]:
