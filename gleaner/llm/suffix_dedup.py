@@ -83,6 +83,13 @@ def gram_hashes(text: np.ndarray) -> np.ndarray:
     return h
 
 
+def _spread(h: np.ndarray) -> np.ndarray:
+    """One to one, and even: anchors are least hashes, which crowd the low end."""
+    h = (h ^ (h >> U(31))) * U(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> U(27))) * U(0x94D049BB133111EB)
+    return h ^ (h >> U(31))
+
+
 def anchors(offsets: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """place, hash, first and last window start of each anchor, over windows inside one document, by place."""
     places, hashes, firsts, lasts = [], [], [], []
@@ -107,7 +114,7 @@ def anchors(offsets: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarr
         head = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)])
         tail = np.r_[head[1:], len(at)] - 1
         places.append(at[head] + begin)
-        hashes.append(h[at[head]])
+        hashes.append(_spread(h[at[head]]))
         firsts.append(start[head])
         lasts.append(start[tail])
     if not places:
