@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import bucket_count, exchange, make_blocks, pack_arrays, pack_keys, per_block, unpack_arrays, unpack_keys
+from .blocks import bucket_count, exchange, make_blocks, pack_arrays, pack_keys, per_block, release, unpack_arrays, unpack_keys
 from .common import discard, materialize
 
 #: Counts up to K are discounted.
@@ -286,7 +286,7 @@ def split_two(data: bytes) -> tuple[bytes, bytes]:
 
 def finish(buckets: int):
     def make(block: int, data: bytes, known: list[dict[int, bytes]]) -> Iterator[tuple]:
-        ids, learn, sizes, n_known, base, part, doc, at, kind, times, steps, c = unpack_arrays(split_two(data)[0])
+        ids, learn, sizes, n_known, base, part, doc, at, kind, times, steps, c = unpack_arrays(data)
         histories = unpack_keys(steps)
         weight = np.ones(len(histories))
         for bucket, s in slices(histories, buckets).items():
@@ -314,10 +314,11 @@ def score(docs: DataFrame) -> DataFrame:
     model = Model(totals(words), totals(pairs))
     schema = "block long, waiting binary, sums binary"
     sized = lambda c: F.unhex(F.concat(*(F.substring(F.lpad(F.hex(F.length(c)), 16, "0"), i, 2) for i in range(15, 0, -2))))
-    open_ = per_block(blocks, [words, pairs], evaluate(model, nw, np_), schema).select("block", F.concat(sized("waiting"), "waiting", "sums").alias("data"))
-    open_ = materialize(open_, "open_scores")
+    open_ = materialize(per_block(blocks, [words, pairs], evaluate(model, nw, np_), schema), "open_scores")
     for t in (blocks, words, pairs):
         discard(t)
-    weights = exchange(open_, [], ask_weights(nw), answer_weights(model), "backoff_weights")
-    out = per_block(open_, [weights], finish(nw), "doc_id long, learn boolean, n_tokens long, n_known long, base_score double, score double")
+    release(docs.sparkSession)
+    both = open_.select("block", F.concat(sized("waiting"), "waiting", "sums").alias("data"))
+    weights = exchange(both, [], ask_weights(nw), answer_weights(model), "backoff_weights")
+    out = per_block(open_.select("block", F.col("waiting").alias("data")), [weights], finish(nw), "doc_id long, learn boolean, n_tokens long, n_known long, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(model.n).cast("long"))
