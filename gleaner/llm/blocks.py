@@ -66,11 +66,12 @@ def unpack_keys(steps: np.ndarray) -> np.ndarray:
 
 
 def lean() -> None:
-    """Have a worker's C library hand freed arrays back to the system at once, where it can."""
+    """Have a worker's C library hand large freed arrays back to the system at once, where it can; smaller ones are used again."""
     import ctypes
 
     if hasattr(libc := ctypes.CDLL(None), "mallopt"):
-        libc.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD, fixed
+        libc.mallopt(-3, 16 << 20)  # M_MMAP_THRESHOLD, fixed
+        libc.mallopt(-1, 64 << 20)  # M_TRIM_THRESHOLD
 
 
 def make_blocks(rows: DataFrame, encode: Callable[[list[tuple]], bytes], columns: list[str], size_of: Callable[[tuple], int], label: str, most: int = BLOCK_BYTES) -> DataFrame:
