@@ -20,6 +20,7 @@ letter is ``und``; further input columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -82,37 +83,35 @@ def fit(rows: DataFrame, per_language: int = 1200) -> LanguageModel:
     picked = rows.where(unit < F.try_element_at(share, F.col("lang"))).select("lang", "text")
     words = F.regexp_extract_all(F.lower("text"), F.lit("\\p{L}+"), F.lit(0))
     counts = picked.select("lang", F.explode(words).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    table = counts.toArrow().to_pydict()
-    number = {k: i for i, k in enumerate(langs)}
-
-    def vectors_of(pairs: Iterator[tuple[str, int, int]], at: int) -> tuple[dict[str, int], np.ndarray]:
-        """A row number from ``at`` on for each key seen twice, and log frequencies with half a count for unseen ones."""
-        names: dict[str, int] = {}
-        keys, cols, ns = [], [], []
-        for key, lang, n in pairs:
-            keys.append(names.setdefault(key, len(names)))
-            cols.append(lang)
-            ns.append(n)
-        c = np.zeros((len(names), len(langs)))
-        np.add.at(c, (keys, cols), ns)
-        sums = c.sum(axis=0)
-        often = np.flatnonzero(c.sum(axis=1) >= 2)
-        new = np.full(len(names), -1)
-        new[often] = np.arange(len(often)) + at
-        logs = np.log((c[often] + 0.5) / (sums + 0.5 * len(names) + 1))
-        return {k: int(new[i]) for k, i in names.items() if new[i] >= 0}, logs
-
-    def grams() -> Iterator[tuple[str, int, int]]:
-        for word, lang in zip(table["word"], table["lang"], strict=True):
+    found = counts.toArrow()
+    words_of: dict[str, dict[str, int]] = {k: {} for k in langs}
+    for lang, word, n in zip(*(found.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
+        words_of[lang][word] = n
+    grams_of = {k: Counter() for k in langs}
+    for k in langs:
+        for word in words_of[k]:
             marked = f"^{word}$"
-            for n in range(1, LONGEST + 1):
-                for i in range(len(marked) - n + 1):
-                    yield marked[i : i + n], number[lang], 1
-
-    known, a = vectors_of(((w, number[k], n) for w, k, n in zip(table["word"], table["lang"], table["n"], strict=True)), 0)
-    parts, b = vectors_of(grams(), len(a))
+            grams_of[k].update(marked[i : i + n] for n in range(1, LONGEST + 1) for i in range(len(marked) - n + 1))
+
+    def vectors_of(by_lang: dict[str, dict[str, int]], at: int) -> tuple[dict[str, int], np.ndarray]:
+        """A row number from ``at`` on for each key seen twice in all, and log frequencies with half a count for unseen ones."""
+        total = Counter()
+        for own in by_lang.values():
+            total.update(own)
+        rows = {k: i for i, k in enumerate(sorted(k for k, n in total.items() if n >= 2))}
+        c = np.zeros((len(rows), len(langs)))
+        for j, k in enumerate(langs):
+            for key, n in by_lang[k].items():
+                if (i := rows.get(key)) is not None:
+                    c[i, j] = n
+        sums = np.array([sum(by_lang[k].values()) for k in langs])
+        logs = np.log((c + 0.5) / (sums + 0.5 * len(total) + 1))
+        return {k: i + at for k, i in rows.items()}, logs.astype(np.float32)
+
+    known, a = vectors_of(words_of, 0)
+    parts, b = vectors_of(grams_of, len(a))
     prior = np.log(np.array([sizes[k] for k in langs]) / sum(sizes.values()))
-    return LanguageModel(langs, prior, known, parts, np.concatenate([a, b]).astype(np.float32))
+    return LanguageModel(langs, prior, known, parts, np.concatenate([a, b]))
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
