@@ -20,6 +20,8 @@ from gleaner.llm.simhash import near_duplicates
 
 #: SQL for the rows of ``run``: none, the stages learn, hash and align.
 ORACLE_SQL = None
+#: Near duplicates share this part of their shingles of so many words; their fingerprints are looked for within the radius.
+NEAR_SHINGLE, NEAR_SIMILARITY, NEAR_RADIUS = 5, 0.8, 20
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -36,7 +38,7 @@ def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each near-duplicate group, once; rows without doc_id stay."""
-    groups = materialize(near_duplicates(docs.select("doc_id", "text")), "near_duplicates")
+    groups = materialize(near_duplicates(docs.select("doc_id", "text"), NEAR_RADIUS, NEAR_SHINGLE, NEAR_SIMILARITY), "near_duplicates")
     kept = _without(docs, groups.where("doc_id != component_id").select("doc_id"))
     repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
     if repeated:

@@ -42,29 +42,35 @@ U = np.uint64
 ALL = U(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprint(text: bytes | None) -> int:
-    """SimHash over 3-word shingles of a UTF-8 text: a bit is set if it is in over half of the shingles' hashes."""
-    words = text.lower().split() if text else []
-    if not words:
-        return 0
+def shingles(words: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
+    """Hash of each shingle of so many words; fewer words are one shingle."""
     joined = b" ".join(words)
-    if len(words) <= SHINGLE:
-        return xxhash.xxh64_intdigest(joined, SEED)
+    if len(words) <= shingle:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)] if words else [], "<u8")
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
     ends = np.cumsum(sizes) - 1
-    starts = (ends - sizes + 1)[: 1 - SHINGLE].tolist()
+    starts = (ends - sizes + 1)[: len(words) - shingle + 1].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :].tolist(), strict=True)], "<u8")
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], "<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """A bit is set if it is in over half of the hashes."""
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * bits > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    """SimHash over the word shingles of a UTF-8 text."""
+    return majority(shingles(text.lower().split() if text else [], shingle))
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], U).view(np.int64)
+            out = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], U).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out)], ["doc_id", "fp"])
 
     ids = docs.schema["doc_id"].dataType.simpleString()
@@ -116,29 +122,33 @@ def links(run: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[np.nd
     todo = np.repeat(words, sizes) - place // 64
     ends = np.cumsum(todo)
     root = np.arange(len(fps))
+    # Counters begin so high that a lane overflows at radius + 1 differences.
+    levels = radius.bit_length()
+    spare = (1 << levels) - 1 - radius
+    tasks = TASKS if radius <= RADIUS else TASKS // 8  # with a wide radius most lanes of a block can hit
     at = 0
     while at < len(rows):
-        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TASKS, "right")))
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + tasks, "right")))
         n = todo[at:upto]
         who = np.repeat(np.arange(at, upto), n)
         step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         where = word[who] + step
         later = np.where(step == 0, ~((U(2) << lane[who]) - U(1)), ALL)
         over = ~(later & filled[where])
-        bits, ones, twos = q[who], np.zeros(len(who), U), np.zeros(len(who), U)
+        bits, counters = q[who], [np.full(len(who), ALL if spare >> i & 1 else U(0)) for i in range(levels)]
         for k in range(BITS):
             if k % 8 == 0:
                 alive = over != ALL
                 if not alive.all():
-                    who, where, over, bits, ones, twos = (x[alive] for x in (who, where, over, bits, ones, twos))
+                    who, where, over, bits, *counters = (x[alive] for x in (who, where, over, bits, *counters))
             if not len(who):
                 break
-            d = planes[k][where] ^ (U(0) - ((bits >> U(k)) & U(1)))
-            carry = ones & d
-            ones ^= d
-            over |= twos & carry
-            twos ^= carry
-        hit = ~over & {0: ~(ones | twos), 1: ~twos, 2: ~(ones & twos), 3: ~U(0)}[radius]
+            carry = planes[k][where] ^ (U(0) - ((bits >> U(k)) & U(1)))
+            for c in counters:
+                c ^= carry
+                carry &= ~c
+            over |= carry
+        hit = ~over
         some = np.flatnonzero(hit)
         if len(some):
             lit = np.unpackbits(hit[some].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -149,14 +159,14 @@ def links(run: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[np.nd
     return moved, root[moved]
 
 
-def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def linked(batches: Iterator[pa.RecordBatch], radius: int = RADIUS) -> Iterator[pa.RecordBatch]:
     """(bucket, part, fp) rows sorted by bucket and part -> links (u, v) between fingerprints."""
     kept: list[tuple[np.ndarray, ...]] = []
 
     def emit(cols: tuple[np.ndarray, ...]) -> pa.RecordBatch:
         change = np.r_[False, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])]
         fps = cols[3].view(U)
-        a, b = links(np.cumsum(change), fps)
+        a, b = links(np.cumsum(change), fps, radius)
         return pa.RecordBatch.from_arrays([pa.array(cols[3][a]), pa.array(cols[3][b])], ["u", "v"])
 
     for batch in batches:
@@ -172,26 +182,50 @@ def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit(tuple(map(np.concatenate, zip(*kept, strict=True))))
 
 
-def fingerprint_links(distinct: DataFrame) -> DataFrame:
-    """Links (u, v) that connect all fingerprints (column fp, distinct) at most RADIUS bits apart."""
-    keys = F.array(*(F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bucket")) for i, m in enumerate(block_masks())))
-    dealt = distinct.select("fp", F.explode(keys).alias("k")).select("k.choice", "k.bucket", "fp")
-    hot = materialize(dealt.groupBy("choice", "bucket").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET_ROWS), "hot_buckets")
-    own, parts = F.pmod(F.xxhash64("fp"), F.col("parts")), F.ceil(F.coalesce("n", F.lit(0)) / BUCKET_ROWS)
+def salted(rows: DataFrame, own, parts) -> DataFrame:
+    """Each row once for every pair of parts (``own`` of ``parts``) that its part is in, numbered by ``part``."""
+    held = rows.withColumn("parts", F.greatest(parts, F.lit(1)).cast("long")).withColumn("own", F.pmod(own, F.col("parts")))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda j: F.least(j, F.col("own")) * F.col("parts") + F.greatest(j, F.col("own")))
-    salted = dealt.join(hot, ["choice", "bucket"], "left").withColumn("parts", F.greatest(parts, F.lit(1))).withColumn("own", own)
-    rows = salted.select("choice", "bucket", F.explode(pairs).alias("part"), "fp")
-    n = shuffle_partitions(distinct.sparkSession)
-    return rows.repartition(n, "choice", "bucket", "part").sortWithinPartitions("choice", "bucket", "part").mapInArrow(linked, "u long, v long")
+    return held.withColumn("part", F.explode(pairs))
+
+
+def bucket_links(dealt: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Links (u, v) that connect the fingerprints of each bucket (choice, bucket, fp) at most ``radius`` bits apart."""
+    hot = materialize(dealt.groupBy("choice", "bucket").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET_ROWS), "hot_buckets")
+    parts = F.ceil(F.coalesce("n", F.lit(0)) / BUCKET_ROWS)
+    rows = salted(dealt.join(hot, ["choice", "bucket"], "left"), F.xxhash64("fp"), parts).select("choice", "bucket", "part", "fp")
+    n = shuffle_partitions(dealt.sparkSession)
+    return rows.repartition(n, "choice", "bucket", "part").sortWithinPartitions("choice", "bucket", "part").mapInArrow(lambda b: linked(b, radius), "u long, v long")
+
+
+def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Links (u, v) that connect all fingerprints (column fp, distinct) at most ``radius`` bits apart."""
+    masks = block_masks(blocks=max(BLOCKS, radius + 2), radius=radius)
+    keys = F.array(*(F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bucket")) for i, m in enumerate(masks)))
+    return bucket_links(distinct.select("fp", F.explode(keys).alias("k")).select("k.choice", "k.bucket", "fp"), radius)
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id of the group) for every row.
+
+    With ``similarity`` documents are linked whose sets of shingles have at least that Jaccard similarity
+    (``verified.py``), and ``radius`` only says how far apart the fingerprints of those compared can be.
+    """
+    if similarity is not None:
+        from .verified import known_groups
+
+        prints, known, key = *known_groups(docs, radius, shingle, similarity), "node"
+    else:
+        prints, key = materialize(fingerprints(docs, shingle), "fingerprints"), "fp"
+        classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprint_classes")
+        found = materialize(fingerprint_links(classes.select("fp"), radius), "fingerprint_links")
+        known = components(classes, found, "fp")
+    return prints.join(known, key).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id of the group) for every row."""
-    prints = materialize(fingerprints(docs), "fingerprints")
-    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprint_classes")
-    found = materialize(fingerprint_links(classes.select("fp")), "fingerprint_links")
+def components(classes: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """``key``, component_id: the least first_id of the classes (key, first_id) that the links ``found`` connect."""
     groups = materialize(connected_components(found), "fingerprint_groups")
-    labelled = classes.join(groups, classes["fp"] == groups["node"], "left").select("fp", "first_id", F.coalesce("component", "fp").alias("group"))
+    labelled = classes.join(groups.withColumnRenamed("node", key), key, "left").select(key, "first_id", F.coalesce("component", key).alias("group"))
     least = labelled.groupBy("group").agg(F.min("first_id").alias("component_id"))
-    known = materialize(labelled.join(least, "group").select("fp", "component_id"), "fingerprint_components")
-    return prints.join(known, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return materialize(labelled.join(least, "group").select(key, "component_id"), "fingerprint_components")

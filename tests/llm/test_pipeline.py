@@ -82,3 +82,22 @@ def test_url_sql_agrees_on_aliases(spark):
     want = sorted(con.sql(url_filters_sql(URL_RULES)).fetchall())
     assert sorted(tuple(r) for r in url_filters(frame, URL_RULES).collect()) == want
     assert {r[0]: r[4] for r in want}[9] == "block"
+
+
+def test_edited_copies_are_dropped(spark, tables):
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+        rows.append((i, " ".join(words), "en", "s", 1))
+        for k, edits in enumerate((1, 2, 4)):  # one edited word in 200, 100 and 50
+            copy = list(words)
+            for at in rng.choice(200, edits, replace=False):
+                copy[at] = f"z{rng.integers(1 << 30)}"
+            rows.append((100 + 3 * i + k, " ".join(copy), "en", "s", 1))
+        far = list(words)
+        for at in range(0, 200, 20):  # similarity 0.6
+            far[at] = f"y{i}"
+        rows.append((300 + i, " ".join(far), "en", "s", 1))
+    out = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), tables[0])
+    assert sorted(r.doc_id for r in out.collect()) == [*range(40), *range(300, 340)]

@@ -90,3 +90,53 @@ def brute_groups_in(run, fps):
 
 def test_empty(spark):
     assert S.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def jaccard(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def test_verified_similarity(spark, monkeypatch):
+    from gleaner.llm import verified
+
+    rng = np.random.default_rng(12)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = []
+    for size in (60, 100, 200, 400) * 8:
+        own = rng.choice(vocabulary, size)
+        texts.append(" ".join(own))
+        for edits in (size // 50, size // 60 or 1, size // 25, size // 12):  # similarity from about 0.8 to 0.9, and below 0.8
+            copy = own.copy()
+            copy[rng.choice(size, edits, replace=False)] = [f"z{rng.integers(1 << 30)}" for _ in range(edits)]
+            texts.append(" ".join(copy))
+    texts += ["", None, "one two", "One  two", "one two three"]
+    up = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(texts[i] or "", texts[j] or "") >= 0.8:
+                up = [min(up[i], up[j]) if x in (up[i], up[j]) else x for x in up]
+    assert sum(x != i for i, x in enumerate(up)) > 50 and len(set(up)) > 60
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for rows in (1024, 2):
+        monkeypatch.setattr(verified, "PART_ROWS", rows)
+        got = {r.doc_id: r.component_id for r in S.near_duplicates(frame, 20, 5, 0.8).collect()}
+        assert [got[i] for i in range(len(texts))] == up
+
+
+def test_join_of_one_large_group():
+    from gleaner.llm import verified
+
+    rng = np.random.default_rng(3)
+    base = np.arange(100, dtype=np.uint64) << np.uint64(50)
+    sets = [np.unique(np.r_[np.delete(base, rng.integers(0, 100, int(rng.integers(1, 25)))), rng.integers(0, 1 << 60, int(rng.integers(0, 8))).astype(np.uint64)]) for _ in range(120)]
+    up = list(range(120))
+    for i in range(120):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                up = [min(up[i], up[j]) if x in (up[i], up[j]) else x for x in up]
+    mine = list(range(120))
+    for x, y in verified.join(sets, 0.8):
+        mine = [min(mine[x], mine[y]) if z in (mine[x], mine[y]) else z for z in mine]
+    assert mine == up
