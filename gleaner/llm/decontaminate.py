@@ -36,8 +36,8 @@ PART_CHARS = 2_000_000
 #: Characters of documents searched at a time; a longer document is searched whole, in pieces of the hashing only.
 BLOCK = 1 << 20
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
-#: Stands between texts (no character).
-GAP = 0x110000
+#: Stands between texts (no character), so often that no match can span two texts and none's end is as far as the next text.
+GAP, BETWEEN = 0x110000, SEGMENT
 
 
 def normal(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -164,7 +164,7 @@ class SegmentIndex:
         good = edits <= self.edits[seg]
         found: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
         for s, d, a, b in zip(seg[good], edits[good], start[good], end[good], strict=True):
-            doc = int(np.searchsorted(firsts, a, "right")) - 1
+            doc = int(np.searchsorted(firsts, b - 1, "right")) - 1  # a can lie before the text
             found.setdefault((doc, int(self.item[s])), []).append((int(a), int(b), int(s), int(d)))
         return [(doc, item, *self._longest(hits)) for (doc, item), hits in sorted(found.items())]
 
@@ -184,12 +184,12 @@ def _matches(docs: DataFrame, index: SegmentIndex) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def flush(ids: list, texts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple]:
-        gap = np.full(Q, GAP, np.uint32)
-        firsts = np.cumsum([0] + [len(c) + Q for c, _ in texts])[:-1]
+        gap = np.full(BETWEEN, GAP, np.uint32)
+        firsts = np.cumsum([0] + [len(c) + BETWEEN for c, _ in texts])[:-1]
         joined = np.concatenate([x for c, _ in texts for x in (c, gap)])
         for k, item, n, edits, a, b in shared.value.search(joined, firsts):
             places = texts[k][1]
-            a, b = max(0, a - firsts[k]), min(len(places), b - firsts[k])
+            a, b = max(0, a - firsts[k]), max(1, min(len(places), b - firsts[k]))
             yield ids[k], item, n, edits, int(places[a]), int(places[b - 1]) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -70,3 +70,27 @@ def test_parts_and_empty(spark, monkeypatch):
     assert sorted((r.doc_id, r.item_id) for r in got) == [(i, i) for i in range(6)]
     assert D.contaminated(spark.createDataFrame([], SCHEMA), bench).count() == 0
     assert D.contaminated(spark.createDataFrame(docs, SCHEMA), bench.limit(0)).count() == 0
+
+
+def test_items_cut_at_the_start_of_a_document(spark):
+    rng = np.random.default_rng(11)
+    items = [(i, words(rng, 40)) for i in range(8)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for where in (0, 2, 4):
+        for cut in range(1, 9):
+            text = items[cut - 1][1][cut:]
+            docs = [(i, words(rng, 60), "x") for i in range(5)]
+            docs[where] = (where, text + " " + docs[where][1], "x")
+            got = D.contaminated(spark.createDataFrame(docs, SCHEMA).coalesce(1), bench).collect()
+            assert [(r.doc_id, r.item_id, r.start) for r in got] == [(where, cut - 1, 0)]
+            assert abs(got[0].end - len(text)) <= 8
+
+
+def test_a_match_does_not_span_two_documents():
+    rng = np.random.default_rng(12)
+    item = words(rng, 40)[:100]
+    index = D.SegmentIndex([(1, item)])
+    halves = [D.normal("x" * 30 + item[:50])[0], D.normal(item[50:] + "y" * 30)[0]]
+    for texts in (halves, [halves[0][:-4], halves[1][4:]]):
+        gap = np.full(D.BETWEEN, D.GAP, np.uint32)
+        assert index.search(np.concatenate([texts[0], gap, texts[1], gap]), np.array([0, len(texts[0]) + D.BETWEEN])) == []
