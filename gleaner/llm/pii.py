@@ -41,9 +41,10 @@ EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TELLTALE = re.compile(r"[0-9@]")
+_TELLTALE = re.compile(r"[0-9@]|\x20?[(\[]at[)\]]")
 _NUMBER = re.compile(r"[+(]?[0-9][\x20().0-9/-]*[0-9]")
 _HANDLE = re.compile(r"[A-Za-z0-9._%+-]+(?:@|\x20?[(\[]at[)\]]\x20?)[A-Za-z0-9-]+(?:(?:\.|\x20?[(\[]dot[)\]]\x20?)[A-Za-z0-9-]+)*")
+_SPELLED = re.compile(r"\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]+(?:(?:\.|\x20?[(\[]dot[)\]]\x20?)[A-Za-z0-9-]+)*")
 _CODE = re.compile(r"[A-Za-z0-9._%+@-]+")
 
 
@@ -85,7 +86,13 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[i
         left = m.start()
         while left > at and (text[left - 1].isalnum() or text[left - 1] in "._%+-@"):
             left -= 1
+        spelled = _SPELLED.match(text, m.start())
+        if len(m.group()) > 1 and (left == m.start() or not spelled):  # (at) without an address around it
+            at = m.end()
+            continue
         best = max((x.end() for p in (_NUMBER, _HANDLE, _CODE) if (x := p.match(text, left))), default=m.end())
+        if spelled:
+            best = max(best, spelled.end())
         start = left - 1 if left > at and text[left - 1] in "+(" else left
         end = max(best, m.end())
         while k < len(taken) and taken[k][2] <= start:

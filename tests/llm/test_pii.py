@@ -65,3 +65,18 @@ def test_parts(spark, monkeypatch):
 
 def test_empty(spark):
     assert P.find_pii(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_spelled_addresses_without_digits():
+    for value in ("jane.doe (at) example (dot) com", "jane [at] example.com", "jane(at)example(dot)com"):
+        for text in (value, f"please write to {value} today", f"room 7 and 8@x then {value}"):
+            assert value in [text[s:e] for s, e in P.candidates(text, P.seeds(text))]
+    for text in ("meet, (at) noon", "(at) noon", "nothing [at]", ", (at)"):
+        assert list(P.candidates(text, P.seeds(text))) == []
+
+
+def test_spelled_addresses_are_redacted(spark):
+    texts = [f"other words contact person {w}@site.org today" for w in ("ann", "bob", "cy", "dee", "eve", "fay", "gus", "hal", "ida", "joe", "kim", "lee")]
+    texts += ["other words contact person jane.doe (at) example (dot) com today", "other words contact person jane [at] example.com today"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.text for r in P.redact(docs).collect()} == {"other words contact person [EMAIL] today"}
