@@ -67,6 +67,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have (names differ by more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once per row and hand it to ``body``, even inside lambdas."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
