@@ -89,6 +89,33 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
 
 
+#: Steps in which a sample is made smaller until its bytes fit.
+STEPS = 1000
+
+
+def bounded_sample(rows: DataFrame, key: str, share: Column, max_bytes: int) -> DataFrame:
+    """Rows (with ``key`` and text) whose hash of ``key`` lies below ``share``, or below as large a part of it as keeps their texts within ``max_bytes``.
+
+    Rows over a sixteenth of that are not drawn. Whether a row is drawn depends on its key, its size and these bounds.
+    """
+    unit = F.shiftrightunsigned(F.xxhash64(key), 11) / F.lit(float(1 << 53))
+    size = F.octet_length("text").cast("long")
+    near = rows.where((unit < share) & (size <= max_bytes // 16))
+    bins = near.groupBy(F.floor(unit / share * STEPS).cast("int").alias("bin")).agg(F.sum(size).alias("bytes")).collect()  # at most STEPS rows
+    kept, total = STEPS, 0
+    for r in sorted(bins):
+        total += r.bytes
+        if total > max_bytes:
+            kept = r.bin
+            break
+    return near.where(unit / share < kept / STEPS)
+
+
+def held_out(key: Column, n: int, remainder: int) -> Column:
+    """Whether a row is kept from learning: its id's remainder says so, or it has no id."""
+    return F.coalesce(crc_mod(key, n) == remainder, F.lit(True))
+
+
 def crc_mod(c: Column, n: int) -> Column:
     """crc32 of the id written as decimal text, modulo ``n``."""
     return F.crc32(c.cast("string")) % F.lit(n)

@@ -2,8 +2,8 @@
 
 A document's token ids (and one end id) are cut every ``length`` ids; the pieces
 are packed. The driver sees only the histogram of piece lengths: lengths are
-placed longest first, each into the open pack pattern with the least room that
-still holds it, with counts of equal patterns updated at once. The pattern slots
+placed longest first, each into the shortest pack (a new one where that has no
+room), with counts of equal patterns updated at once. The pattern slots
 of a length are ranges of ranks, and every piece finds its slot by its rank
 among the pieces of its length.
 
@@ -18,9 +18,11 @@ Words between white space are tokenized one by one and remembered, up to
 this gives its ids for the whole text (texts with \\x1c-\\x1f, where Python's white
 space differs, are encoded whole).
 
-Defined cases: null and empty texts give one piece with the end id alone;
-repeated rows are packed each; an empty table gives no rows; other columns are
-ignored.
+Defined cases: null and empty texts give one piece with the end id alone; a very
+long text gives as many pieces as it needs, encoded whole by one task; pieces of
+equal length are ranked by bucket, then doc_id, start and ids, and equal ones in
+any order, which changes no padding; repeated rows are packed each; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import os
 import re
 import zlib
 from array import array
-from bisect import bisect_left, insort
+from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,8 +45,8 @@ from .common import materialize
 END_ID = 1
 #: Words a worker remembers.
 WORDS = 300_000
-#: Pieces of one length that one window partition ranks, about.
-BUCKET_ROWS = 500
+#: Pieces of one length that one window partition ranks, about, and buckets whose counts one window partition adds up.
+BUCKET_ROWS, BUCKETS = 500, 10_000
 _ODD = re.compile("[\x1c-\x1f]")
 _LATIN = re.compile("([a-zß-öø-ÿ]+)([.,]?)")
 
@@ -133,7 +135,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, length: int) -> DataFrame:
 
 
 def pack_histogram(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
-    """Patterns (times used, lengths): longest length first, each into the fullest pattern that has room."""
+    """Patterns (times used, lengths): longest length first, each into the pattern with the most room, if that is enough."""
     by_room: dict[int, list[tuple[int, tuple[int, ...]]]] = {}
     rooms: list[int] = []
     done: list[tuple[int, tuple[int, ...]]] = []
@@ -150,14 +152,16 @@ def pack_histogram(histogram: dict[int, int], capacity: int) -> list[tuple[int,
     for size in sorted(histogram, reverse=True):
         left = histogram[size]
         while left:
-            k = bisect_left(rooms, size)
-            if k == len(rooms):
-                put(left, (size,), capacity - size)
+            if not rooms or rooms[-1] < size:  # new packs, each filled while it has room
+                most = capacity // size
+                for times, n in ((left // most, most), (1, left % most)):
+                    if times and n:
+                        put(times, (size,) * n, capacity - n * size)
                 break
-            room = rooms[k]
+            room = rooms[-1]
             times, lengths = by_room[room].pop()
             if not by_room[room]:
-                del by_room[room], rooms[k]
+                del by_room[room], rooms[-1]
             used = min(times, left)
             if times > used:
                 put(times - used, lengths, room)
@@ -181,6 +185,16 @@ def slot_table(patterns: list[tuple[int, tuple[int, ...]]]) -> dict[str, np.ndar
     return dict(zip(("length", "rank", "sequence", "offset"), cols, strict=True))
 
 
+def counts_before(counts: DataFrame) -> DataFrame:
+    """length, bucket, before: rows of that length in the buckets before, from (length, bucket, n), in two levels of sums."""
+    upto = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    known = materialize(counts.withColumn("lot", F.expr(f"bucket div {BUCKETS}")), "bucket_counts")
+    lots = known.groupBy("length", "lot").agg(F.sum("n").alias("n"))
+    lots = lots.select("length", "lot", F.coalesce(F.sum("n").over(upto("length", "lot")), F.lit(0)).alias("base"))
+    inside = known.withColumn("own", F.coalesce(F.sum("n").over(upto("length", "lot", "bucket")), F.lit(0)))
+    return inside.join(lots, ["length", "lot"]).select("length", "bucket", (F.col("base") + F.col("own")).alias("before"))
+
+
 def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
@@ -190,8 +204,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048) -> DataFrame:
     buckets = spark.createDataFrame([(k, -(-n // BUCKET_ROWS)) for k, n in histogram.items()], "length long, buckets long")
     spread = cut.join(F.broadcast(buckets), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.col("buckets"))).drop("buckets")
     counts = spread.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
-    before = materialize(before.select("length", "bucket", F.coalesce("before", F.lit(0)).alias("before")), "rank_offsets")
+    before = materialize(counts_before(counts), "rank_offsets")
     own = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32")) - 1
     ranked = spread.withColumn("own", own).join(before, ["length", "bucket"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("own")).alias("rank"))
 

@@ -9,14 +9,19 @@ that gives one probability.
 Filters over an embedding of 256 byte values are 256-row tables, one per offset,
 so that scoring is table look-up and addition, with no multiplication.
 
-The network is fitted on the driver on at most ``max_rows`` labelled rows (half
-of them of either class while both last, chosen by a hash of doc_id; in training
-a long text gives one window of ``CROP`` bytes per epoch, at random); its size
-is fixed. Scoring covers every byte of every row in blocks of bounded size.
+The network is fitted on the driver on a bounded sample of labelled rows: at most
+about ``max_rows``, half of them of either class while both last, and at most
+``max_bytes`` of text, chosen by a hash of doc_id; rows of over a sixteenth of
+that are not drawn. A row that is drawn is learned from whole. Scoring covers
+every byte of every row. Both work in pieces of ``BLOCK`` bytes.
 
 Defined cases: a null text counts as empty; an empty text is scored as one chunk
-of padding; with one class only, or none, in the training rows the score is that
-class's smoothed share; further input columns are ignored.
+of padding; a very long text is scored whole, piece by piece; equal texts score
+alike; with one class only, or none, in the training rows the score is that
+class's smoothed share; a label of no document, without doc_id or other than 0 or
+1 is ignored; a doc_id with several labels takes the lowest, one with several
+texts the least; further input columns are kept by ``with_score``, whatever their
+names, and ignored by ``score``.
 """
 
 from __future__ import annotations
@@ -29,10 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import bounded_sample, fresh
+
 WIDTH, EMBED, FILTERS, HIDDEN = 5, 8, 16, 12
 STRIDE = 128
-CROP = 4096
-#: Bytes scored at a time.
+#: Bytes convolved at a time.
 BLOCK = 1 << 18
 
 
@@ -59,6 +65,16 @@ class ByteConvNet:
         }
         self.constant: float | None = None
 
+    def plain(self) -> dict:
+        """Parameters as plain data, for a broadcast that needs no package where it is read."""
+        return {"p": self.p, "constant": self.constant}
+
+    @classmethod
+    def of(cls, plain: dict) -> ByteConvNet:
+        net = cls.__new__(cls)
+        net.p, net.constant = plain["p"], plain["constant"]
+        return net
+
     def tables(self) -> np.ndarray:
         return np.einsum("be,kef->kbf", self.p["embed"], self.p["filters"]).astype(np.float32)
 
@@ -117,8 +133,7 @@ class ByteConvNet:
             order = r.permutation(len(texts))
             for a in range(0, len(order), batch):
                 own = order[a : a + batch]
-                cut = [t if len(t) <= CROP else t[(s := int(r.integers(0, len(t) - CROP + 1))) : s + CROP] for t in (texts[i] for i in own)]
-                g = self._gradients(cut, labels[own], weight[own])
+                g = self._gradients([texts[i] for i in own], labels[own], weight[own])
                 step += 1
                 speed = rate * (0.5 + 0.5 * np.cos(np.pi * step / rounds)) + 1e-5
                 for k, d in g.items():
@@ -129,9 +144,12 @@ class ByteConvNet:
 
     def _gradients(self, texts: list[bytes], y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
         codes, first = _chunks(b"".join(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64))
-        full = self._pooled(codes, self.tables())
-        where = full.argmax(axis=1)
-        raw = np.take_along_axis(full, where[:, None, :], axis=1)[:, 0] + self.p["bias"]
+        tables, per, where, raw = self.tables(), BLOCK // STRIDE, [], []
+        for a in range(0, first[-1], per):
+            full = self._pooled(codes[a * STRIDE : min(a + per, first[-1]) * STRIDE + WIDTH], tables)
+            where.append(full.argmax(axis=1))
+            raw.append(np.take_along_axis(full, where[-1][:, None, :], axis=1)[:, 0])
+        where, raw = np.concatenate(where), np.concatenate(raw) + self.p["bias"]
         strides = np.maximum(raw, 0)
         chunks, keep, at, n, z = self._joined(strides, first)
         h, prob = self._head(z)
@@ -162,32 +180,35 @@ class ByteConvNet:
         return {"embed": g_embed, "filters": g_filters, "bias": d_stride.sum(axis=0), "dense": z.T @ d_h, "dense_bias": d_h.sum(axis=0), "out": h.T @ d_logit, "out_bias": d_logit.sum(keepdims=True)}
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 2400) -> ByteConvNet:
-    """Fit on documents (doc_id, text) with ``labels`` (doc_id, quality); a doc_id with several labels takes the lowest."""
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 2400, max_bytes: int = 24 << 20) -> ByteConvNet:
+    """Fit on documents (doc_id, text) with ``labels`` (doc_id, quality); see the module for the bounds."""
     own = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sizes = {r.quality: r.n for r in own.groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    unit = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
     bad = min(sizes.get(0, 0), max_rows // 2)
     wanted = {0: bad, 1: min(sizes.get(1, 0), max_rows - bad)}
     share = F.when(F.col("quality") == 1, wanted[1] / max(sizes.get(1, 0), 1)).otherwise(wanted[0] / max(sizes.get(0, 0), 1))
-    picked = own.where(unit < share)
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id").to_pydict()
+    unit = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
+    picked = own.where(unit < share)  # about max_rows
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    one = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
+    rows = bounded_sample(one, "doc_id", share, max_bytes).toArrow().sort_by("doc_id").to_pydict()
     total = sum(sizes.values())
     return ByteConvNet().fit([t.encode() for t in rows["text"]], np.array(rows["quality"]), sizes.get(1, 0) / max(total, 1))
 
 
 def with_score(docs: DataFrame, net: ByteConvNet, name: str = "score") -> DataFrame:
     """``docs`` with the probability of good quality in a new column ``name``."""
-    shared = docs.sparkSession.sparkContext.broadcast(net)
+    shared = docs.sparkSession.sparkContext.broadcast(net.plain())
     own = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = ByteConvNet.of(shared.value)
         for batch in batches:
-            out = shared.value.score([b or b"" for b in batch.column(batch.num_columns - 1).to_pylist()])
+            out = known.score([b or b"" for b in batch.column(batch.num_columns - 1).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64())], [*own, name])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
-    return docs.withColumn("_bytes", F.col("text").cast("string").cast("binary")).mapInArrow(run, schema)
+    return docs.withColumn(fresh(docs, "bytes_"), F.col("text").cast("string").cast("binary")).mapInArrow(run, schema)
 
 
 def score(docs: DataFrame, net: ByteConvNet) -> DataFrame:

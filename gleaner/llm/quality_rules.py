@@ -4,8 +4,10 @@ Every document gets integer metrics. Per (lang, source) and metric a log-linear
 histogram sketch is kept: a value keeps its ``SKETCH_BITS`` leading bits, so a
 sketch has at most a few hundred bins, two sketches merge by adding bin counts,
 and a quantile is off by less than 1/32 of its value. From the sketch quantiles
-come two fences per group; groups of fewer than ``min_group`` documents use the
-merged sketch of their language. The fences are joined back to the documents.
+come two fences per group, and from the merged sketches those of its language; a
+group of n documents uses (n * own + prior * language's) / (n + prior), so small
+groups lean on their language without a switch. The fences are joined back to the
+documents.
 
 Only DataFrame expressions are used. Metrics are written once to the shared
 folder (a few integers per document); the sketch aggregation combines on the
@@ -129,21 +131,22 @@ def _wide(f: DataFrame, keys: list[str]) -> DataFrame:
     return f.groupBy(*keys).agg(F.max("n").alias("n"), *(pick(m, c).alias(f"{m}_{c}") for m in RULES for c in ("hi", "lo")))
 
 
-def thresholds(bins: DataFrame, min_group: int) -> DataFrame:
-    """One row per (lang, source): its own fences, or its language's where the group is small."""
+def thresholds(bins: DataFrame, prior: int) -> DataFrame:
+    """One row per (lang, source): its own fences, drawn towards its language's with the weight of ``prior`` documents."""
     by_source = _wide(fences(bins, ["lang", "source"]), ["lang", "source"])
     merged = bins.groupBy("lang", "metric", "bin").agg(F.sum("n").alias("n"))
     by_lang = _wide(fences(merged, ["lang"]), ["lang"])
     names = [f"{m}_{c}" for m in RULES for c in ("hi", "lo")]
     a, b = by_source.alias("a"), by_lang.alias("b")
-    use = lambda x: F.when(F.col("a.n") >= min_group, F.col(f"a.{x}")).otherwise(F.col(f"b.{x}")).alias(x)
+    real = lambda x: F.col(x).cast("double")
+    use = lambda x: ((real("a.n") * real(f"a.{x}") + F.lit(float(prior)) * real(f"b.{x}")) / (real("a.n") + F.lit(float(prior)))).alias(x)
     return a.join(b, F.col("a.lang").eqNullSafe(F.col("b.lang"))).select("a.lang", "a.source", *map(use, names))
 
 
-def quality_rules(docs: DataFrame, min_group: int = 30) -> DataFrame:
+def quality_rules(docs: DataFrame, prior: int = 30) -> DataFrame:
     """doc_id, lang, source, the counts, the rates, base_failed, outlier (metrics outside their fences) and kept."""
     m = materialize(with_rates(document_metrics(docs)), "quality_metrics")
-    limits = materialize(thresholds(materialize(sketch(m), "quality_sketch"), min_group), "quality_thresholds")
+    limits = materialize(thresholds(materialize(sketch(m), "quality_sketch"), prior), "quality_thresholds")
     d, t = m.alias("d"), limits.alias("t")
     same = F.col("d.lang").eqNullSafe(F.col("t.lang")) & F.col("d.source").eqNullSafe(F.col("t.source"))
     outside = lambda x: F.coalesce((F.col(x) > F.col(f"{x}_hi")) | F.coalesce(F.col(x) < F.col(f"{x}_lo"), F.lit(False)), F.lit(False))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import katz, language_id, quality_model
-from .common import crc_mod, table
+from .common import held_out, table
 from .decontaminate import contaminated
 from .packing import pack
 from .pii import find_pii
@@ -43,10 +43,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = crc_mod(F.col("doc_id"), 3) == 1
-    net = quality_model.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
+    apart = held_out(F.col("doc_id"), 3, 1)
+    net = quality_model.fit(docs, table(spark, sf_dir, "labels").where(~apart))
     out = quality_model.score(docs, net)
-    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("doc_id", apart.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc_mod(F.col("doc_id"), 7) != 2).alias("learn"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (~held_out(F.col("doc_id"), 7, 2)).alias("learn"))
     out = katz.score(docs)
     return out.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
@@ -65,9 +65,9 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = crc_mod(F.col("doc_id"), 5) == 0
-    model = language_id.fit(docs.where(~held_out))
-    return language_id.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    apart = held_out(F.col("doc_id"), 5, 0)
+    model = language_id.fit(docs.where(~apart))
+    return language_id.identify(docs, model).select("doc_id", apart.alias("held_out"), "lang_pred", "score")
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

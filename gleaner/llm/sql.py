@@ -7,13 +7,14 @@ from .quality_rules import FENCE, RULES, SKETCH_BITS, WINDOW
 UP, LOW = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
 
 
-def quality_rules_sql(min_group: int = 30) -> str:
+def quality_rules_sql(prior: int = 30) -> str:
     shift = f"greatest(0, length(bin(v)) - {SKETCH_BITS})"
     q = lambda p: f"min(bin) FILTER (WHERE upto * 100 >= total * {p})"
     pick = lambda side: "CASE metric " + " ".join(f"WHEN '{m}' THEN {s[side]}" for m, s in RULES.items() if s[side] is not None) + " END"
     fences = lambda bins, keys: f"""SELECT {keys}, metric, max(total) AS n, {q(10)} AS q10, {q(50)} AS q50, {q(90)} AS q90 FROM (
  SELECT *, sum(n) OVER (PARTITION BY {keys}, metric ORDER BY bin ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER (PARTITION BY {keys}, metric) AS total FROM {bins}) GROUP BY {keys}, metric"""
     limits = f"""q50 + {FENCE} * greatest(q50 - q10, {pick(0)}) AS hi, CASE WHEN {pick(1)} IS NOT NULL THEN q50 - {FENCE} * greatest(least(q90 - q50, q50 - q10), {pick(1)}) END AS lo"""
+    shrunk = lambda c: f"(u.n::DOUBLE * u.{c}::DOUBLE + {float(prior)}::DOUBLE * v.{c}::DOUBLE) / (u.n::DOUBLE + {float(prior)}::DOUBLE)"
     long = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {m} AS v FROM r" for m in RULES)
     broken = " OR ".join(f"max(CASE WHEN f.metric = '{m}' AND (r.{m} > f.hi OR coalesce(r.{m} < f.lo, false)) THEN 1 ELSE 0 END) = 1" for m in RULES)
     return f"""WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
@@ -29,7 +30,7 @@ def quality_rules_sql(min_group: int = 30) -> str:
  b AS (SELECT lang, source, metric, (v >> {shift}) << {shift} AS bin, count(*) AS n FROM ({long}) GROUP BY ALL),
  x AS ({fences("b", "lang, source")}), y AS ({fences("(SELECT lang, metric, bin, sum(n) AS n FROM b GROUP BY ALL)", "lang")}),
  u AS (SELECT lang, source, metric, n, {limits} FROM x), v AS (SELECT lang, metric, {limits} FROM y),
- f AS (SELECT u.lang, u.source, u.metric, CASE WHEN u.n >= {min_group} THEN u.hi ELSE v.hi END AS hi, CASE WHEN u.n >= {min_group} THEN u.lo ELSE v.lo END AS lo
+ f AS (SELECT u.lang, u.source, u.metric, {shrunk("hi")} AS hi, {shrunk("lo")} AS lo
   FROM u JOIN v ON u.lang IS NOT DISTINCT FROM v.lang AND u.metric = v.metric),
  k AS (SELECT r.doc_id, {broken} AS bad FROM r JOIN f ON r.lang IS NOT DISTINCT FROM f.lang AND r.source IS NOT DISTINCT FROM f.source GROUP BY r.doc_id)
  SELECT r.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,

@@ -1,5 +1,8 @@
 """The two learned operators: held-out accuracy on made-up text, gradients, and odd rows."""
 
+import math
+from collections import Counter
+
 import numpy as np
 from gleaner.llm import language_id, quality_model
 
@@ -27,10 +30,57 @@ def test_language_held_out(spark):
     assert language_id.identify(frame.limit(0), model).count() == 0
 
 
-def test_unseen_words_back_off():
-    m = language_id.LanguageModel(["a", "b"], np.zeros(2), {"known": 0}, {"^xy": 1, "z": 2}, np.log(np.array([[0.9, 0.1], [0.2, 0.8], [0.7, 0.3]])))
-    assert m.backed_off("xyz") == [1] and m.backed_off("qz") == [2] and m.backed_off("q") == []
-    assert m.score("known")[0] == "a" and m.score("xyq")[0] == "b"
+def language_brute(training, texts, apart=0.5):
+    """The model from its description: dense counts in dictionaries over all training rows."""
+    import regex
+
+    langs = sorted({k for _, k in training})
+    tables = []
+    words = {k: Counter(w for t, own in training if own == k for w in regex.findall(r"\p{L}+", t.lower())) for k in langs}
+    grams = {k: Counter(f"^{w}$"[i : i + n] for w in words[k] for n in range(1, 6) for i in range(len(w) + 3 - n)) for k in langs}
+    for of in (words, grams):
+        every = sum(of.values(), Counter())
+        tables.append({x: [math.log((of[k][x] + apart) / (sum(of[k].values()) + apart * len(every) + 1)) for k in langs] for x, n in every.items() if n > 1})
+    out = []
+    for t in texts:
+        found = regex.findall(r"\p{L}+", (t or "").lower())
+        if not found:
+            out.append(("und", 0.0))
+            continue
+        total, n = [0.0] * len(langs), 0
+        for w in found:
+            rows = [tables[0][w]] if w in tables[0] else next((r for m in range(5, 0, -1) if (r := [tables[1][x] for i in range(len(w) + 3 - m) if (x := f"^{w}$"[i : i + m]) in tables[1]])), [])
+            if rows:
+                n += 1
+                total = [a + sum(r[j] for r in rows) / len(rows) for j, a in enumerate(total)]
+        sizes = [sum(k == own for _, own in training) for k in langs]
+        x = [a * min(1, 20 / max(n, 1)) + math.log(s / sum(sizes)) for a, s in zip(total, sizes, strict=True)]
+        best = max(range(len(langs)), key=lambda j: (x[j], -j))
+        out.append((langs[best], 1 / sum(math.exp(y - x[best]) for y in x)))
+    return out
+
+
+def test_language_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    parts = {"aa": ["tion", "the", "ing", "er"], "bb": ["sch", "ung", "ein", "er"], "cc": ["eau", "que", "ment", "er"], "dd": ["ß", "é", "ö"]}
+    rows = [(i, sentence(rng, parts[k], int(rng.integers(3, 30))), k, "x") for i in range(120) for k in [list(parts)[(i * i) % 4]]]
+    texts = [sentence(rng, [*parts["aa"], *parts["bb"], "xq", "zz"], n) for n in (1, 2, 5, 40, 400)] + ["x²y tion", "a_b er3ing", "日本", None, "12", "ER the", "²"]
+    model = language_id.fit(spark.createDataFrame(rows, DOCS))
+    got = language_id.identify(spark.createDataFrame([(i, t, None, "") for i, t in enumerate(texts)], DOCS), model).collect()
+    want = language_brute([(t, k) for _, t, k, _ in rows], texts)
+    for r in got:
+        assert r.lang_pred == want[r.doc_id][0] and abs(r.score - want[r.doc_id][1]) < 1e-9, texts[r.doc_id]
+
+
+def test_many_languages_and_bounds(spark):
+    rows = [(i, f"lang{i % 700:03d}".translate(str.maketrans("0123456789", "abcdefghij")) + " common", f"l{i % 700}", "x") for i in range(1400)]
+    frame = spark.createDataFrame(rows, DOCS)
+    model = language_id.fit(frame)
+    assert len(model.langs) == 700
+    got = language_id.identify(frame, model).collect()
+    assert np.mean([r.lang_pred == f"l{r.doc_id % 700}" for r in got]) > 0.99
+    small = language_id.fit(frame, max_bytes=8000)
+    assert len(small.langs) == 700 and len(small.words) < len(model.words)
 
 
 def test_gradients_match_differences():
@@ -60,6 +110,38 @@ def test_gradients_match_differences():
             assert abs((up - down) / (2 * e) - g[k][i]) < 1e-4, k
 
 
+def quality_brute(net, text):
+    """The score of one text byte by byte."""
+    p, codes = net.p, [0] * (quality_model.WIDTH - 1) + list(text)
+    n = max(2, -(-len(codes) // quality_model.STRIDE)) * quality_model.STRIDE
+    codes += [0] * (n + quality_model.WIDTH - len(codes))
+    responses = [[max(0.0, p["bias"][f] + sum(float(p["embed"][codes[i + k]] @ p["filters"][k][:, f]) for k in range(quality_model.WIDTH))) for f in range(quality_model.FILTERS)] for i in range(n)]
+    chunks = [np.max(responses[a : a + 2 * quality_model.STRIDE], axis=0) for a in range(0, n - quality_model.STRIDE, quality_model.STRIDE)]
+    z = np.concatenate([np.mean(chunks, axis=0), np.max(chunks, axis=0), np.min(chunks, axis=0)])
+    return 1 / (1 + math.exp(-float(np.tanh(z @ p["dense"] + p["dense_bias"]) @ p["out"] + p["out_bias"][0])))
+
+
+def test_quality_against_brute_force():
+    net = quality_model.ByteConvNet(5)
+    rng = np.random.default_rng(2)
+    texts = [bytes(rng.integers(0, 256, n).astype(np.uint8)) for n in (0, 1, 4, 124, 125, 251, 252, 253, 500)]
+    assert np.allclose(net.score(texts), [quality_brute(net, t) for t in texts], atol=1e-5)
+
+
+def test_quality_sample_is_bounded_and_repeatable(spark):
+    rows = [(i % 50, f"text number {i % 7} " * (1 + i % 5), "en", "x") for i in range(200)] + [(60, "z" * 100_000, "en", "x")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(70)], "doc_id long, quality int")
+    one = quality_model.fit(spark.createDataFrame(rows, DOCS), labels, max_bytes=20_000)
+    two = quality_model.fit(spark.createDataFrame(rows[::-1], DOCS).repartition(3), labels, max_bytes=20_000)
+    assert all((one.p[k] == two.p[k]).all() for k in one.p)
+
+
+def test_quality_keeps_columns_whatever_their_names(spark):
+    frame = spark.createDataFrame([(1, "a", "b", 2.0)], "doc_id long, text string, bytes_ string, _bytes double")
+    out = quality_model.with_score(frame, quality_model.ByteConvNet(1), "s")
+    assert out.columns == [*frame.columns, "s"] and tuple(out.first())[:4] == (1, "a", "b", 2.0)
+
+
 def test_quality_held_out(spark):
     rng = np.random.default_rng(4)
     parts = ["tion", "the", "ing", "er", "an", "so"]

@@ -19,6 +19,32 @@ def test_patterns_use_every_length_once():
     assert pack_histogram({}, 2048) == []
 
 
+def test_patterns_are_those_of_packing_piece_by_piece():
+    rng = np.random.default_rng(7)
+    for capacity in (20, 64, 300):
+        for _ in range(20):
+            histogram = {int(x): int(n) for x, n in zip(rng.integers(1, capacity + 1, 12), rng.integers(1, 40, 12), strict=True)}
+            packs: list[list[int]] = []
+            for size in sorted((x for x, n in histogram.items() for _ in range(n)), reverse=True):
+                shortest = min(packs, key=sum, default=None)
+                if shortest is not None and sum(shortest) + size <= capacity:
+                    shortest.append(size)
+                else:
+                    packs.append([size])
+            got = [sum(lengths) for times, lengths in pack_histogram(histogram, capacity) for _ in range(times)]
+            assert sorted(got) == sorted(map(sum, packs))
+
+
+def test_ranks_in_two_levels(spark, monkeypatch):
+    from gleaner.llm import packing
+
+    monkeypatch.setattr(packing, "BUCKETS", 3)
+    rng = np.random.default_rng(8)
+    rows = [(k, b, int(rng.integers(1, 9))) for k in (1, 2048) for b in range(20) if rng.random() < 0.8]
+    got = {(r.length, r.bucket): r.before for r in packing.counts_before(spark.createDataFrame(rows, "length long, bucket long, n long")).collect()}
+    assert got == {(k, b): sum(n for j, c, n in rows if j == k and c < b) for k, b, _ in rows}
+
+
 def test_words_give_the_ids_of_the_text():
     t, w = Tokenizer.from_file(tokenizer_path()), WordTokenizer(tokenizer_path())
     texts = ["It's  A\ttest, isn't it?\n100% don'T x", "é é ́x ÉCOLE Straße ΑΣ Σ", "a<|endoftext|>b <|startoftext|>", "x\x1cy z", "", "  a　b", "日本語 テスト 😀😀 a😀b", "\x85w\x85"]
