@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import pii, quality_model
-from gleaner.llm.common import crc_mod, materialize, table
-from gleaner.llm.decontaminate import contaminated
+from gleaner.llm.common import fresh, held_out, materialize, table
+from gleaner.llm.decontaminate import annotate
 from gleaner.llm.packing import pack
 from gleaner.llm.queries import tokenizer_path
 from gleaner.llm.simhash import near_duplicates
@@ -24,31 +24,31 @@ ORACLE_SQL = None
 NEAR_SHINGLE, NEAR_SIMILARITY, NEAR_RADIUS = 5, 0.8, 20
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``ids`` (written first, so that the join knows its size)."""
-    return docs.join(materialize(ids.distinct(), "dropped_ids"), "doc_id", "left_anti").select(docs.columns)
-
-
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the byte-level network, fitted on the labels outside the held-out third, gives at least one half."""
-    labels = table(spark, sf_dir, "labels").where(crc_mod(F.col("doc_id"), 3) != 1)
-    net = quality_model.fit(docs, labels)
-    return quality_model.with_score(docs, net, "_score").where("_score >= 0.5").drop("_score")
+    labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"), 3, 1))
+    score = fresh(docs, "score_")
+    return quality_model.with_score(docs, quality_model.fit(docs, labels), score).where(F.col(score) >= 0.5).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each near-duplicate group, once; rows without doc_id stay."""
-    groups = materialize(near_duplicates(docs.select("doc_id", "text"), NEAR_RADIUS, NEAR_SHINGLE, NEAR_SIMILARITY), "near_duplicates")
-    kept = _without(docs, groups.where("doc_id != component_id").select("doc_id"))
-    repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if repeated:
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
-    return kept
+    """One row of each near-duplicate group: that of the smallest doc_id (of equal or no doc_ids any one).
+
+    Rows are told apart by a number of their own, written with them, so that
+    null and repeated doc_ids are rows like any other.
+    """
+    row = fresh(docs, "row_")
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered_rows")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(row).alias("row"))  # the smallest of a group stays
+    groups = near_duplicates(numbered.select(key.alias("doc_id"), "text"), NEAR_RADIUS, NEAR_SHINGLE, NEAR_SIMILARITY)
+    gone = materialize(groups.where("doc_id.row != component_id.row").select(F.col("doc_id.row").alias(row)), "dropped_rows")
+    return numbered.join(gone, row, "left_anti").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows in which no benchmark item is found."""
-    return _without(docs, contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id"))
+    """Rows in whose own text no benchmark item is found."""
+    found = fresh(docs, "found_")
+    return annotate(docs, table(spark, sf_dir, "benchmark"), found).where(F.size(found) == 0).drop(found)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
