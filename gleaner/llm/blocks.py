@@ -185,5 +185,13 @@ def pa_schema(schema: str) -> pa.Schema:
     return pa.schema([(name, kinds[kind]) for name, kind in (part.split() for part in schema.split(", "))])
 
 
+def scaled(total: int, block: int, bucket: int, row: int) -> float:
+    """By how much blocks and buckets are to be larger, so that a block's row for a bucket stands for at least ``row`` bytes of text.
+
+    1 up to block * bucket / row bytes in all; then the square root of what is more, so that rows, and memory squared, grow with the input.
+    """
+    return max(1.0, (total * row / (block * bucket)) ** 0.5)
+
+
 def bucket_count(total: int, per_bucket: int) -> int:
     return max(1, -(-total // per_bucket))

@@ -1,37 +1,47 @@
 """Katz backoff language model over words, and the log probability it gives every document.
 
-Counts are taken over all learning documents. With d_r the Good-Turing discount
-of a count r (1 above ``K``), N tokens and c(h) occurrences of a word h:
-
-    P(w | h) = d_c c(h, w) / c(h)   if c(h, w) > 0
-             = a(h) P(w)            if not, and c(h) > 0
-             = P(w)                 if h is unknown
-    P(w)     = d_c c(w) / N         if c(w) > 0, and what is left for one unknown word
-    a(h)     = (1 - sum of seen P(w | h)) / (1 - sum of their P(w))
-
-The probabilities of all known words and the unknown one add up to 1 for every
-history. Where no count after h is discounted, h takes one more unseen
-occurrence, so that a(h) > 0. Documents begin with a start mark and end with an
-end token. Where the counts of counts give no proper Good-Turing discounts (tiny
-corpora), fewer are used, and at last (r - 1/2) / r.
-
-Tables: (1) blocks of token numbers; (2) word counts and (3) word pair counts,
+Counts of n-grams up to ``ORDER`` words are taken over all learning documents.
+With d_k,r the Good-Turing discount of a count r of k-grams (1 above ``K``), N
+tokens, h a history of k - 1 words, h' the same without its first word, and c(h)
+the occurrences of h:
+
+    P(w | h) = d c(h, w) / (c(h) + m(h))  if c(h, w) > 0
+             = a(h) P(w | h')             if not, and c(h) > 0
+             = P(w | h')                  if h is unknown
+    P(w)     = d c(w) / N                 if c(w) > 0, and what is left for one unknown word
+    a(h)     = (1 - sum of seen P(w | h)) / (1 - sum of their P(w | h'))
+
+m(h) is 0, or 1 where no count after h is discounted: h then takes one more unseen
+occurrence, so that a(h) > 0. The probabilities of all known words and the unknown
+one add up to 1 for every history. Documents begin with one start mark (the first
+word's history is the mark alone) and end with an end token. Where the counts of
+counts give no proper Good-Turing discounts (tiny corpora), fewer are used, and at
+last (r - 1/2) / r.
+
+Tables: (1) blocks of token numbers; (2) counts of words, word pairs and so on,
 dealt to buckets by hash and stored by (bucket, block) in the order in which the
-block asked; (4) what each block contributes to the sums in a(h), each pair by
-one owner, as whole numbers, so that sums are exact; (5) backoff weights. A word
-of the text is looked up once per block and bucket. A frequent word or pair
-arrives once per block, and pairs are dealt by both words, so no history has
-a task of its own. Words are told apart by a 64-bit hash.
+block asked; (3) what each block contributes to the sums in a(h), each n-gram by
+one owner, as whole numbers, so that sums are exact; (4) the sums. An n-gram is
+looked up once per block and bucket, and frequent ones arrive once per block;
+n-grams are dealt by all their words, so no history has a task of its own. Sums go
+out for histories that can be asked for: those of documents that were not learned
+from, and those of more than K occurrences. The keys of pairs and longer n-grams
+are exchanged in ``PASSES`` passes over the hash, and blocks are evaluated in
+``GROUPS`` groups, which bounds what lies on disk at a time. Blocks and buckets
+grow with the square root of very large inputs, so the rows of an exchange stay
+in proportion to the text. Words are told apart by a 64-bit hash.
 
 Defined cases: null and empty texts are the end token alone; a null ``learn``
 counts as false; with no learning document every word is the unknown one, of
-probability 1; repeated rows count each; an empty table gives an empty result;
-other columns are ignored.
+probability 1; repeated rows count each; null doc_ids stay null; a very long text
+has a block of its own; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +49,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import bucket_count, exchange, make_blocks, pack_arrays, pack_keys, per_block, release, unpack_arrays, unpack_keys
+from .blocks import bucket_count, exchange, make_blocks, pack_arrays, pack_keys, per_block, release, scaled, unpack_arrays, unpack_keys
 from .common import discard, materialize
 
-#: Counts up to K are discounted.
-K = 5
+#: Words of the longest n-gram; counts up to K are discounted.
+ORDER, K = 3, 5
 BLOCK_BYTES, BUCKET_BYTES = 6 << 20, 24 << 20
-NO_ID = (1 << 63) - 1
+PASSES, GROUPS = 2, 4
+#: Bytes of text in a word, about: an exchange row should hold a hundred keys.
+ROW_BYTES = 650
 U = np.uint64
 END_KEY, START_KEY = U(0xE17A1465B1CE5D1B), U(0x5BD1E9955BD1E995)
 _MIX = U(0x9E3779B97F4A7C15)
@@ -65,34 +77,60 @@ def encode(rows: list[tuple]) -> bytes:
     order = np.argsort(keys, kind="stable")
     place = np.empty(len(keys), np.uint32)
     place[order] = np.arange(len(keys))
-    ids = np.array([NO_ID if d is None else d for d, _, _ in rows], np.int64)
-    return pack_arrays(ids, np.array([bool(x) for *_, x in rows], np.uint8), np.array(sizes, np.int64), place[np.concatenate(tokens)], pack_keys(keys[order]))
+    ids = np.array([d or 0 for d, _, _ in rows], np.int64)
+    marks = np.array([bool(x) + 2 * (d is None) for d, _, x in rows], np.uint8)  # 1: learn, 2: no doc_id
+    return pack_arrays(ids, marks, np.array(sizes, np.int64), place[np.concatenate(tokens)], pack_keys(keys[order]))
+
+
+class Level:
+    """The distinct n-grams of one length in a block, in order of their key.
+
+    ``gram``: that of each token (-1: the token stands too near the start).
+    ``history`` and ``lower``: numbers, one level below, of the n-gram without its
+    last and without its first word; ``word``: the last word.
+    """
+
+    def __init__(self, key: np.ndarray, gram: np.ndarray, history: np.ndarray, word: np.ndarray, lower: np.ndarray):
+        self.key, self.gram, self.history, self.word, self.lower = key, gram, history, word, lower
 
 
 class Block:
-    def __init__(self, data: bytes):
-        self.ids, learn, self.sizes, tokens, steps = unpack_arrays(data)
-        self.keys = unpack_keys(steps)
-        self.learn, self.tokens = learn.astype(bool), tokens.astype(np.int64)
+    def __init__(self, data: bytes, order: int):
+        self.ids, self.marks, self.sizes, tokens, steps = unpack_arrays(data)
+        keys, tokens = unpack_keys(steps), tokens.astype(np.int64)
         self.first = np.cumsum(self.sizes) - self.sizes
-        self.learning = np.repeat(self.learn, self.sizes)
-        self.width = len(self.keys) + 1  # the last history is the start mark
-        self.all_keys = np.append(self.keys, START_KEY)
-
-    def pairs(self) -> None:
-        """Distinct (history, word) pairs in order of their key, and the pair of each token."""
-        history = np.empty_like(self.tokens)
-        history[1:] = self.tokens[:-1]
-        history[self.first] = self.width - 1
-        code, pair = np.unique(history * self.width + self.tokens, return_inverse=True)
-        h, w = code // self.width, code % self.width
-        key = (self.all_keys[h] * _MIX) ^ (self.all_keys[w] >> U(7))
-        key = (key ^ (key >> U(31))) * _MIX + self.all_keys[w] * U(0xC2B2AE3D27D4EB4F)
-        key ^= key >> U(29)
-        order = np.argsort(key, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        self.key, self.h, self.w, self.pair, self.history = key[order], h[order], w[order], place[pair], history
+        self.learning = np.repeat(self.marks & 1 > 0, self.sizes)
+        none = np.zeros(0, np.int64)
+        self.levels = [Level(keys, tokens, none, np.arange(len(keys)), none)]
+        place = np.arange(len(tokens)) - np.repeat(self.first, self.sizes)
+        for k in range(2, order + 1):
+            below = self.levels[-1]
+            at = np.flatnonzero(place >= k - 2)
+            before = np.full(len(tokens) + 1, len(keys))  # the start mark is the number behind the last word
+            before[1:] = below.gram
+            if k == 2:
+                before[self.first] = len(keys)
+            code, one, gram = np.unique(before[at] * (len(keys) + 1) + tokens[at], return_index=True, return_inverse=True)
+            history, word = code // (len(keys) + 1), code % (len(keys) + 1)
+            a, b = self.named(k - 1)[history], keys[word]
+            key = (a * _MIX) ^ (b >> U(7))
+            key = (key ^ (key >> U(31))) * _MIX + b * U(0xC2B2AE3D27D4EB4F)
+            key ^= key >> U(29)
+            sort = np.argsort(key, kind="stable")
+            new = np.empty(len(sort), np.int64)
+            new[sort] = np.arange(len(sort))
+            of = np.full(len(tokens), -1)
+            of[at] = new[gram]
+            self.levels.append(Level(key[sort], of, history[sort], word[sort], below.gram[at[one]][sort]))
+
+    def named(self, k: int) -> np.ndarray:
+        """Keys of the n-grams of k words, with the start mark for k = 1."""
+        return np.append(self.levels[0].key, START_KEY) if k == 1 else self.levels[k - 1].key
+
+    def uses(self, k: int, which: np.ndarray) -> np.ndarray:
+        """How often each n-gram of k words occurs among the tokens of ``which``."""
+        gram = self.levels[k - 1].gram[which]
+        return np.bincount(gram[gram >= 0], minlength=len(self.levels[k - 1].key))
 
 
 def slices(keys: np.ndarray, buckets: int) -> dict[int, slice]:
@@ -104,30 +142,22 @@ def slices(keys: np.ndarray, buckets: int) -> dict[int, slice]:
     return {int(of[a]): slice(int(a), int(b)) for a, b in zip(edges, np.r_[edges[1:], len(of)], strict=True)}
 
 
-def ask_words(buckets: int):
-    def ask(data: bytes, known: list) -> Iterator[tuple[int, bytes]]:
-        b = Block(data)
-        n = np.bincount(b.tokens[b.learning], minlength=len(b.keys)).astype(np.uint32)
-        for bucket, s in slices(b.keys, buckets).items():
-            yield bucket, pack_arrays(pack_keys(b.keys[s]), n[s])
-
-    return ask
-
+def ask_counts(k: int, buckets: int, low: int, high: int):
+    """The block's n-grams of k words in the buckets low .. high - 1: keys, counts, and which occur in documents not learned from."""
 
-def ask_pairs(buckets: int):
     def ask(data: bytes, known: list) -> Iterator[tuple[int, bytes]]:
-        b = Block(data)
-        b.pairs()
-        n = np.bincount(b.pair[b.learning], minlength=len(b.key)).astype(np.uint32)
-        for bucket, s in slices(b.key, buckets).items():
-            yield bucket, pack_arrays(pack_keys(b.key[s]), n[s])
+        b = Block(data, k)
+        key, n, apart = b.levels[k - 1].key, b.uses(k, b.learning).astype(np.uint32), b.uses(k, ~b.learning) > 0
+        for bucket, s in slices(key, buckets).items():
+            if low <= bucket < high:
+                yield bucket, pack_arrays(pack_keys(key[s]), n[s], np.packbits(apart[s]))
 
     return ask
 
 
 def answer_counts(asked: list[bytes]) -> list[bytes]:
-    """Counts over all blocks, whether this block owns the key (the first that counted it), and once per bucket [tokens, keys, keys counted 1 .. K + 1 times]."""
-    keys, counts = zip(*((unpack_keys(k), n) for k, n in map(unpack_arrays, asked)), strict=True)
+    """For each key asked for its count over all blocks, whether this block owns it (the first that counted it) and whether sums after it are wanted; once per bucket [tokens, keys, keys counted 1 .. K + 1 times]."""
+    keys, counts, apart = zip(*((unpack_keys(k), n, np.unpackbits(x, count=len(k))) for k, n, x in map(unpack_arrays, asked)), strict=True)
     sizes = [len(k) for k in keys]
     flat, n = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
     order = np.argsort(flat, kind="stable")
@@ -135,15 +165,16 @@ def answer_counts(asked: list[bytes]) -> list[bytes]:
     head = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
     total = np.add.reduceat(n, head)
     size = np.diff(np.r_[head, len(s)])
-    place = np.where(n > 0, np.arange(len(n)), len(n))
-    owner = np.minimum.reduceat(place, head)
+    owner = np.minimum.reduceat(np.where(n > 0, np.arange(len(n)), len(n)), head)
     own = np.zeros(len(n) + 1, np.uint8)
     own[owner] = 1
-    count, owns = np.empty(len(n), np.int64), np.empty(len(n), np.uint8)
-    count[order], owns[order] = np.repeat(total, size), own[:-1]
+    wanted = (np.maximum.reduceat(np.concatenate(apart)[order], head) > 0) | (total > K)
+    count, owns, wants = np.empty(len(n), np.int64), np.empty(len(n), np.uint8), np.empty(len(n), np.uint8)
+    count[order], owns[order], wants[order] = np.repeat(total, size), own[:-1], np.repeat(wanted, size)
     stats = np.array([total.sum(), np.count_nonzero(total), *(np.count_nonzero(total == r) for r in range(1, K + 2))], np.int64)
     cuts = np.cumsum(sizes)[:-1]
-    return [pack_arrays(c.astype(np.uint32) if total.max() < 1 << 32 else c, np.packbits(o), stats if i == 0 else stats[:0]) for i, (c, o) in enumerate(zip(np.split(count, cuts), np.split(owns, cuts), strict=True))]
+    wide = np.uint32 if total.max() < 1 << 32 else np.int64
+    return [pack_arrays(c.astype(wide), np.packbits(o), np.packbits(w), stats if i == 0 else stats[:0]) for i, (c, o, w) in enumerate(zip(*(np.split(x, cuts) for x in (count, owns, wants)), strict=True))]
 
 
 def totals(answers: DataFrame) -> list[int]:
@@ -154,7 +185,7 @@ def totals(answers: DataFrame) -> list[int]:
         for batch in batches:
             total = np.zeros(width, np.int64)
             for data in batch.column("data").to_pylist():
-                stats = unpack_arrays(data)[2]
+                stats = unpack_arrays(data)[3]
                 if len(stats):
                     total += stats
             yield pa.RecordBatch.from_arrays([pa.array(total[i : i + 1]) for i in range(width)], [f"x{i}" for i in range(width)])
@@ -178,103 +209,146 @@ def discounts(n: list[int]) -> np.ndarray:
 
 
 class Model:
-    """What scoring needs besides the counts: discounts and totals."""
+    """What scoring needs besides the counts: discounts of each length and totals."""
 
-    def __init__(self, words: list[int], pairs: list[int]):
+    def __init__(self, stats: list[list[int]]):
+        words = stats[0]
         self.n, self.v = words[0], words[1]
-        self.d1, self.d2 = discounts(words[2:]), discounts(pairs[2:])
-        left = sum(words[1 + r] * (1 - self.d1[r]) * r for r in range(1, K + 1))
+        self.d = [discounts(x[2:]) for x in stats]
+        left = sum(words[1 + r] * (1 - self.d[0][r]) * r for r in range(1, K + 1))
         self.all = self.n if left > 0 else self.n + 1
         self.unknown = (left or 1) / self.all if self.n else 1.0
 
-    def word(self, c: np.ndarray) -> np.ndarray:
-        return np.where(c > 0, self.d1[np.minimum(c, K + 1)] * c / max(self.all, 1), self.unknown)
+    def kept(self, k: int, c: np.ndarray) -> np.ndarray:
+        """Discounted counts of n-grams of k words."""
+        return self.d[k - 1][np.minimum(c, K + 1)] * c
 
 
-def _read(known: dict[int, bytes], keys: np.ndarray, buckets: int, bits: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    count, own = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+def _read(known: dict[int, bytes], keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    count, own, wanted = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool), np.zeros(len(keys), bool)
     for bucket, s in slices(keys, buckets).items():
-        c, o, _ = unpack_arrays(known[bucket])
-        count[s] = c
-        if bits:
-            own[s] = np.unpackbits(o, count=len(c)) > 0
-    return count, own
+        c, o, w, _ = unpack_arrays(known[bucket])
+        count[s], own[s], wanted[s] = c, np.unpackbits(o, count=len(c)) > 0, np.unpackbits(w, count=len(c)) > 0
+    return count, own, wanted
 
 
-def evaluate(model: Model, word_buckets: int, pair_buckets: int):
-    """Everything but the backoff weights: documents with what they wait for, and sums for the weights."""
+def evaluate(model: Model, buckets: list[int]):
+    """Everything but the sums after histories: documents with what they wait for, and the block's part of the sums.
+
+    ``waiting``: documents, then for each length from 2 the histories asked for
+    (sorted keys, counts, place of their own lower history in the length below)
+    and (document, history, kind, times); kind 1: seen, kind 0: backed off.
+    """
+    order = len(buckets)
 
     def make(block: int, data: bytes, known: list[dict[int, bytes]]) -> Iterator[tuple]:
-        b = Block(data)
-        b.pairs()
-        c1, _ = _read(known[0], b.keys, word_buckets)
-        c2, own = _read(known[1], b.key, pair_buckets, True)
-        c1 = np.append(c1, c1[np.searchsorted(b.keys, END_KEY)])  # every document starts and ends once
-        p1 = model.word(c1)
-        seen = c2 > 0
-        value = np.log10(np.where(seen, model.d2[np.minimum(c2, K + 1)] * c2 / np.maximum(c1[b.h], 1), p1[b.w]))
-        sure = np.zeros(b.width, bool)  # histories of which a discounted pair is seen here
-        sure[b.h[seen & (c2 <= K)]] = True
-        waits = np.where(seen, ~sure[b.h], c1[b.h] > 0)
-        part = np.add.reduceat(value[b.pair], b.first)
-        base = np.add.reduceat(np.log10((c1[b.tokens] + 1) / (model.n + model.v + 1)), b.first)
-        n_known = np.add.reduceat((c1[b.tokens] > 0).astype(np.int64), b.first)
-        late = np.flatnonzero(waits[b.pair])
-        doc = np.repeat(np.arange(len(b.ids)), b.sizes)[late]
-        what, times = np.unique((doc * b.width + b.history[late]) * 2 + seen[b.pair[late]], return_counts=True)
-        doc, h, kind = what // 2 // b.width, what // 2 % b.width, what % 2
-        histories, at = np.unique(b.all_keys[h], return_inverse=True)
-        c_of = np.zeros(len(histories), np.int64)
-        c_of[at] = c1[h]
-        waiting = pack_arrays(b.ids, b.learn.astype(np.uint8), b.sizes, n_known, base, part, doc.astype(np.uint32), at.astype(np.uint32), kind.astype(np.uint8), times.astype(np.uint32), pack_keys(histories), c_of)
-        mine = np.flatnonzero(own & seen)
-        hs, slot = np.unique(b.h[mine], return_inverse=True)
-        order = np.argsort(b.all_keys[hs], kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        slot = place[slot]
-        w = c1[b.w[mine]]
-        sums = [np.bincount(slot[x], minlength=len(hs)).astype(np.uint32) for c in (c2[mine], w) for r in range(1, K + 1) for x in [c == r]]
-        large = np.zeros(len(hs), np.int64)
-        np.add.at(large, slot, np.where(w > K, w, 0))
-        yield block, waiting, pack_arrays(pack_keys(b.all_keys[hs][order]), large, *sums)
+        b = Block(data, order)
+        counts, own, wanted = map(list, zip(*(_read(known[k], b.levels[k].key, buckets[k]) for k in range(order)), strict=True))
+        counts[0] = np.append(counts[0], counts[0][np.searchsorted(b.levels[0].key, END_KEY)])  # every document starts and ends once
+        wanted[0] = np.append(wanted[0], True)
+        c1 = counts[0][:-1]
+        value = np.log10(np.where(c1 > 0, model.kept(1, c1) / max(model.all, 1), model.unknown))
+        waits = np.zeros((len(c1), 0), np.int64)
+        top, top_waits = value[b.levels[0].gram], np.full((len(b.learning), order - 1), -1)
+        sums = []
+        for k in range(2, order + 1):
+            level, c, history = b.levels[k - 1], counts[k - 1], counts[k - 2]
+            h, seen = level.history, c > 0
+            sure = np.zeros(len(history), bool)  # histories of which a discounted n-gram is seen here
+            sure[h[seen & (c <= K)]] = True
+            value = np.where(seen, np.log10(np.where(seen, model.kept(k, c), 1) / np.maximum(history[h], 1)), value[level.lower])
+            waits = np.where(seen[:, None], -1, waits[level.lower])
+            mine = np.where(seen, np.where(sure[h], -1, 2 * h + 1), np.where(history[h] > 0, 2 * h, -1))
+            waits = np.concatenate([waits, mine[:, None]], axis=1)
+            at = np.flatnonzero(level.gram >= 0)
+            top[at] = value[level.gram[at]]
+            top_waits[at, : k - 1] = waits[level.gram[at]]
+            sums += block_sums(b, k, counts, np.flatnonzero(own[k - 1] & seen & wanted[k - 2][h]))
+        part = np.add.reduceat(top, b.first)
+        base = np.add.reduceat(np.log10((c1[b.levels[0].gram] + 1) / (model.n + model.v + 1)), b.first)
+        n_known = np.add.reduceat((c1[b.levels[0].gram] > 0).astype(np.int64), b.first)
+        doc = np.repeat(np.arange(len(b.ids)), b.sizes)
+        lists: dict[int, list[np.ndarray]] = {}
+        above: np.ndarray | None = None
+        for k in range(order, 1, -1):  # a(h) needs m of h's own lower history: so that is asked for too
+            names, n = b.named(k - 1), len(counts[k - 2])
+            late = np.flatnonzero(top_waits[:, k - 2] >= 0)
+            what, times = np.unique(doc[late] * (2 * n) + top_waits[late, k - 2], return_counts=True)
+            d, h, kind = what // (2 * n), what % (2 * n) // 2, what % 2
+            below = h[:0] if above is None else b.levels[k - 1].lower[above]
+            need = np.unique(np.concatenate([h, below]))
+            need = need[np.argsort(names[need], kind="stable")]
+            place = np.zeros(n, np.int64)
+            place[need] = np.arange(len(need))
+            if above is not None:
+                lists[k + 1][2] = place[below].astype(np.uint32)
+            lists[k] = [pack_keys(names[need]), counts[k - 2][need], np.zeros(0, np.uint32), d.astype(np.uint32), place[h].astype(np.uint32), kind.astype(np.uint8), times.astype(np.uint32)]
+            above = need
+        waiting = [x for k in range(2, order + 1) for x in lists[k]]
+        yield block, pack_arrays(b.ids, b.marks, b.sizes, n_known, base, part, *waiting), pack_arrays(*sums)
 
     return make
 
 
-def ask_weights(buckets: int):
-    """Both columns of a block: its sums, and the histories it waits for."""
+def block_sums(b: Block, k: int, counts: list[np.ndarray], mine: np.ndarray) -> list[np.ndarray]:
+    """By history (sorted keys): lower counts above K added up, and how many n-grams, and lower n-grams, have the counts 1 .. K."""
+    level, names = b.levels[k - 1], b.named(k - 1)
+    hs, slot = np.unique(level.history[mine], return_inverse=True)
+    order = np.argsort(names[hs], kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    slot = place[slot]
+    c, low = counts[k - 1][mine], counts[k - 2][level.lower[mine]]
+    per = [np.bincount(slot[x == r], minlength=len(hs)).astype(np.uint32) for x in (c, low) for r in range(1, K + 1)]
+    large = np.zeros(len(hs), np.int64)
+    np.add.at(large, slot, np.where(low > K, low, 0))
+    return [pack_keys(names[hs][order]), large, *per]
+
+
+#: Arrays of a length in what evaluate hands on: in ``waiting`` behind the documents' own, and in the sums.
+OWN, WAITING, SUMS = 6, 7, 2 + 2 * K
+
+
+def ask_sums(order: int, buckets: int):
+    """A block's part of the sums, and the histories it waits for; buckets of one length follow those of the other."""
 
     def ask(data: bytes, known: list) -> Iterator[tuple[int, bytes]]:
-        waiting, sums = split_two(data)
-        wanted = unpack_keys(unpack_arrays(waiting)[10])
-        steps, *columns = unpack_arrays(sums)
-        keys = unpack_keys(steps)
-        have, want = slices(keys, buckets), slices(wanted, buckets)
+        waiting, sums = map(unpack_arrays, split_two(data))
         none = slice(0, 0)
-        for bucket in sorted({*have, *want}):
-            s, t = have.get(bucket, none), want.get(bucket, none)
-            yield bucket, pack_arrays(pack_keys(wanted[t]), pack_keys(keys[s]), *(c[s] for c in columns))
+        for k in range(2, order + 1):
+            wanted = unpack_keys(waiting[OWN + (k - 2) * WAITING])
+            steps, *columns = sums[(k - 2) * SUMS : (k - 1) * SUMS]
+            keys = unpack_keys(steps)
+            have, want = slices(keys, buckets), slices(wanted, buckets)
+            for bucket in sorted({*have, *want}):
+                s, t = have.get(bucket, none), want.get(bucket, none)
+                yield (k - 2) * buckets + bucket, pack_arrays(np.array([k]), pack_keys(wanted[t]), pack_keys(keys[s]), *(c[s] for c in columns))
 
     return ask
 
 
-def answer_weights(model: Model):
-    """For each history asked for: missing mass (times its count) over missing lower mass; where no mass is missing, -1 over the latter."""
+def answer_sums(model: Model):
+    """For each history asked for: its missing mass times its count, and the discounted lower counts of what was seen after it."""
 
     def answer(asked: list[bytes]) -> list[bytes]:
         parts = [unpack_arrays(x) for x in asked]
-        keys = np.concatenate([unpack_keys(p[1]) for p in parts])
+        k = int(parts[0][0][0])
+        keys = np.concatenate([unpack_keys(p[2]) for p in parts])
+        if not len(keys):
+            return [pack_arrays(np.zeros(len(p[1])), np.zeros(len(p[1]))) for p in parts]
         order = np.argsort(keys, kind="stable")
         s = keys[order]
-        head = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.zeros(0, np.int64)
-        columns = [np.add.reduceat(np.concatenate([p[k] for p in parts]).astype(np.int64)[order], head) if len(s) else s.astype(np.int64) for k in range(2, 3 + 2 * K)]
-        r = np.arange(1, K + 1)
-        missing = sum(columns[k] * ((1 - model.d2[k]) * k) for k in r)
-        lower = (columns[0] + sum(columns[K + k] * (model.d1[k] * k) for k in r)) / max(model.all, 1)
-        weight = np.where(missing > 0, missing, -1.0) / np.maximum(1 - lower, 1e-300)
-        known = s[head]
-        return [pack_arrays(weight[np.searchsorted(known, unpack_keys(p[0]))]) for p in parts]
+        head = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+        large, *per = (np.add.reduceat(np.concatenate([p[i] for p in parts]).astype(np.int64)[order], head) for i in range(3, 4 + 2 * K))
+        missing = sum(per[r - 1] * ((1 - model.d[k - 1][r]) * r) for r in range(1, K + 1))
+        lower = large + sum(per[K + r - 1] * (model.d[k - 2][r] * r) for r in range(1, K + 1))
+        known, out = s[head], []
+        for p in parts:
+            wanted = unpack_keys(p[1])
+            at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+            met = known[at] == wanted
+            out.append(pack_arrays(np.where(met, missing[at], 0.0), np.where(met, lower[at], 0.0)))
+        return out
 
     return answer
 
@@ -284,41 +358,52 @@ def split_two(data: bytes) -> tuple[bytes, bytes]:
     return data[8 : 8 + n], data[8 + n :]
 
 
-def finish(buckets: int):
+def finish(model: Model, order: int, buckets: int):
     def make(block: int, data: bytes, known: list[dict[int, bytes]]) -> Iterator[tuple]:
-        ids, learn, sizes, n_known, base, part, doc, at, kind, times, steps, c = unpack_arrays(data)
-        histories = unpack_keys(steps)
-        weight = np.ones(len(histories))
-        for bucket, s in slices(histories, buckets).items():
-            weight[s] = unpack_arrays(known[0][bucket])[0]
-        plain = weight > 0
-        backed = np.log10(np.where(plain, weight / np.maximum(c, 1), -weight / (c + 1)))
-        again = np.where(plain, 0.0, np.log10(np.maximum(c, 1) / (c + 1)))
-        late = times * np.where(kind == 1, again[at], backed[at])
-        score = part + np.bincount(doc, late, len(ids))
-        for row in zip(ids.tolist(), learn.tolist(), sizes.tolist(), n_known.tolist(), base.tolist(), score.tolist(), strict=True):
-            yield (None if row[0] == NO_ID else row[0], bool(row[1]), *row[2:])
+        every = unpack_arrays(data)
+        ids, marks, sizes, n_known, base, score = every[:OWN]
+        denominator = np.zeros(0)
+        for k in range(2, order + 1):
+            steps, c, lower, doc, at, kind, times = every[OWN + (k - 2) * WAITING : OWN + (k - 1) * WAITING]
+            keys = unpack_keys(steps)
+            missing, seen = np.zeros(len(keys)), np.zeros(len(keys))
+            for bucket, s in slices(keys, buckets).items():
+                missing[s], seen[s] = unpack_arrays(known[0][(k - 2) * buckets + bucket])
+            whole = c + (missing <= 0)
+            left = 1 - seen / (max(model.all, 1) if k == 2 else denominator[lower])
+            backed = np.log10(np.where(missing > 0, missing, 1.0) / whole / np.maximum(left, 1e-300))
+            late = times * np.where(kind == 1, np.log10(np.maximum(c, 1) / whole)[at], backed[at])
+            score = score + np.bincount(doc, late, len(ids))
+            denominator = whole.astype(float)
+        for i, mark, *row in zip(ids.tolist(), marks.tolist(), sizes.tolist(), n_known.tolist(), base.tolist(), score.tolist(), strict=True):
+            yield (None if mark & 2 else i, bool(mark & 1), *row)
 
     return make
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """doc_id, learn, n_tokens, n_known, train_tokens, base_score, score for every row; learns from rows with ``learn``."""
+def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """doc_id, learn, n_tokens, n_known, train_tokens, base_score, score for every row (doc_id a whole number); learns from rows with ``learn``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), F.col("learn").cast("boolean").alias("learn"))
     size = (rows.agg(F.sum(F.length("text"))).first()[0] or 0) + 1
-    nw = bucket_count(size, 2 * BUCKET_BYTES)
-    np_ = bucket_count(size, BUCKET_BYTES)
-    blocks = make_blocks(rows, encode, ["doc_id", "text", "learn"], lambda r: len(r[1] or b"") + 8, "token_blocks", BLOCK_BYTES)
-    words = exchange(blocks, [], ask_words(nw), answer_counts, "word_counts")
-    pairs = exchange(blocks, [], ask_pairs(np_), answer_counts, "pair_counts")
-    model = Model(totals(words), totals(pairs))
-    schema = "block long, waiting binary, sums binary"
-    sized = lambda c: F.unhex(F.concat(*(F.substring(F.lpad(F.hex(F.length(c)), 16, "0"), i, 2) for i in range(15, 0, -2))))
-    open_ = materialize(per_block(blocks, [words, pairs], evaluate(model, nw, np_), schema), "open_scores")
-    for t in (blocks, words, pairs):
+    more = scaled(size, BLOCK_BYTES, BUCKET_BYTES, ROW_BYTES)
+    few, many = (bucket_count(size, int(n * BUCKET_BYTES * more)) for n in (2, 1))
+    blocks = make_blocks(rows, encode, ["doc_id", "text", "learn"], lambda r: len(r[1] or b"") + 8, "token_blocks", int(BLOCK_BYTES * more))
+    buckets, tables = [few] + [many] * (order - 1), []
+    for k in range(1, order + 1):
+        cuts = np.linspace(0, buckets[k - 1], 1 + (1 if k == 1 else min(PASSES, buckets[k - 1]))).astype(int).tolist()
+        tables.append([exchange(blocks, [], ask_counts(k, buckets[k - 1], a, b), answer_counts, f"counts_{k}") for a, b in zip(cuts, cuts[1:], strict=False)])
+    joined = [reduce(DataFrame.unionByName, t) for t in tables]
+    model = Model([totals(t) for t in joined])
+    schema, own = "block long, waiting binary, sums binary", []
+    for g in range(GROUPS):
+        part = lambda t, g=g: t.where(F.pmod("block", F.lit(GROUPS)) == g)
+        own.append(materialize(per_block(part(blocks), [part(t) for t in joined], evaluate(model, buckets), schema), "open_scores"))
+        release(docs.sparkSession)
+    for t in (blocks, *(x for t in tables for x in t)):
         discard(t)
-    release(docs.sparkSession)
+    open_ = reduce(DataFrame.unionByName, own)
+    sized = lambda c: F.unhex(F.concat(*(F.substring(F.lpad(F.hex(F.length(c)), 16, "0"), i, 2) for i in range(15, 0, -2))))
     both = open_.select("block", F.concat(sized("waiting"), "waiting", "sums").alias("data"))
-    weights = exchange(both, [], ask_weights(nw), answer_weights(model), "backoff_weights")
-    out = per_block(open_.select("block", F.col("waiting").alias("data")), [weights], finish(nw), "doc_id long, learn boolean, n_tokens long, n_known long, base_score double, score double")
+    sums = exchange(both, [], ask_sums(order, few), answer_sums(model), "sums")
+    out = per_block(open_.select("block", F.col("waiting").alias("data")), [sums], finish(model, order, few), "doc_id long, learn boolean, n_tokens long, n_known long, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(model.n).cast("long"))
