@@ -16,13 +16,19 @@ on the window's bytes alone. So equal windows have equal anchors at equal places
    a leaf, which has the smallest doc_id of its window.
 3. Blocks learn which windows occur earlier, and cut the covered bytes.
 
-A string that a third of all documents share is sent once per block. A block
-and a task hold bounded amounts, and the text moves in compressed blocks.
+A string that a third of all documents share is sent once per block. An anchor
+that more than ``HOT`` blocks have does not bring all its contexts to one bucket:
+its windows are dealt by further bytes that they all hold, those behind the anchor
+for windows that reach far behind it and those before it for the others. A block
+and a task hold bounded amounts, and the text moves in compressed blocks. Blocks
+and buckets grow with the square root of very large inputs, so the rows of an
+exchange stay in proportion to the text.
 
 Defined cases: null and empty texts have zero bytes; rows with equal doc_id do
-not remove from each other; a null doc_id counts as larger than all others;
-texts shorter than LENGTH keep everything; an empty table gives an empty result;
-other columns are ignored.
+not remove from each other; a null doc_id counts as the largest number and stays
+null; texts shorter than LENGTH keep everything; a very long text has a block of
+its own; doc_id is a whole number; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +39,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import bucket_count, exchange, make_blocks, pack_arrays, pack_keys, per_block, squeeze, unpack_arrays, unpack_keys, unsqueeze
+from .blocks import BLOCK_BYTES, bucket_count, exchange, make_blocks, pack_arrays, pack_keys, per_block, scaled, squeeze, unpack_arrays, unpack_keys, unsqueeze
 
 LENGTH, GRAM = 50, 24
 SPREAD = LENGTH - GRAM + 1  # grams in a window
@@ -41,6 +47,11 @@ CONTEXT = LENGTH + SPREAD - 1  # bytes that windows with one anchor can reach
 SHALLOW, TRIE = 16, 32  # depth in bytes before tries, and suffixes in a trie at most
 #: Positions scanned at a time, and text bytes for which there is one bucket.
 PIECE, BUCKET_BYTES = 1 << 18, 8 << 20
+#: Blocks that have an anchor before its windows are dealt by more bytes; windows that start at NEAR or later reach so many bytes behind the anchor.
+HOT, NEAR = 32, 13
+#: Bytes of text for which there are fifty anchors, about.
+ROW_BYTES = 700
+RECORD = CONTEXT + 3  # then the first and last window's start, and 0, or which half of a hot anchor's windows: 1 those from NEAR on, 2 the others
 #: Suffixes sorted at a time, and suffixes in tries that grow together.
 AT_ONCE, TOGETHER = 300_000, 16_384
 NO_ID = (1 << 63) - 1
@@ -51,19 +62,20 @@ _PLACE = U((1 << 24) - 1)
 
 def encode(rows: list[tuple]) -> bytes:
     ids = np.array([NO_ID if d is None else d for d, _ in rows], "<i8")
+    nulls = np.array([d is None for d, _ in rows], np.uint8)
     texts = [t or b"" for _, t in rows]
     sizes = np.array([len(t) for t in texts], "<i8")
-    return squeeze(np.array([len(rows)], "<i8").tobytes() + ids.tobytes() + sizes.tobytes() + b"".join(texts), 5)
+    return squeeze(np.array([len(rows)], "<i8").tobytes() + ids.tobytes() + sizes.tobytes() + nulls.tobytes() + b"".join(texts), 5)
 
 
-def decode(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """doc_ids, offsets, bytes (with CONTEXT zero bytes on either side)."""
+def decode(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """doc_ids, which are null, offsets, bytes (with CONTEXT zero bytes on either side)."""
     raw = unsqueeze(data)
     n = int(np.frombuffer(raw, "<i8", 1)[0])
     ids, sizes = np.frombuffer(raw, "<i8", n, 8), np.frombuffer(raw, "<i8", n, 8 + 8 * n)
-    text = np.zeros(len(raw) - 8 - 16 * n + 2 * CONTEXT, np.uint8)
-    text[CONTEXT:-CONTEXT] = np.frombuffer(raw, np.uint8, -1, 8 + 16 * n)
-    return ids, np.concatenate([[0], np.cumsum(sizes)]) + CONTEXT, text
+    text = np.zeros(len(raw) - 8 - 17 * n + 2 * CONTEXT, np.uint8)
+    text[CONTEXT:-CONTEXT] = np.frombuffer(raw, np.uint8, -1, 8 + 17 * n)
+    return ids, np.frombuffer(raw, np.uint8, n, 8 + 16 * n) > 0, np.concatenate([[0], np.cumsum(sizes)]) + CONTEXT, text
 
 
 def words_at(text: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -124,8 +136,10 @@ def anchors(offsets: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def _bucket_slices(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
     """(bucket, from, to) over sorted keys, dealt by range of the hash."""
+    if not len(keys):
+        return
     of = (keys >> U(32)).astype(np.int64) * buckets >> 32
-    edges = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, np.int64)
+    edges = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
     for a, b in zip(edges, np.r_[edges[1:], len(of)], strict=True):
         yield int(of[a]), int(a), int(b)
 
@@ -142,7 +156,7 @@ def _keys_of(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def ask_anchors(buckets: int):
     def ask(data: bytes, known: list) -> Iterator[tuple[int, bytes]]:
-        ids, offsets, text = decode(data)
+        _, _, offsets, text = decode(data)
         place, h, _, _ = anchors(offsets, text)
         keys, many = _keys_of(h, np.searchsorted(offsets, place, "right"))
         for bucket, a, b in _bucket_slices(keys, buckets):
@@ -152,7 +166,7 @@ def ask_anchors(buckets: int):
 
 
 def answer_anchors(asked: list[bytes]) -> list[bytes]:
-    """For each key of each block: does it occur in two documents?"""
+    """For each key of each block: does it occur in two documents (1), and in more than HOT blocks (2)?"""
     keys, many = [], []
     for data in asked:
         steps, bits = unpack_arrays(data)
@@ -165,31 +179,49 @@ def answer_anchors(asked: list[bytes]) -> list[bytes]:
     n = np.diff(np.r_[head, len(s)])
     shared = (n > 1) | (np.maximum.reduceat(np.concatenate(many)[order], head) > 0)
     out = np.empty(len(every), np.uint8)
-    out[order] = np.repeat(shared, n)
-    return [pack_arrays(np.packbits(x)) for x in np.split(out, np.cumsum([len(k) for k in keys])[:-1])]
+    out[order] = np.repeat(shared + 2 * (n > HOT), n)
+    return [pack_arrays(x) for x in np.split(out, np.cumsum([len(k) for k in keys])[:-1])]
 
 
 def _contexts(offsets: np.ndarray, text: np.ndarray, shared_by_bucket: dict[int, bytes], buckets: int) -> tuple[np.ndarray, ...]:
-    """Shared anchors of a block, in order of hash and place: hash, document, first and last window, record."""
+    """Windows of a block by shared anchor (a hot one's in two halves), in order of what they are dealt by: that hash, document, first and last window, record."""
     place, h, first, last = anchors(offsets, text)
     keys, _ = _keys_of(h, np.zeros(len(h), np.int64))
     flags = np.zeros(len(keys), np.uint8)
     for bucket, a, b in _bucket_slices(keys, buckets):
-        flags[a:b] = np.unpackbits(unpack_arrays(shared_by_bucket[bucket])[0], count=b - a)
-    use = np.flatnonzero(flags[np.searchsorted(keys, h)]) if len(keys) else np.zeros(0, np.int64)
-    use = use[np.argsort(h[use], kind="stable")]
-    place, h, first, last = place[use], h[use], first[use], last[use]
+        flags[a:b] = unpack_arrays(shared_by_bucket[bucket])[0]
+    flag = flags[np.searchsorted(keys, h)] if len(keys) else np.zeros(0, np.uint8)
+    use = np.flatnonzero(flag & 1)
+    place, h, first, last, hot = place[use], h[use], first[use], last[use], flag[use] > 1
+    middle = place - (SPREAD - 1) + NEAR
+    late, early = np.flatnonzero(hot & (last >= middle)), np.flatnonzero(hot & (first < middle))
+    plain = np.flatnonzero(~hot)
+    half = np.repeat(np.array([0, 1, 2], np.uint8), [len(plain), len(late), len(early)])
+    row = np.concatenate([plain, late, early])
+    first, last = np.where(half == 1, np.maximum(first, middle)[row], first[row]), np.where(half == 2, np.minimum(last, middle - 1)[row], last[row])
+    place, h = place[row], h[row]
     origin = place - (SPREAD - 1)  # a record's byte 0: where a window ending in the anchor would start
     lo, hi = (first - origin).astype(np.uint8), (last - origin).astype(np.uint8)
     j = np.arange(CONTEXT)
-    records = np.empty((len(use), CONTEXT + 2), np.uint8)
-    for a in range(0, len(use), 1 << 16):
+    records = np.empty((len(row), RECORD), np.uint8)
+    for a in range(0, len(row), 1 << 16):
         b = slice(a, a + (1 << 16))
         part = text[origin[b, None] + j]
         part[(j < lo[b, None]) | (j >= hi[b, None].astype(np.int64) + LENGTH)] = 0
         records[b, :CONTEXT] = part
-    records[:, CONTEXT], records[:, CONTEXT + 1] = lo, hi
-    return h, np.searchsorted(offsets, place, "right") - 1, first, last, records
+    records[:, CONTEXT], records[:, CONTEXT + 1], records[:, CONTEXT + 2] = lo, hi, half
+    h = np.where(half > 0, _spread(h + _further(records)), h)
+    order = np.lexsort((place, h))
+    return h[order], (np.searchsorted(offsets, place, "right") - 1)[order], first[order], last[order], records[order]
+
+
+def _further(records: np.ndarray) -> np.ndarray:
+    """Hash of the bytes beside the anchor that all windows of a half hold: NEAR behind it, or as many before it; 0 for no half."""
+    half = records[:, CONTEXT + 2]
+    padded = np.zeros((len(records), 16), np.uint8)
+    padded[:, :NEAR] = np.where(half[:, None] == 1, records[:, SPREAD - 1 + GRAM : SPREAD - 1 + GRAM + NEAR], records[:, SPREAD - 1 - NEAR : SPREAD - 1])
+    x, y = padded.view("<u8").T
+    return np.where(half > 0, _spread(_spread(x + half) ^ y), U(0))
 
 
 def _distinct(h: np.ndarray, doc_id: np.ndarray, records: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -215,7 +247,7 @@ def _distinct(h: np.ndarray, doc_id: np.ndarray, records: np.ndarray) -> tuple[n
 
 def ask_windows(buckets: int):
     def ask(data: bytes, known: list[dict[int, bytes]]) -> Iterator[tuple[int, bytes]]:
-        ids, offsets, text = decode(data)
+        ids, _, offsets, text = decode(data)
         h, doc, _, _, records = _contexts(offsets, text, known[0], buckets)
         one, _, least = _distinct(h, ids[doc], records)
         for bucket, a, b in _bucket_slices(h[one], buckets):
@@ -352,19 +384,19 @@ def _blind_tries(text: np.ndarray, base: np.ndarray, group: np.ndarray, depth: i
 def answer_windows(asked: list[bytes]) -> list[bytes]:
     """For each record: a bit for each window in turn that a document before the record's own has.
 
-    Records are taken in turns of about AT_ONCE windows; those with one anchor share a turn.
+    Records are taken in turns of about AT_ONCE windows; those with one anchor, or one half of a hot anchor and the same bytes beside it, share a turn.
     """
     ids, records = [], []
     for data in asked:
         a, r = unpack_arrays(data)
         ids.append(a)
-        records.append(r.reshape(-1, CONTEXT + 2))
+        records.append(r.reshape(-1, RECORD))
     doc, rec = np.concatenate(ids), np.concatenate(records)
     del records
     lo, n = rec[:, CONTEXT].astype(np.int64), rec[:, CONTEXT + 1].astype(np.int64) - rec[:, CONTEXT] + 1
     start = np.cumsum(n) - n
     hit = np.zeros(int(n.sum()), np.uint8)
-    anchor = np.ascontiguousarray(rec[:, SPREAD - 1 : SPREAD + 7]).view("<u8").reshape(-1) * _MIX
+    anchor = (np.ascontiguousarray(rec[:, SPREAD - 1 : SPREAD + 7]).view("<u8").reshape(-1) + _further(rec)) * _MIX
     turns = -(-len(hit) // AT_ONCE)
     turn = ((anchor >> U(40)).astype(np.int64) * turns) >> 24
     for k in range(turns):
@@ -401,7 +433,7 @@ def _spans(parts: list[np.ndarray]) -> list[tuple[int, int]]:
 
 def cut(buckets: int):
     def make(block: int, data: bytes, known: list[dict[int, bytes]]) -> Iterator[tuple]:
-        ids, offsets, text = decode(data)
+        ids, nulls, offsets, text = decode(data)
         h, doc, first, last, records = _contexts(offsets, text, known[0], buckets)
         one, group, least = _distinct(h, ids[doc], records)
         size = (last - first + 1)[one]
@@ -423,7 +455,7 @@ def cut(buckets: int):
             a, b = int(offsets[k]), int(offsets[k + 1])
             g = gone[a:b]
             runs = int(np.count_nonzero(g[1:] & ~g[:-1])) + int(g[0]) if b > a else 0
-            yield None if key == NO_ID else key, b - a, int(np.count_nonzero(g)), runs, text[a:b][~g].tobytes()
+            yield None if nulls[k] else key, b - a, int(np.count_nonzero(g)), runs, text[a:b][~g].tobytes()
 
     return make
 
@@ -432,8 +464,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) for every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets = bucket_count(total, BUCKET_BYTES)
-    blocks = make_blocks(rows, encode, ["doc_id", "text"], lambda r: len(r[1] or b""), "text_blocks")
+    more = scaled(total, BLOCK_BYTES, BUCKET_BYTES, ROW_BYTES)
+    buckets = bucket_count(total, int(BUCKET_BYTES * more))
+    blocks = make_blocks(rows, encode, ["doc_id", "text"], lambda r: len(r[1] or b"") + 8, "text_blocks", int(BLOCK_BYTES * more))
     shared = exchange(blocks, [], ask_anchors(buckets), answer_anchors, "shared_anchors")
     repeated = exchange(blocks, [shared], ask_windows(buckets), answer_windows, "repeated_windows")
     return per_block(blocks, [shared, repeated], cut(buckets), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
@@ -441,5 +474,3 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-
-

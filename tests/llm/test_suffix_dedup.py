@@ -41,8 +41,11 @@ def corpus(seed):
 
 
 def test_against_brute_force(spark, monkeypatch):
-    for seed, piece in ((1, 1 << 19), (2, 97)):
+    for seed, piece, hot in ((1, 1 << 19, 32), (2, 97, 0), (3, 1 << 19, 1)):
         monkeypatch.setattr(S, "PIECE", piece)
+        monkeypatch.setattr(S, "HOT", hot)
+        monkeypatch.setattr(S, "BLOCK_BYTES", 800)
+        monkeypatch.setattr(S, "ROW_BYTES", 1)
         monkeypatch.setattr(S, "BUCKET_BYTES", 3000)
         monkeypatch.setattr(S, "AT_ONCE", 500)
         rows = corpus(seed)
@@ -68,3 +71,31 @@ def test_suffix_classes():
 
 def test_empty(spark):
     assert S.digest(S.remove_repeats(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
+
+
+def test_odd_ids_and_long_texts(spark):
+    text = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(300_000))
+    top = (1 << 63) - 1
+    rows = [(top, text[:400]), (None, text[100:300]), (5, text), (None, None), (5, text[:90])]
+    got = S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes, r.n_removed) for r in got) == [(False, 5, 90, 0), (False, 5, 300_000, 0), (False, top, 400, 400), (True, 0, 0, 0), (True, 0, 200, 200)]
+
+
+def test_a_hot_anchor_is_spread():
+    """Contexts of one anchor that differ beside it go to many buckets, and equal windows to the same."""
+    rng = np.random.default_rng(5)
+    shared = rng.integers(97, 123, 60).astype(np.uint8)
+    texts = [np.concatenate([rng.integers(97, 123, 40), shared[18:42], rng.integers(97, 123, 40)]).astype(np.uint8).tobytes() for _ in range(400)]
+    data = S.encode([(i, t) for i, t in enumerate(texts)] + [(1000, texts[7])])
+    _, _, offsets, text = S.decode(data)
+    keys, _ = S._keys_of(S.anchors(offsets, text)[1], np.zeros(len(S.anchors(offsets, text)[1]), np.int64))
+    spread = {}
+    for flag in (1, 3):
+        h, doc, first, last, _ = S._contexts(offsets, text, {0: S.pack_arrays(np.full(len(keys), flag, np.uint8))}, 1)
+        spread[flag] = np.unique(h, return_counts=True)[1].max()
+        dealt = {}
+        for x, a, b in zip(h.tolist(), first.tolist(), last.tolist(), strict=True):
+            for i in range(a, b + 1):
+                dealt.setdefault(text[i : i + 50].tobytes(), set()).add(x)
+        assert all(len(x) == 1 for x in dealt.values())
+    assert spread[3] <= 4
