@@ -15,9 +15,14 @@ Copies share a fingerprint and count once. A bucket of more than
 parts is compared in a group of its own: no pair is lost and no task holds more
 than two parts.
 
+The joins that bring a group back to its rows run between plain exchanges; a
+fingerprint that a third of the rows have (that of empty texts) is split there by
+the session's skew handling (spark.sql.adaptive.skewJoin), and its other side is one row.
+
 Defined cases: a null text or one without words has fingerprint zero and is
-linked like any other; repeated rows come back each; an empty table gives an
-empty result; other columns are ignored.
+linked like any other; a very long text is hashed whole by one task; a null
+doc_id is no component's smallest one unless it has no other; repeated rows come
+back each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

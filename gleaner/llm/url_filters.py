@@ -9,12 +9,17 @@ every member that no rule names. A rule that fits a page itself comes first, so
 an explicit allow is never overruled by an alias.
 
 Only DataFrame expressions are used. Rules are matched by an equi-join on the
-host's suffixes, so a long rule list needs no other code path; only pages with
-an alias link take part in the component search.
+host's suffixes of up to as many labels as a rule has, so a long rule list needs no
+other code path and a host of very many labels stays small; only pages with an
+alias link take part in the component search. Pages without a url join nothing;
+what joins a frequent url runs between plain exchanges, which the session's skew
+handling (spark.sql.adaptive.skewJoin) may split.
 
 Defined cases: a null url, or one without ``://``, has empty host and path and
-is allowed; null html has no links; repeated urls are one node of the graph;
-empty tables give empty results; other columns are ignored.
+is allowed unless an alias blocks it; null html has no links; repeated urls are one
+node of the graph and every row is judged; very long urls and html are read whole;
+of an allow and a block rule of equal length the allow rule decides; empty tables
+give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,9 +41,10 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return ascii_lower(raw), path
 
 
-def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """``urls`` (key, host, path) -> key, rule, verdict of the longest fitting rule; keys without one are absent."""
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(F.split("host", "\\."))), lambda i: F.array_join(F.slice(F.split("host", "\\."), -i, i), "."))
+def match_rules(urls: DataFrame, rules: DataFrame, labels: int) -> DataFrame:
+    """``urls`` (key, host, path) -> key, rule, verdict of the longest fitting rule; keys without one are absent. labels: of a rule's host at most."""
+    most = F.least(F.lit(labels), F.length("host") - F.length(F.replace("host", F.lit("."), F.lit(""))) + 1)
+    suffixes = F.transform(F.sequence(F.lit(1), most), lambda i: F.call_function("substring_index", F.col("host"), F.lit("."), -i))
     ended = urls.select("key", "path", F.explode(suffixes).alias("rule_host"))
     fitting = ended.join(rules, "rule_host").where(F.col("path").startswith(F.col("rule_path")))
     rank = F.struct(F.length(F.concat("rule_host", "rule_path")), F.col("rule_verdict") == "allow", F.concat("rule_host", "rule_path"))
@@ -81,16 +87,18 @@ def url_filters(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     """page_id, host, path, rule and verdict of every page row."""
     spark = pages.sparkSession
     table = spark.createDataFrame(rules, "rule_verdict string, rule_host string, rule_path string")
+    labels = max((host.count(".") + 1 for _, host, _ in rules), default=1)
     pages = pages.select("page_id", F.col("url").cast("string"), F.col("html").cast("string"))
     links = materialize(alias_links(pages).select(node_of(F.col("url")).alias("u"), node_of(F.col("target")).alias("v")).distinct(), "alias_links")
     host, path = host_and_path(F.col("url"))
     parsed = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     names = parsed.select("host", "path").distinct()
-    ruled = match_rules(names.select(F.struct("host", "path").alias("key"), "host", "path"), table).select("key.host", "key.path", "rule", "verdict")
+    ruled = match_rules(names.select(F.struct("host", "path").alias("key"), "host", "path"), table, labels).select("key.host", "key.path", "rule", "verdict")
     members = materialize(connected_components(links), "alias_members")
     host, path = host_and_path(F.col("node"))
-    judged = match_rules(members.select(F.col("node").alias("key"), host.alias("host"), path.alias("path")), table).where("verdict = 'block'")
+    judged = match_rules(members.select(F.col("node").alias("key"), host.alias("host"), path.alias("path")), table, labels).where("verdict = 'block'")
     bad = judged.join(members, judged["key"] == members["node"]).select("component").distinct()
     blocked = members.join(bad, "component").select("node", F.lit("block").alias("spread"))
-    out = parsed.withColumn("node", node_of(F.col("url"))).join(ruled, ["host", "path"], "left").join(blocked, "node", "left")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", "spread", F.lit("allow")).alias("verdict"))
+    none = parsed.where("url is null").select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
+    out = parsed.where("url is not null").withColumn("node", node_of(F.col("url"))).join(ruled, ["host", "path"], "left").join(blocked, "node", "left")
+    return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", "spread", F.lit("allow")).alias("verdict")).union(none)

@@ -140,3 +140,12 @@ def test_join_of_one_large_group():
     for x, y in verified.join(sets, 0.8):
         mine = [min(mine[x], mine[y]) if z in (mine[x], mine[y]) else z for z in mine]
     assert mine == up
+
+
+def test_null_ids_and_very_long_texts(spark):
+    from gleaner.llm.simhash import near_duplicates
+
+    long = "some words of a long text " * 60_000
+    rows = [(None, "a b c d"), (7, "a b c d"), (None, "alone in its group"), (3, long), (9, long), (2, None), (1, " \n")]
+    got = sorted((r.doc_id or 0, r.component_id or 0) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, 0), (0, 7), (1, 1), (2, 1), (3, 3), (7, 7), (9, 3)]

@@ -60,3 +60,11 @@ def test_components_match_union_find(spark):
             a, b = find(a), find(b)
             up[max(a, b)] = min(a, b)
     assert got == {x: find(x) for x in list(up)}
+
+
+def test_ties_and_very_long_urls(spark):
+    rules = [("block", "a.org", "/x/"), ("allow", "a.org", "/x/"), ("block", "b.org", "/"), ("allow", "b.org", "/")]
+    host = "q." * 200_000 + "b.org"
+    rows = [(1, "http://a.org/x/1", None, ""), (2, f"http://{host}/" + "p" * 500_000, "<p>" * 200_000, ""), (2, f"http://{host}/", None, ""), (None, "http://b.org/", None, "")]
+    got = sorted((r.page_id or 0, r.rule, r.verdict) for r in url_filters(spark.createDataFrame(rows, SCHEMA), rules).collect())
+    assert got == [(0, "b.org/", "allow"), (1, "a.org/x/", "allow"), (2, "b.org/", "allow"), (2, "b.org/", "allow")]
