@@ -1,39 +1,98 @@
-"""Words, patterns and limits that results depend on."""
+"""Words, patterns and limits that results depend on.
+
+They decide what a query or file counts as, so they have to be these: TOKEN and
+PATH_TERM with PATH_STOPWORDS for scores of keyword and path search; QUESTION_STARTS,
+CODE_CHARS, FILENAME, CALL_OR_ATTRIBUTE, MOMENT, SUFFIX and FILLER for routing and
+filters; the ingest lists for admission and language labels; SECRETS for secret
+counts; KIND_EXTS for what is embedded; GRAPH_EXTS, CALL, MAX_DEFINITIONS and
+KEYWORDS for the code graph.
+"""
 
 TOKEN = "[A-Za-z_][A-Za-z0-9_]*|[0-9]+"
 PATH_TERM = "[A-Za-z0-9_.+\\-]{2,}"
-PATH_STOPWORDS = "find file files called named where is the my locate show get open search for path folder directory in of to".split()
+PATH_STOPWORDS = (
+    "find", "file", "files", "called", "named", "where", "is", "the", "my", "locate", "show", "get", "open", "search", "for", "path", "folder", "directory",
+    "in", "of", "to",
+)
 
 QUESTION_STARTS = ("what", "where", "which", "how", "why", "who", "when", "is ", "are ", "does ", "do i", "can i", "find ", "locate ", "show me")
 CODE_CHARS = "(){}[]<>=;:_/\\$#@"
 FILENAME = r"^[\w\-. ]+\.(py|js|ts|tsx|jsx|java|kt|go|rs|c|cpp|h|hpp|md|txt|json|yaml|yml|toml|ini|cfg|sh|sql|html|css|xml|csv|ipynb)$"
+CALL_OR_ATTRIBUTE = r"[A-Za-z_]\w*\.[A-Za-z_]\w*|[A-Za-z_]\w*\([^)]*\)"
+MOMENT = r"\b(today|yesterday|this week|last week|this month|last month|in the last (\d+) (hour|day|week|month)s?)\b"
+SUFFIX = r"(?:^|\s)\*?(\.[a-z0-9]{1,8})(?=\s|$)"
 FILLER = (
-    "file files folder folders document documents stuff something anything the a an of in on with and my me all any some list show find get give "
-    "what which are is that there over under than bigger larger smaller less more between older newer"
-).split()
+    "file", "files", "folder", "folders", "document", "documents", "stuff", "something", "anything", "the", "a", "an", "of", "in", "on", "with", "and", "my",
+    "me", "all", "any", "some", "list", "show", "find", "get", "give", "what", "which", "are", "is", "that", "there", "over", "under", "than", "bigger",
+    "larger", "smaller", "less", "more", "between", "older", "newer",
+)
 
 # Ingest.
 MAX_FILE_BYTES = 2 * 1024 * 1024
 MAX_LINE_CHARS = 4000
 SNIFF_BYTES = 8192
-SKIP_DIRS = ".git .hg .svn __pycache__ .mypy_cache .pytest_cache .ruff_cache node_modules .venv venv site-packages".split()
-MEDIA_EXTS = ".pdf .png .jpg .jpeg .webp .bmp .tif .tiff .gif".split()
+SKIP_DIRS = (".git", ".hg", ".svn", "__pycache__", ".mypy_cache", ".pytest_cache", ".ruff_cache", "node_modules", ".venv", "venv", "site-packages")
+MEDIA_EXTS = (".pdf", ".png", ".jpg", ".jpeg", ".webp", ".bmp", ".tif", ".tiff", ".gif")
 SKIP_EXTS = (
-    ".ico .svgz .heic .mp3 .mp4 .mov .avi .mkv .wav .flac .m4a .aac .webm .zip .tar .gz .bz2 .xz .7z .rar .dmg .pkg .iso .pyc .pyo .so .dylib .dll .exe .o .a "
-    ".class .jar .bin .dat .db .sqlite .sqlite3 .mdb .pack .idx .ttf .otf .woff .woff2 .eot .psd .ai .sketch .fig .pt .pth .safetensors .ckpt .onnx .h5 .pb .gguf .npy .npz"
-).split()
+    ".ico", ".svgz", ".heic", ".mp3", ".mp4", ".mov", ".avi", ".mkv", ".wav", ".flac", ".m4a", ".aac", ".webm", ".zip", ".tar", ".gz", ".bz2", ".xz", ".7z",
+    ".rar", ".dmg", ".pkg", ".iso", ".pyc", ".pyo", ".so", ".dylib", ".dll", ".exe", ".o", ".a", ".class", ".jar", ".bin", ".dat", ".db", ".sqlite",
+    ".sqlite3", ".mdb", ".pack", ".idx", ".ttf", ".otf", ".woff", ".woff2", ".eot", ".psd", ".ai", ".sketch", ".fig", ".pt", ".pth", ".safetensors", ".ckpt",
+    ".onnx", ".h5", ".pb", ".gguf", ".npy", ".npz",
+)
 LANGUAGE_EXTS = {
-    "python": ".py .pyi", "notebook": ".ipynb", "js": ".js .jsx .mjs .cjs", "ts": ".ts .tsx", "java": ".java", "kotlin": ".kt", "scala": ".scala", "go": ".go", "rust": ".rs",
-    "c": ".c .h", "cpp": ".cpp .hpp .cc", "csharp": ".cs", "ruby": ".rb", "php": ".php", "swift": ".swift", "objc": ".m", "dart": ".dart", "shell": ".sh .bash .zsh .fish",
-    "powershell": ".ps1", "sql": ".sql", "graphql": ".graphql", "proto": ".proto", "html": ".html .htm", "css": ".css .scss .sass .less", "xml": ".xml", "json": ".json",
-    "jsonl": ".jsonl", "yaml": ".yaml .yml", "toml": ".toml", "ini": ".ini .cfg", "conf": ".conf", "props": ".properties", "env": ".env .envrc", "lock": ".lock",
-    "markdown": ".md .mdx", "rst": ".rst", "text": ".txt", "log": ".log", "csv": ".csv", "tsv": ".tsv", "latex": ".tex", "org": ".org", "asciidoc": ".adoc",
-    "docker": ".dockerfile", "terraform": ".tf", "gradle": ".gradle", "cmake": ".cmake",
-}
+    "python": (".py", ".pyi"),
+    "notebook": (".ipynb",),
+    "js": (".js", ".jsx", ".mjs", ".cjs"),
+    "ts": (".ts", ".tsx"),
+    "java": (".java",),
+    "kotlin": (".kt",),
+    "scala": (".scala",),
+    "go": (".go",),
+    "rust": (".rs",),
+    "c": (".c", ".h"),
+    "cpp": (".cpp", ".hpp", ".cc"),
+    "csharp": (".cs",),
+    "ruby": (".rb",),
+    "php": (".php",),
+    "swift": (".swift",),
+    "objc": (".m",),
+    "dart": (".dart",),
+    "shell": (".sh", ".bash", ".zsh", ".fish"),
+    "powershell": (".ps1",),
+    "sql": (".sql",),
+    "graphql": (".graphql",),
+    "proto": (".proto",),
+    "html": (".html", ".htm"),
+    "css": (".css", ".scss", ".sass", ".less"),
+    "xml": (".xml",),
+    "json": (".json",),
+    "jsonl": (".jsonl",),
+    "yaml": (".yaml", ".yml"),
+    "toml": (".toml",),
+    "ini": (".ini", ".cfg"),
+    "conf": (".conf",),
+    "props": (".properties",),
+    "env": (".env", ".envrc"),
+    "lock": (".lock",),
+    "markdown": (".md", ".mdx"),
+    "rst": (".rst",),
+    "text": (".txt",),
+    "log": (".log",),
+    "csv": (".csv",),
+    "tsv": (".tsv",),
+    "latex": (".tex",),
+    "org": (".org",),
+    "asciidoc": (".adoc",),
+    "docker": (".dockerfile",),
+    "terraform": (".tf",),
+    "gradle": (".gradle",),
+    "cmake": (".cmake",),
+}
 TEXT_NAMES = (
-    "dockerfile makefile cmakelists.txt rakefile gemfile procfile license licence notice readme changelog authors contributing requirements.txt pipfile poetry.lock "
-    "package.json tsconfig.json .gitignore .dockerignore .npmrc .editorconfig .prettierrc .bashrc .zshrc .bash_profile .profile .env .envrc .gitconfig"
-).split()
+    "dockerfile", "makefile", "cmakelists.txt", "rakefile", "gemfile", "procfile", "license", "licence", "notice", "readme", "changelog", "authors",
+    "contributing", "requirements.txt", "pipfile", "poetry.lock", "package.json", "tsconfig.json", ".gitignore", ".dockerignore", ".npmrc", ".editorconfig",
+    ".prettierrc", ".bashrc", ".zshrc", ".bash_profile", ".profile", ".env", ".envrc", ".gitconfig",
+)
 
 # Secrets, in order of report.
 SECRETS = {
@@ -51,21 +110,31 @@ SECRETS = {
 
 # Embedding policy, tried in this order.
 KIND_EXTS = {
-    "structural": ".json .xml .csv .tsv .lock .map .min.js .min.css .svg .plist .ini .cfg .conf .properties .sarif".split(),
-    "log": ".log .out .err".split(),
-    "prose": ".md .markdown .txt .rst .org .tex .adoc".split(),
+    "structural": (".json", ".xml", ".csv", ".tsv", ".lock", ".map", ".min.js", ".min.css", ".svg", ".plist", ".ini", ".cfg", ".conf", ".properties", ".sarif"),
+    "log": (".log", ".out", ".err"),
+    "prose": (".md", ".markdown", ".txt", ".rst", ".org", ".tex", ".adoc"),
     "code": (
-        ".py .php .js .jsx .ts .tsx .mjs .cjs .java .go .rs .c .h .cc .cpp .hpp .cs .rb .swift .kt .scala .sh .bash .zsh .ps1 .sql .r .lua .pl .ex .exs .dart"
-    ).split(),
+        ".py", ".php", ".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs", ".java", ".go", ".rs", ".c", ".h", ".cc", ".cpp", ".hpp", ".cs", ".rb", ".swift", ".kt",
+        ".scala", ".sh", ".bash", ".zsh", ".ps1", ".sql", ".r", ".lua", ".pl", ".ex", ".exs", ".dart",
+),
 }
 
 # Code graph.
-GRAPH_EXTS = {"python": ".py", "php": ".php", "js": ".js .jsx .ts .tsx .mjs .cjs", "java": ".java", "go": ".go", "rust": ".rs"}
+GRAPH_EXTS = {
+    "python": (".py",),
+    "php": (".php",),
+    "js": (".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs"),
+    "java": (".java",),
+    "go": (".go",),
+    "rust": (".rs",),
+}
 CALL = r"(?<![\w.$>])([A-Za-z_$][\w$]*)\s*\("
 MAX_DEFINITIONS = 25
 KEYWORDS = (
-    "if for while switch catch return function def class new typeof sizeof isset unset echo print array list match fn func do else elif unless and or not in is with try "
-    "except finally raise throw yield await async case default break continue public private protected static var let const int float double string bool void null true "
-    "false self this super parent require include import from as declare namespace use impl struct enum trait interface extends implements instanceof delete foreach "
-    "endforeach elseif endif endwhile endfor endswitch global exit die clone eval empty compact extract defined define"
-).split()
+    "if", "for", "while", "switch", "catch", "return", "function", "def", "class", "new", "typeof", "sizeof", "isset", "unset", "echo", "print", "array",
+    "list", "match", "fn", "func", "do", "else", "elif", "unless", "and", "or", "not", "in", "is", "with", "try", "except", "finally", "raise", "throw",
+    "yield", "await", "async", "case", "default", "break", "continue", "public", "private", "protected", "static", "var", "let", "const", "int", "float",
+    "double", "string", "bool", "void", "null", "true", "false", "self", "this", "super", "parent", "require", "include", "import", "from", "as", "declare",
+    "namespace", "use", "impl", "struct", "enum", "trait", "interface", "extends", "implements", "instanceof", "delete", "foreach", "endforeach", "elseif",
+    "endif", "endwhile", "endfor", "endswitch", "global", "exit", "die", "clone", "eval", "empty", "compact", "extract", "defined", "define",
+)

@@ -57,19 +57,23 @@ def redact(value: Column, keep: int = 4) -> Column:
 def find_secrets(text: Column, limit: int = 20) -> Column:
     """array(struct(kind, found)) in order of kind, then place."""
     each = [F.transform(F.regexp_extract_all(text, F.lit(rx), F.lit(0)), _tagged(kind)) for kind, rx in fixed.SECRETS.items()]
-    return F.slice(F.flatten(F.array(*each)), 1, limit)
+    none = F.array().cast("array<struct<kind:string,found:string>>")
+    return F.when(text.rlike(_SECRET_PART), F.slice(F.flatten(F.array(*each)), 1, limit)).otherwise(F.when(text.isNotNull(), none))
+
+
+#: Every secret holds one of these; texts without one are not searched kind by kind.
+_SECRET_PART = "(?i)PRIVATE KEY-----|sk-|AKIA|gh[pousr]_|xox[baprs]-|AIza|hf_|eyJ|API_?KEY|SECRET|TOKEN|PASSWORD|PASSWD|CREDENTIAL|://"
 
 
 def _tagged(kind: str):
     return lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("found"))
 
 
-def suffix_label(path: Column, table: dict[str, list[str] | str], default: str | None) -> Column:
+def suffix_label(path: Column, table: dict[str, tuple[str, ...]], default: str | None) -> Column:
     """The first label of ``table`` one of whose suffixes ends the path, in lower case."""
     low, out = F.lower(path), None
     for label, exts in table.items():
-        own = exts.split() if isinstance(exts, str) else exts
-        rx = "(" + "|".join(e.replace(".", "\\.") for e in own) + ")$"
+        rx = "(" + "|".join(e.replace(".", "\\.") for e in exts) + ")$"
         out = F.when(low.rlike(rx), label) if out is None else out.when(low.rlike(rx), label)
     return out.otherwise(F.lit(default))
 
@@ -119,10 +123,19 @@ def chunks(text: Column, size: int = 1400, overlap: int = 200) -> Column:
     return F.aggregate(steps, start, grow, lambda acc: acc["out"])
 
 
+def token_chunks(ids: Column, size: int = 435, stride: int = 375) -> Column:
+    """array(struct(off, ids)): windows of ``size`` ids, one every ``stride``, over the ids that any tokenizer gave; short texts are whole."""
+    starts = F.when(F.size(ids) <= size, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.size(ids) - 1 - (size - stride), F.lit(stride)))
+    return F.when(F.size(ids) > 0, F.transform(starts, lambda a: F.struct(a.alias("off"), F.slice(ids, a + 1, F.lit(size)).alias("ids")))).otherwise(F.array().cast("array<struct<off:int,ids:array<bigint>>>"))
+
+
 def split_identifiers(text: Column) -> Column:
-    """camelCase, snake_case and dotted names of at least six characters as words."""
-    apart = F.regexp_replace(F.regexp_replace(text, r"([a-z0-9])([A-Z])", "$1 $2"), r"[_.]+", " ")
-    return apart
+    """camelCase, snake_case and dotted names of at least six characters as words; shorter names stay as they are."""
+    name = "[A-Za-z_][A-Za-z0-9_.]*"
+    apart = lambda w: F.regexp_replace(F.regexp_replace(w, r"([a-z0-9])([A-Z])", "$1 $2"), r"[_.]+", " ")
+    words = F.transform(F.regexp_extract_all(text, F.lit(name), F.lit(0)), lambda w: F.when(F.length(w) >= 6, apart(w)).otherwise(w))
+    between = F.split(text, name, -1)  # one part more than there are names
+    return F.array_join(F.zip_with(between, words, lambda a, w: F.concat(a, F.coalesce(w, F.lit("")))), "")
 
 
 def content_words(text: Column, stop: list[str]) -> Column:

@@ -5,6 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.functions import text as X
+
+
+def paraphrases(pairs: DataFrame, stop: list[str], most: float = 0.34) -> DataFrame:
+    """``pairs`` (query, text) with overlap, the share of the query's content words in the text; those over ``most`` are left out."""
+    q, d = X.content_words(F.col("query"), stop), X.content_words(F.col("text"), stop)
+    share = F.coalesce(F.try_divide(F.size(F.array_intersect(q, d)).cast("double"), F.size(q)), F.lit(0.0))
+    return pairs.withColumn("overlap", share).where(F.col("overlap") <= most)
+
 
 def recall_and_mrr(ranked: DataFrame, cases: DataFrame, k: int = 10) -> DataFrame:
     """cases: case_id, wanted; ranked: case_id, doc_id, pos (from 0). A case not found counts 0."""

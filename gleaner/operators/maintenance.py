@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -18,13 +18,21 @@ def unchanged_removed(listing: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows of ``new`` replace those of ``old`` by path, but keep the old doc_id."""
-    ids = old.select("path", F.col("doc_id").alias("old_id"))
+    """Rows of ``new`` replace those of ``old`` by path, but keep the old doc_id; of several new rows of a path the latest counts."""
+    new = latest(new)
+    ids = old.groupBy("path").agg(F.min("doc_id").alias("old_id"))
     kept = old.join(new.select("path"), "path", "left_anti")
     taken = new.join(ids, "path", "left").withColumn("doc_id", F.coalesce("old_id", "doc_id")).select(old.columns)
     return kept.select(old.columns).unionByName(taken)
 
 
+def latest(rows: DataFrame) -> DataFrame:
+    """One row of each path: that with the largest mtime (if there is one), then of the largest other values."""
+    rest = [c for c in rows.columns if c not in ("path", "mtime")]
+    order = F.struct(*([F.col("mtime")] if "mtime" in rows.columns else []), *map(F.col, rest))
+    return rows.groupBy("path").agg(F.max(order).alias("r")).select(*(F.col("path") if c == "path" else F.col(f"r.{c}").alias(c) for c in rows.columns))
+
+
 def prune_missing(docs: DataFrame, listing: DataFrame) -> DataFrame:
     return docs.join(listing.select("path"), "path", "left_semi").select(docs.columns)
 
@@ -78,16 +86,65 @@ def roots(docs: DataFrame) -> DataFrame:
     return docs.groupBy(F.array_join(F.slice(F.split("path", "/"), 1, 4), "/").alias("root")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "root")
 
 
+def fresh_name() -> str:
+    return uuid.uuid4().hex
+
+
+def _files(spark: SparkSession, folder: str):
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/_versions")
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm
+
+
+def _versions(spark: SparkSession, folder: str) -> list[tuple[int, str]]:
+    path, fs, _ = _files(spark, folder)
+    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    return sorted((int(n.split("-")[0]), n.split("-", 1)[1]) for n in names if n[0] != ".")
+
+
+def point(spark: SparkSession, folder: str, name: str) -> None:
+    """Make ``name`` the current snapshot: a new numbered pointer is moved into place, older ones stay for those who read them."""
+    path, fs, jvm = _files(spark, folder)
+    number = max((n for n, _ in _versions(spark, folder)), default=0) + 1
+    draft = jvm.org.apache.hadoop.fs.Path(path, f".{fresh_name()}")
+    fs.mkdirs(path)
+    fs.create(draft).close()
+    if not fs.rename(draft, jvm.org.apache.hadoop.fs.Path(path, f"{number:012d}-{name}")):
+        raise RuntimeError(f"another writer published version {number} of {folder}")
+
+
+def current_name(spark: SparkSession, folder: str) -> str | None:
+    return max(_versions(spark, folder), default=(0, None))[1]
+
+
 def publish(df: DataFrame, folder: str) -> str:
     """Write a snapshot, then point ``folder`` at it; readers of the old one are not disturbed."""
-    name = uuid.uuid4().hex
+    name = fresh_name()
     df.write.parquet(f"{folder}/{name}")
-    df.sparkSession.createDataFrame([(name,)], "snapshot string").coalesce(1).write.mode("overwrite").text(f"{folder}/_current")
+    point(df.sparkSession, folder, name)
     return name
 
 
-def current(spark, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{spark.read.text(f'{folder}/_current').first()[0]}")
+def current(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The snapshot that ``folder`` points at; none before the first one."""
+    name = current_name(spark, folder)
+    return None if name is None else spark.read.parquet(f"{folder}/{name}")
+
+
+def drop_documents(vectors: DataFrame, plan: DataFrame) -> DataFrame:
+    """The vector rows whose document the plan (doc_id, action) keeps."""
+    return vectors.join(plan.where("action = 'keep'").select("doc_id"), "doc_id", "left_semi")
+
+
+def prune_orphans(vectors: DataFrame, docs: DataFrame) -> DataFrame:
+    """The vector rows whose document still exists."""
+    return vectors.join(docs.select("doc_id"), "doc_id", "left_semi")
+
+
+def index_status(current: DataFrame, stored: DataFrame, policy: str) -> DataFrame:
+    """One row: documents to keep, embed and drop by the resume plan, and whether the vectors are fresh."""
+    n = lambda a: F.count(F.when(F.col("action") == a, 1)).alias(f"n_{a}")
+    return resume_plan(current, stored, policy).agg(n("keep"), n("embed"), n("drop")).withColumn("fresh", (F.col("n_embed") == 0) & (F.col("n_drop") == 0))
 
 
 def set_meta(meta: DataFrame, key: str, value: str) -> DataFrame:

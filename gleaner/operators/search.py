@@ -8,9 +8,12 @@ scores and per-term numbers are ever shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -36,24 +39,24 @@ def regex(docs: DataFrame, pattern: str, limit: int = 40) -> DataFrame:
     return top(found, F.desc("score"), F.asc("doc_id"), limit=limit)
 
 
+def document_frequency(docs: DataFrame) -> DataFrame:
+    """term, df: each document gives each of its terms once, so one combining exchange counts them."""
+    return docs.select(F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
 def postings(docs: DataFrame) -> DataFrame:
     """term, doc_id, tf, dl: the inverted index (dl: the document's number of tokens)."""
     t = docs.select("doc_id", X.tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
     return t.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").cast("long").alias("dl"))
 
 
-def write_postings(docs: DataFrame, path: str) -> None:
-    """The index clustered by term, so that a query's terms prune files and row groups."""
-    postings(docs).repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(path)
-
-
 def _idf(smooth: bool, df: Column, n: Column) -> Column:
     ratio = (n - df + 0.5) / (df + 0.5)
     return F.log(1 + ratio) if smooth else F.when(F.log(ratio) > 0, F.log(ratio)).otherwise(1e-6)
 
 
 def keyword(docs: DataFrame, query: str, limit: int = 40, variant: str = "plain") -> DataFrame:
-    """BM25 in two reads of the texts and no shuffle but of totals.
+    """BM25 in one read of the texts: it counts totals and keeps (cached) the few numbers of documents with a term.
 
     ``plain``: k1 1.5, b 0.75, smoothed idf, each distinct term once. ``weighted``:
     k1 1.2, term frequencies times 1.5, idf at least 1e-6, repeated terms each.
@@ -64,10 +67,18 @@ def keyword(docs: DataFrame, query: str, limit: int = 40, variant: str = "plain"
     terms = sorted(set(found))
     if not terms:
         return docs.select("doc_id", F.lit(0.0).alias("score")).limit(0)
-    toks = X.tokens(F.col("text"))
     tf = lambda t: F.size(F.filter("t", lambda x: x == t)).cast("long")
-    counted = docs.select("doc_id", toks.alias("t")).select("doc_id", F.size("t").cast("long").alias("dl"), *(tf(t).alias(f"tf{i}") for i, t in enumerate(terms)))
-    totals = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms)))).first()
+    low, some = F.lower("text"), F.lit(False)
+    for t in terms:
+        some |= low.contains(t)
+    toks = F.when(some, X.tokens(F.col("text"))).otherwise(F.array().cast("array<string>"))  # texts without a term are only counted
+    counted = docs.select("doc_id", toks.alias("t"), F.regexp_count("text", F.lit(fixed.TOKEN)).cast("long").alias("dl"))
+    counted = counted.select("doc_id", F.coalesce("dl", F.lit(0)).alias("dl"), *(tf(t).alias(f"tf{i}") for i, t in enumerate(terms)))
+    seen = Observation()
+    watched = counted.observe(seen, F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *(F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))))
+    counted = watched.where(" or ".join(f"tf{i} > 0" for i in range(len(terms)))).persist()
+    counted.count()
+    totals = seen.get
     k1, weight, b = (1.5, 1.0, 0.75) if variant == "plain" else (1.2, 1.5, 0.75)
     parts = []
     for i, t in enumerate(terms):
@@ -79,15 +90,18 @@ def keyword(docs: DataFrame, query: str, limit: int = 40, variant: str = "plain"
     return top(scored, F.desc(F.round("score", 9)), F.asc("doc_id"), limit=limit)
 
 
-def keyword_by_postings(index: DataFrame, n: int, avgdl: float, query: str, limit: int = 40) -> DataFrame:
+def keyword_by_postings(index: DataFrame, n: int, avgdl: float, query: str, limit: int = 40, variant: str = "plain") -> DataFrame:
     """The same ranking from a written index: only the query's terms are read."""
     import re
 
-    terms = sorted({w.lower() for w in re.findall(fixed.TOKEN, query)})
+    found = [w.lower() for w in re.findall(fixed.TOKEN, query)]
+    terms = sorted(set(found))
     hits = index.where(F.col("term").isin(terms))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))  # at most one row per query term
-    tf, dl = F.col("tf"), F.col("dl")
-    one = _idf(True, F.col("df"), F.lit(n)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / F.lit(avgdl or 1.0)))
+    k1, weight = (1.5, 1.0) if variant == "plain" else (1.2, 1.5)
+    times = F.lit(1) if variant == "plain" or not terms else F.create_map(*(F.lit(x) for t in terms for x in (t, found.count(t))))[F.col("term")]
+    tf, dl = F.col("tf") * weight, F.col("dl")
+    one = times * _idf(variant == "plain", F.col("df"), F.lit(n)) * tf * (k1 + 1) / (tf + k1 * (0.25 + 0.75 * dl / F.lit(avgdl or 1.0)))
     scored = hits.join(F.broadcast(df), "term").groupBy("doc_id").agg(F.sum(one).alias("score"))
     return top(scored, F.desc(F.round("score", 9)), F.asc("doc_id"), limit=limit)
 
@@ -107,13 +121,31 @@ def path(docs: DataFrame, query: str, limit: int = 40) -> DataFrame:
 
 
 def vector(chunks: DataFrame, query: list[float], limit: int = 5, key: str = "doc_id") -> DataFrame:
-    """Best cosine of each document's unit-length chunk vectors (column embedding)."""
-    q = F.array(*(F.lit(float(x)) for x in query))
-    dot = F.aggregate(F.zip_with(F.col("embedding").cast("array<double>"), q, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    best = chunks.select(F.col(key), dot.alias("s")).groupBy(key).agg(F.max("s").alias("score"))
+    """Best cosine of each document's unit-length chunk vectors (column embedding): one product for each Arrow batch, whose best row of each document goes on."""
+    q = np.array(query, float)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column(1)
+            dots = rows.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), -1) @ q if len(rows) else np.zeros(0)
+            best = pa.table({"k": batch.column(0), "s": dots}).group_by("k").aggregate([("s", "max")])
+            yield from best.select(["k", "s_max"]).rename_columns([key, "s"]).to_batches()
+
+    kind = chunks.schema[key].dataType.simpleString()
+    whole = chunks.where(F.size("embedding") == len(query)).select(key, "embedding")
+    best = whole.mapInArrow(run, f"{key} {kind}, s double").groupBy(key).agg(F.max("s").alias("score"))
     return top(best, F.desc(F.round("score", 9)), F.asc(key), limit=limit)
 
 
+def with_lines(docs: DataFrame, least: int, most: int) -> DataFrame:
+    """Documents of so many lines, both ends included."""
+    return docs.where(F.col("n_lines").between(least, most))
+
+
+def by_id(docs: DataFrame, ids: list[int]) -> DataFrame:
+    return docs.where(F.col("doc_id").isin(ids))
+
+
 def metadata(docs: DataFrame, filters: dict, skipped: DataFrame | None = None, limit: int = 40) -> DataFrame:
     """Files by size, time and extension; then skipped files by size and extension, in one list (doc_id null, pos from 0)."""
     size = F.lit(True)

@@ -13,14 +13,14 @@ from gleaner.functions import fixed
 
 LIMIT, SEMANTIC_LIMIT = 400, 5
 _FILENAME = re.compile(fixed.FILENAME, re.I)
-_SHAPE = re.compile(r"[A-Za-z_]\w*\.[A-Za-z_]\w*|[A-Za-z_]\w*\([^)]*\)")
+_SHAPE = re.compile(fixed.CALL_OR_ATTRIBUTE)
 _UNITS = {"": 0, "b": 0, "k": 1, "m": 2, "g": 3, "t": 4}
 _SIZE = r"\s*(\d+(?:\.\d+)?)(?![\d.])(?!\s*(?:sec|min|hour|day|week|month|year))(?:\s*([kmgt]i?b|[kmgtb])\b)?"
 _OVER = re.compile(r"(?:\b(?:over|larger than|bigger than|greater than|above)|>)" + _SIZE)
 _UNDER = re.compile(r"(?:\b(?:under|smaller than|less than|below)|<)" + _SIZE)
 _ABOUT = re.compile(r"\b(\d+(?:\.\d+)?)\s*(tb|gb|mb|kb)\b")
-_WHEN = re.compile(r"\b(today|yesterday|this week|last week|this month|last month|in the last (\d+) (hour|day|week|month)s?)\b")
-_EXT = re.compile(r"(?:^|\s)\*?(\.[a-z0-9]{1,8})(?=\s|$)")
+_WHEN = re.compile(fixed.MOMENT)
+_EXT = re.compile(fixed.SUFFIX)
 
 
 def classify(query: str) -> dict:

@@ -1,11 +1,13 @@
 """Ingest of directories: listing, admission, text decoding and the ledger of skipped files.
 
-The listing reads no content. What is admitted and new by (path, mtime, size)
-alone is read, so a refresh costs the changed files.
+The listing reads no content. What is new by (path, mtime, size) and admitted by
+name and size alone is read, file by file where it lies, so a refresh costs the
+changed files and no content is ever shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,10 +32,11 @@ def directories(files: DataFrame, root: str) -> DataFrame:
     return inner.select(F.concat(F.lit(root.rstrip("/") + "/"), "d").alias("path"), F.lit(0.0).alias("mtime"), F.lit(0).cast("long").alias("size"), F.lit("").alias("lang"), F.lit(0).alias("n_lines"), F.lit("").alias("text"), F.lit("dir").alias("method"), F.lit(True).alias("is_dir"))
 
 
-def in_skipped_directory(path: Column, include_deps: bool = False) -> Column:
-    """Inside a pruned directory; with ``include_deps`` only the dotted ones stay pruned."""
+def in_skipped_directory(path: Column, include_deps: bool = False, root: str = "") -> Column:
+    """Inside a pruned directory below ``root``; with ``include_deps`` only the dotted ones stay pruned."""
     names = [n for n in fixed.SKIP_DIRS if not include_deps or n.startswith(".")]
-    return F.arrays_overlap(F.slice(F.split(path, "/"), 1, F.size(F.split(path, "/")) - 1), F.array(*map(F.lit, names)))
+    parts = F.split(F.substring(path, F.lit(len(root.rstrip("/")) + 1), F.length(path)) if root else path, "/")
+    return F.arrays_overlap(F.slice(parts, 1, F.size(parts) - 1), F.array(*map(F.lit, names)))
 
 
 def admission(path: Column, size: Column, head: Column | None = None) -> Column:
@@ -43,14 +46,14 @@ def admission(path: Column, size: Column, head: Column | None = None) -> Column:
     """
     name = F.lower(X.base_name(path))
     ext = F.when(F.instr(F.substring(name, 2, 1 << 20), ".") > 0, F.concat(F.lit("."), F.element_at(F.split(name, "\\."), -1))).otherwise("")
-    text_exts = [e for own in fixed.LANGUAGE_EXTS.values() for e in own.split()]
+    text_exts = [e for own in fixed.LANGUAGE_EXTS.values() for e in own]
     clean = F.lit(True) if head is None else ~F.coalesce(F.hex(F.substring(head, 1, fixed.SNIFF_BYTES)).rlike("^(..)*00"), F.lit(False))
     return (
         F.when(size > fixed.MAX_FILE_BYTES, "too_large")
-        .when(ext.isin(fixed.SKIP_EXTS), "binary_ext")
-        .when(ext.isin(fixed.MEDIA_EXTS), "media")
-        .when(ext.isin(text_exts), "ext")
-        .when(name.isin(fixed.TEXT_NAMES) | name.startswith(".env"), "known_name")
+        .when(ext.isin(*fixed.SKIP_EXTS), "binary_ext")
+        .when(ext.isin(*fixed.MEDIA_EXTS), "media")
+        .when(ext.isin(*text_exts), "ext")
+        .when(name.isin(*fixed.TEXT_NAMES) | name.startswith(".env"), "known_name")
         .when((ext == "") & clean, "sniffed")
         .otherwise("unknown_ext")
     )
@@ -79,29 +82,87 @@ def extract(content: Column, path: Column, media: Column | None = None) -> Colum
     return F.struct(F.when(pdf | image, found).otherwise(decoded(content)).alias("text"), method.alias("method"))
 
 
-def ingest(spark: SparkSession, root: str, known: DataFrame | None = None, include_deps: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(documents, ledger) of a directory. ``known``: path, mtime, size of files that need no reading."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    files = files.select("path", (F.unix_micros("modificationTime") / 1e6).alias("mtime"), F.col("length").alias("size"), "content")
-    files = files.where(~in_skipped_directory(F.col("path"), include_deps))
+Read = Callable[[str], bytes]
+
+
+def opened(path: str) -> bytes:
+    """Content of a file in any store that pyarrow reaches (local, hdfs, s3, gs); others take a reader of their own."""
+    from pyarrow import fs
+
+    store, inner = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file:///") else path)
+    with store.open_input_stream(inner) as f:
+        return f.read()
+
+
+def contents_of(files: DataFrame, read: Read = opened) -> DataFrame:
+    """``files`` with ``content``, read by the executors (null where a file is unreadable)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def one(path: str) -> bytes | None:
+            try:
+                return read(path)
+            except OSError:
+                return None
+
+        for f in frames:
+            for at in range(0, len(f), 64):  # bounded by 64 files of the largest size admitted
+                part = f.iloc[at : at + 64]
+                yield part.assign(content=part["path"].map(one))
+
+    return files.mapInPandas(run, T.StructType([*files.schema.fields, T.StructField("content", T.BinaryType())]))
+
+
+def rooted(spark: SparkSession, root: str) -> str:
+    """``root`` as the paths of a listing begin."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+
+
+def ingest(spark: SparkSession, root: str, known: DataFrame | None = None, include_deps: bool = False, media: Column | None = None, read: Read = opened) -> tuple[DataFrame, DataFrame]:
+    """(documents and directories, ledger) of a directory.
+
+    ``known``: path, mtime, size of files that need no reading. ``media``: expression over ``content`` and ``path`` for the text of pdf files and images.
+    """
+    base = rooted(spark, root)
+    every = listing(spark, root)
+    files = every.where(~in_skipped_directory(F.col("path"), include_deps, base))
     if known is not None:
         files = files.join(known.select("path", "mtime", "size"), ["path", "mtime", "size"], "left_anti")
-    judged = files.withColumn("why", admission(F.col("path"), F.col("size"), F.col("content")))
-    read = judged.where(F.col("why").isin(*TAKEN)).withColumn("x", extract(F.col("content"), F.col("path")))
-    docs = read.where(F.trim("x.text") != "").select(
+    judged = files.withColumn("why", admission(F.col("path"), F.col("size")))
+    wanted = F.col("why").isin(*TAKEN, *(["media"] if media is not None else []))
+    sniffed = admission(F.col("path"), F.col("size"), F.col("content"))
+    fetched = contents_of(judged.where(wanted), read).withColumn("why", F.when(F.col("content").isNull(), "unreadable").when(F.col("why") == "sniffed", sniffed).otherwise(F.col("why")))
+    x = extract(F.col("content"), F.col("path"), media)
+    done = fetched.withColumn("x", F.when(F.col("why").isin(*TAKEN, "media"), x)).drop("content")
+    taken = F.coalesce(F.trim("x.text") != "", F.lit(False))
+    docs = done.where(taken).select(
         F.xxhash64("path").alias("doc_id"), "path", "mtime", "size", X.language_of(F.col("path")).alias("lang"), X.line_count(F.col("x.text")).alias("n_lines"),
         "x.text", "x.method", F.lit(False).alias("is_dir"),
     )
-    blank = read.where(F.trim("x.text") == "").select("path", "size", F.lit("no_text_content").alias("reason"), F.col("mtime").alias("seen"))
-    skipped = judged.where(~F.col("why").isin(*TAKEN)).select("path", "size", F.col("why").alias("reason"), F.col("mtime").alias("seen"))
-    return docs, skipped.unionByName(blank)
+    folders = directories(files, base).select(F.xxhash64("path").alias("doc_id"), *(c for c in docs.columns if c != "doc_id"))
+    why = F.when(F.col("why").isin(*TAKEN, "media"), "no_text_content").otherwise(F.col("why"))
+    late = done.where(~taken).select("path", "size", why.alias("reason"), F.col("mtime").alias("seen"))
+    skipped = judged.where(~wanted).select("path", "size", F.col("why").alias("reason"), F.col("mtime").alias("seen"))
+    return docs.unionByName(folders), skipped.unionByName(late)
+
+
+def pruned(spark: SparkSession, root: str, include_deps: bool = False) -> DataFrame:
+    """How many files, and bytes, lie in directories that are left out."""
+    return listing(spark, root).where(in_skipped_directory(F.col("path"), include_deps, rooted(spark, root))).agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
 
 
 def write_json(hits: DataFrame, path: str) -> None:
     hits.write.mode("overwrite").json(path)
 
 
-def contents(spark: SparkSession, ledger: DataFrame, root: str, most: int = 48 << 20) -> DataFrame:
-    """path, size, text of skipped files of at most ``most`` bytes, for search.grep."""
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("length") <= most)
-    return read.join(ledger.select("path"), "path", "left_semi").select("path", F.col("length").alias("size"), decoded(F.col("content")).alias("text"))
+def contents(ledger: DataFrame, most: int = 48 << 20, read: Read = opened) -> DataFrame:
+    """path, size, text of skipped files of at most ``most`` bytes, for search.grep; what cannot be read is left out."""
+    small = ledger.where(F.col("size") <= most).select("path", "size").distinct()
+    return contents_of(small, read).where("content is not null").select("path", "size", decoded(F.col("content")).alias("text"))
+
+
+def written(hits: DataFrame) -> DataFrame:
+    """Hits as lines of text: place, path, line and snippet."""
+    place = F.concat_ws(":", "path", F.col("line_no").cast("string"))
+    return hits.orderBy("pos").select(F.concat_ws("  ", F.lpad((F.col("pos") + 1).cast("string"), 3, " "), place, F.coalesce("snippet", F.lit(""))).alias("value"))

@@ -5,24 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from gleaner.operators.maintenance import current, publish, upsert
+from gleaner.operators.maintenance import current, latest, publish, upsert
 
 
 def follow(spark: SparkSession, source: str, schema, folder: str, checkpoint: str) -> StreamingQuery:
     """Read Parquet files as they appear in ``source`` and upsert their rows by path into the snapshots of ``folder``.
 
-    A batch that is repeated after a failure gives the same snapshot, since rows replace each other by path.
+    Of several rows of a path in a batch the latest counts, so a batch that is repeated after a failure gives the same snapshot.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        last = batch.dropDuplicates(["path"])
-        try:
-            old = current(spark, folder)
-        except Exception as e:  # the first batch has no snapshot yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            publish(last, folder)
-            return
-        publish(upsert(old, last), folder)
+        old = current(spark, folder)
+        publish(latest(batch) if old is None else upsert(old, batch), folder)
 
     return spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -5,6 +5,7 @@ from gleaner.functions import embed
 from gleaner.functions import text as X
 from gleaner.operators import graph, maintenance
 from gleaner.operators import search as S
+from gleaner.operators.index import SearchIndex
 from gleaner.plans import engine
 from gleaner.plans.engine import Engine
 from gleaner.sources import files
@@ -59,7 +60,7 @@ def test_exact_ties_prefer_short_then_low_id(spark):
     assert S.exact(d, "a").count() == 0
 
 
-@pytest.mark.parametrize(("query", "path", "is_dir", "score"), [("device_search/config.py", "/a/config.py", False, 6.0), ("config", "/a/config.py", False, 6.0), ("screenshots", "/x/Screenshots", True, 12.0), ("screenshot", "/x/Screenshots", True, 3.0), ("fig", "/a/config.py", False, 2.0), ("screenshots", "/x/Screenshots/a.png", False, None)])
+@pytest.mark.parametrize(("query", "path", "is_dir", "score"), [("project/config.py", "/a/config.py", False, 6.0), ("config", "/a/config.py", False, 6.0), ("screenshots", "/x/Screenshots", True, 12.0), ("screenshot", "/x/Screenshots", True, 3.0), ("fig", "/a/config.py", False, 2.0), ("screenshots", "/x/Screenshots/a.png", False, None)])
 def test_path_scores(spark, query, path, is_dir, score):
     got = S.path(spark.createDataFrame([(1, path, is_dir)], "doc_id long, path string, is_dir boolean"), query).collect()
     assert [r.score for r in got] == ([score] if score else [])
@@ -97,16 +98,76 @@ def test_decode():
 
 
 def test_ingest_of_a_directory(spark, tmp_path):
-    for name, data in {"a/n.md": b"hello\nworld", "a/x.so": b"\0", "b/none": b"plain", "b/bin": b"a\0b", "b/blank.txt": b"  \n", "node_modules/q.js": b"x", "big.txt": b"x" * (2 * 1024 * 1024 + 1), "p.pdf": b"%PDF"}.items():
-        p = tmp_path / name
-        p.parent.mkdir(exist_ok=True)
+    root = tmp_path / "venv" / "proj"  # a pruned name above the root does not count
+    for name, data in {"aa/n.md": b"hello\nworld", "aa/x.so": b"\0", "b/none": b"plain", "b/bin": b"a\0b", "b/blank.txt": b"  \n", "node_modules/q.js": b"x", "big.txt": b"x" * (2 * 1024 * 1024 + 1), "p.pdf": b"%PDF"}.items():
+        p = root / name
+        p.parent.mkdir(parents=True, exist_ok=True)
         p.write_bytes(data)
-    docs, skipped = files.ingest(spark, str(tmp_path))
-    docs = docs.cache()
+    every, skipped = files.ingest(spark, str(root))
+    every = every.cache()
+    docs, folders = every.where("not is_dir"), every.where("is_dir")
     assert {(r.path.rsplit("/", 1)[1], r.lang, r.n_lines) for r in docs.collect()} == {("n.md", "markdown", 2), ("none", "text", 1)}
+    assert {r.path.rsplit("/", 1)[1] for r in folders.collect()} == {"aa", "b"}
     assert {(r.path.rsplit("/", 1)[1], r.reason) for r in skipped.collect()} == {("x.so", "binary_ext"), ("bin", "unknown_ext"), ("blank.txt", "no_text_content"), ("big.txt", "too_large"), ("p.pdf", "media")}
-    assert files.ingest(spark, str(tmp_path), known=docs)[0].count() == 0
-    assert [r.path.rsplit("/", 1)[1] for r in S.grep(files.contents(spark, skipped, str(tmp_path)), "A\0B").collect()] == ["bin"]
+    assert files.pruned(spark, str(root)).first().files == 1
+    assert files.ingest(spark, str(root), known=docs)[0].where("not is_dir").count() == 0
+    assert [r.path.rsplit("/", 1)[1] for r in S.grep(files.contents(skipped), "A\0B").collect()] == ["bin"]
+    named = files.ingest(spark, str(root), media=F.concat(F.lit("seen "), F.length("content")))[0].where("method = 'pdftext'").first()
+    assert named.text == "seen 4" and S.path(every, "where is aa").first().score == 12.0
+
+
+def test_a_refresh_does_not_read_what_is_known(spark, tmp_path):
+    (tmp_path / "a.md").write_text("x")
+    docs = files.ingest(spark, str(tmp_path))[0]
+    plan = files.ingest(spark, str(tmp_path), known=docs)[0]._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and "BinaryFile" in plan.replace("binaryFile", "BinaryFile")
+    assert not any("content" in line for line in plan.split("\n") if "Scan binaryFile" in line)
+
+
+def test_upsert_of_repeated_paths(spark):
+    schema = "doc_id long, path string, mtime double, text string"
+    old = spark.createDataFrame([(1, "a", 1.0, "old"), (2, "b", 1.0, "same")], schema)
+    new = spark.createDataFrame([(8, "a", 3.0, "newest"), (9, "a", 2.0, "newer"), (7, "c", 1.0, "x"), (6, "c", 1.0, "y")], schema)
+    assert sorted(tuple(r) for r in maintenance.upsert(old, new).collect()) == [(1, "a", 3.0, "newest"), (2, "b", 1.0, "same"), (7, "c", 1.0, "x")]
+
+
+def test_pointer_moves_at_once(spark, tmp_path):
+    folder = str(tmp_path / "t")
+    assert maintenance.current(spark, folder) is None
+    for n in (3, 5):
+        maintenance.publish(spark.range(n), folder)
+        assert maintenance.current(spark, folder).count() == n
+    assert len(maintenance._versions(spark, folder)) == 2
+
+
+def test_index_finds_what_a_scan_finds(spark, docs, tmp_path):
+    index = SearchIndex.write(docs, str(tmp_path / "i"))
+    for literal in ("InputLayer(shape=(784,))", "quick", "no such text", "qu", "x", "the q", "_"):
+        assert index.exact(literal).collect() == S.exact(docs, literal).collect()
+    for variant in ("plain", "weighted"):
+        assert [tuple(r) for r in index.keyword("the quick handles fox fox", 10, variant).collect()] == [tuple(r) for r in S.keyword(docs, "the quick handles fox fox", 10, variant).collect()]
+    for query in ("quick", "unique_token_xyz", "db_acl.php", "InputLayer(shape=(784,))"):
+        hits, trace = Engine(docs, index=index).search(query)
+        assert any(r.lexical for r in hits.collect()), trace
+        assert hits.drop("sources").collect() == Engine(docs).search(query)[0].drop("sources").collect()
+
+
+def test_trace_of_a_search(spark, docs):
+    ledger = spark.createDataFrame([("/x/huge.bin", 9_000_000, "holds zzqqxx inside")], "path string, size long, text string")
+    code = graph.extract(spark.createDataFrame([(1, "a.py", "def load():\n    open_it()\n")], "doc_id long, path string, text string"))
+    own = Engine(docs, ledger_texts=ledger, code=code, recorded={"doc_count": 3, "doc_max_id": 2, "doc_mtime_sum": 3.0})
+    hits, trace = own.search("zzqqxx")
+    assert hits.count() == 0 and [r.path for r in trace["grep"].collect()] == ["/x/huge.bin"]
+    assert trace["vectors"].first().stale is False
+    _, trace = own.search("quick open_it() load")
+    assert "grep" not in trace and {(r.name, r.relation, r.via) for r in trace["graph"].collect()} == {("load", "definition", None), ("open_it", "caller", "load")}
+    assert Engine(docs).search("over 10gb")[1]["explain_empty"]["passes_min_bytes"] == 0
+
+
+def test_skipped_files_do_not_use_up_places(spark, docs):
+    skipped = spark.createDataFrame([(f"/s/{i}.bin", 50, "binary_ext") for i in range(5)], "path string, size long, reason string")
+    hits = Engine(docs, skipped=skipped).search("under 1kb", 2)[0].collect()
+    assert sum(r.doc_id is not None for r in hits) == 2
 
 
 def test_stream_upserts_by_path(spark, tmp_path):
@@ -133,4 +194,93 @@ def test_vectors_resume_by_document(spark, docs):
 def test_rerank_moves_only_the_head(spark):
     hits = spark.createDataFrame([(i, i) for i in range(5)], "doc_id long, pos int")
     scores = spark.createDataFrame([(0, 0.1), (1, 0.9), (2, 0.5)], "doc_id long, rerank_score double")
-    assert [r.doc_id for r in engine.rerank(hits, scores, 3).collect()] == [1, 2, 0, 3, 4]
+    again = engine.rerank(hits, scores, 3)
+    assert [r.doc_id for r in again.collect()] == [1, 2, 0, 3, 4]
+    after = spark.createDataFrame([(k, i) for i, k in enumerate([1, 2, 0, 3, 4])], "doc_id long, pos int")
+    assert tuple(engine.moved(hits, after).first()) == (5, 3, 2)
+
+
+def test_scorers(spark):
+    texts = ["short", "a much longer passage", "token = abcdefgh", "mid length"]
+    hits = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "doc_id long, pos int, text string")
+    scores = engine.scored(hits, lambda passages: [len(p) for p in passages], 3)
+    assert {r.doc_id: r.rerank_score for r in scores.collect()} == {0: 5.0, 1: 21.0, 2: 16.0}
+    assert [r.rerank_score for r in engine.scored(hits, lambda passages: [][0], 2).collect()] == [None, None]
+    shown, order = engine.ordered(hits, [3, 1])
+    assert [r.doc_id for r in shown.collect()] == [0, 1, 3] and [r.doc_id for r in order.collect()] == [3, 1, 0, 2]
+
+
+def test_token_windows(spark):
+    rows = spark.createDataFrame([(list(range(n)),) for n in (0, 1, 435, 436, 810, 811, 2000)], "ids array<long>").select("ids", X.token_chunks(F.col("ids")).alias("c")).collect()
+    for r in rows:
+        assert sorted({i for c in r.c for i in c.ids}) == r.ids and all(len(c.ids) <= 435 and c.off % 375 == 0 and c.ids == r.ids[c.off : c.off + 435] for c in r.c)
+    assert [len(r.c) for r in rows] == [0, 1, 1, 2, 2, 3, 6]
+
+
+def test_vector_upkeep(spark):
+    schema = "doc_id long, fingerprint string, policy string"
+    stored = spark.createDataFrame([(1, "a", "p"), (1, "a", "p"), (2, "b", "p"), (3, "c", "old"), (4, "d", "p")], schema)
+    now = spark.createDataFrame([(1, "a"), (2, "changed"), (3, "c"), (5, "e")], "doc_id long, fingerprint string")
+    assert tuple(maintenance.index_status(now, stored.distinct(), "p").first()) == (1, 3, 1, False)
+    kept = maintenance.drop_documents(stored, maintenance.resume_plan(now, stored.distinct(), "p"))
+    assert [r.doc_id for r in kept.collect()] == [1, 1]
+    assert sorted(r.doc_id for r in maintenance.prune_orphans(stored, now).collect()) == [1, 1, 2, 3]
+
+
+def test_definitions_by_language():
+    cases = {
+        "python": {"async def f(x):": ("f", "function"), "class A[T](B):": ("A", "class"), "  def g[T](x): pass": ("g", "function"), "@wraps(f)": None, "x = f(1)": None, "classes(1)": None, "class Z:": ("Z", "class")},
+        "php": {"public static function &foo($a) {": ("foo", "function"), "abstract class Foo extends Bar": ("Foo", "class"), "INTERFACE I {": ("I", "class"), "$f = function($x) {": None},
+        "js": {"export default async function* gen(a) {": ("gen", "function"), "const f = async (x) => {": ("f", "function"), "let v = 3": None, "export class K extends L {": ("K", "class"), "var g = function(a) {": ("g", "function"), "function(a) {": None},
+        "java": {"public static <T> List<Map<String, T>> run(int a) throws X {": ("run", "function"), "if (a) {": None, "return foo(a) {": None, "} else if (a) {": None, "final class A {": ("A", "class"), "int x = f(3);": None, "void go(int[] a) {": ("go", "function")},
+        "go": {"func (r *T) Name[K any](x int) {": ("Name", "function"), "type T[K any] struct {": ("T", "class"), "type F func(int)": None, "func main() {": ("main", "function")},
+        "rust": {"pub(crate) async fn go<T>(x: T) {": ("go", "function"), "const X: i32 = 3;": None, "pub trait Tr {": ("Tr", "class"), "impl Tr for X {": None},
+    }
+    for lang, lines in cases.items():
+        for line, want in lines.items():
+            assert graph.definition(line, lang) == want, line
+
+
+def test_nested_and_repeated_definitions():
+    symbols, calls = graph.parse("def outer():\n    def inner():\n        a()\n    b()\ndef outer():\n    c()\n", "python")
+    assert [(s[0], s[2]) for s in symbols] == [("outer", 1), ("inner", 2), ("outer", 5)]
+    assert [(i, n) for i, n, _ in calls] == [(1, "a"), (1, "b"), (2, "c")]
+
+
+def test_code_of_changed_files(spark):
+    schema = "doc_id long, path string, text string"
+    rows = graph.extract(spark.createDataFrame([(1, "a.py", "def old():\n    x()\n"), (2, "b.py", "y()\n")], schema))
+    new = graph.replace_files(rows, spark.createDataFrame([(1, "a.py", "def fresh():\n    z()\n")], schema))
+    assert sorted((r.path, r.name) for r in new.collect()) == [("a.py", "fresh"), ("a.py", "z"), ("b.py", "y")]
+
+
+def test_calls_of_names_defined_nowhere(spark):
+    rows = graph.extract(spark.createDataFrame([(1, "a.py", "lib_call()\n")], "doc_id long, path string, text string"))
+    found = graph.graph_search(graph.edges_of(rows), graph.symbols_of(rows), "who uses lib_call()").collect()
+    assert [(r.path, r.line, r.relation, r.via) for r in found] == [("a.py", 1, "caller", None)]
+
+
+def test_identifiers_of_six_characters_are_split(spark):
+    rows = spark.createDataFrame([("aB getUserName my_var a.b os.path.join (x_y) é_éé fooBar",), ("",), ("  ",)], "t string").select(X.split_identifiers(F.col("t")).alias("x")).collect()
+    assert [r.x for r in rows] == ["aB get User Name my var a.b os path join (x_y) é_éé foo Bar", "", "  "]
+
+
+def test_functions_need_no_package_where_they_run(spark):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    sent = cloudpickle.dumps((graph.parse, files.decode, embed.docstrings))
+    code = "import sys, pickle; p, d, s = pickle.load(sys.stdin.buffer); assert 'gleaner' not in sys.modules; print(p('def a():\\n  b()\\n', 'python')[1], d(b'x'), s('\"\"\"doc\"\"\"'))"
+    done = subprocess.run([sys.executable, "-c", code], input=sent, capture_output=True, cwd="/", env={"PATH": "/usr/bin"}, timeout=120)
+    assert done.stdout.split() == [b"[(0,", b"'b',", b"2)]", b"x", b"doc"], done.stderr.decode()[-500:]
+
+
+def test_lines_of_text_and_paraphrases(spark):
+    from gleaner.operators import evaluate
+
+    hits = spark.createDataFrame([(1, "b", 7, "two"), (0, "a", None, "one")], "pos int, path string, line_no int, snippet string")
+    assert [r.value for r in files.written(hits).collect()] == ["  1  a  one", "  2  b:7  two"]
+    pairs = spark.createDataFrame([("which words matter", "words matter here"), ("entirely different question", "words matter here"), ("of", "x")], "query string, text string")
+    assert [round(r.overlap, 2) for r in evaluate.paraphrases(pairs, ["which"]).collect()] == [0.0, 0.0]
