@@ -386,7 +386,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), F.col("learn").cast("boolean").alias("learn"))
     size = (rows.agg(F.sum(F.length("text"))).first()[0] or 0) + 1
     more = scaled(size, BLOCK_BYTES, BUCKET_BYTES, ROW_BYTES)
-    few, many = (bucket_count(size, int(n * BUCKET_BYTES * more)) for n in (2, 1))
+    few, many, most = (bucket_count(size, int(n * BUCKET_BYTES * more)) for n in (2, 1, 0.5))
     blocks = make_blocks(rows, encode, ["doc_id", "text", "learn"], lambda r: len(r[1] or b"") + 8, "token_blocks", int(BLOCK_BYTES * more))
     buckets, tables = [few] + [many] * (order - 1), []
     for k in range(1, order + 1):
@@ -404,6 +404,6 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     open_ = reduce(DataFrame.unionByName, own)
     sized = lambda c: F.unhex(F.concat(*(F.substring(F.lpad(F.hex(F.length(c)), 16, "0"), i, 2) for i in range(15, 0, -2))))
     both = open_.select("block", F.concat(sized("waiting"), "waiting", "sums").alias("data"))
-    sums = exchange(both, [], ask_sums(order, few), answer_sums(model), "sums")
-    out = per_block(open_.select("block", F.col("waiting").alias("data")), [sums], finish(model, order, few), "doc_id long, learn boolean, n_tokens long, n_known long, base_score double, score double")
+    sums = exchange(both, [], ask_sums(order, most), answer_sums(model), "sums")
+    out = per_block(open_.select("block", F.col("waiting").alias("data")), [sums], finish(model, order, most), "doc_id long, learn boolean, n_tokens long, n_known long, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(model.n).cast("long"))
