@@ -8,39 +8,45 @@ and later joins see true sizes.
 
 from __future__ import annotations
 
-import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.sources.shared import shared_dir
+
 #: Bytes that separate words: space and \t \n \v \f \r (what bytes.split() uses).
 SPACES = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors see. Set to a local one only in local mode without a setting."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    master = spark.sparkContext.master
-    if master != "local" and not master.startswith("local["):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    base = f"/tmp/checkpoints/gleaner-{os.getuid()}"
-    os.makedirs(base, exist_ok=True)
-    return f"file://{base}"
-
-
 def _path(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again; removed when the application ends."""
+_made: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("made", default=())
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that ``materialize`` makes inside are discarded at the end, but for those it is told to keep."""
+    token = _made.set((*_made.get(), []))
+    try:
+        yield
+    finally:
+        for df in _made.get()[-1]:
+            discard(df)
+        _made.reset(token)
+
+
+def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again; removed at the end of the ``scratch`` around it (``keep``: of the next one out) or of the application."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gleaner/{uuid.uuid4().hex}/{label}"
     df.write.option("compression", "zstd").parquet(path)
@@ -48,6 +54,9 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     fs.deleteOnExit(p.getParent())
     out = spark.read.schema(df.schema).parquet(path)
     out._gleaner_path = path
+    around = _made.get()[: -1 if keep else None]
+    if around:
+        around[-1].append(out)
     return out
 
 

@@ -121,7 +121,7 @@ def fit(rows: DataFrame, per_language: int = 1200, max_rows: int = 20_000, max_b
         own = np.array([number[k] for k in found["lang"]], np.int64)
         keys.append({k: i for i, k in enumerate(dict.fromkeys(found["key"]))})
         n = np.bincount(np.array([keys[-1][k] for k in found["key"]], np.int64), minlength=len(keys[-1]))
-        starts.append(starts[-1][-1] + np.cumsum(n))
+        starts.append(sum(map(len, langs_of)) + np.cumsum(n))
         langs_of.append(own)
         more.append(np.log(np.array(found["n"], float) + 0.5) - np.log(0.5))
         unseen.append(logs)

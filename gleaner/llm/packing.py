@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import materialize, scratch
 
 END_ID = 1
 #: Words a worker remembers.
@@ -204,7 +204,8 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048) -> DataFrame:
     buckets = spark.createDataFrame([(k, -(-n // BUCKET_ROWS)) for k, n in histogram.items()], "length long, buckets long")
     spread = cut.join(F.broadcast(buckets), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.col("buckets"))).drop("buckets")
     counts = spread.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    before = materialize(counts_before(counts), "rank_offsets")
+    with scratch():
+        before = materialize(counts_before(counts), "rank_offsets", keep=True)
     own = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32")) - 1
     ranked = spread.withColumn("own", own).join(before, ["length", "bucket"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("own")).alias("rank"))
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import let, materialize, words_of
+from .common import let, materialize, scratch, words_of
 
 SYMBOLS = "[#*$%&|<>]+"
 WINDOW = 8
@@ -146,7 +146,8 @@ def thresholds(bins: DataFrame, prior: int) -> DataFrame:
 def quality_rules(docs: DataFrame, prior: int = 30) -> DataFrame:
     """doc_id, lang, source, the counts, the rates, base_failed, outlier (metrics outside their fences) and kept."""
     m = materialize(with_rates(document_metrics(docs)), "quality_metrics")
-    limits = materialize(thresholds(materialize(sketch(m), "quality_sketch"), prior), "quality_thresholds")
+    with scratch():
+        limits = materialize(thresholds(materialize(sketch(m), "quality_sketch"), prior), "quality_thresholds", keep=True)
     d, t = m.alias("d"), limits.alias("t")
     same = F.col("d.lang").eqNullSafe(F.col("t.lang")) & F.col("d.source").eqNullSafe(F.col("t.source"))
     outside = lambda x: F.coalesce((F.col(x) > F.col(f"{x}_hi")) | F.coalesce(F.col(x) < F.col(f"{x}_lo"), F.lit(False)), F.lit(False))

@@ -14,7 +14,7 @@ from .packing import pack
 from .pii import find_pii
 from .quality_rules import quality_rules
 from .simhash import near_duplicates
-from .sql import quality_rules_sql, url_filters_sql
+from .sql import quality_rules_sql, suffix_dedup_sql, url_filters_sql
 from .suffix_dedup import digest, remove_repeats
 from .url_filters import url_filters
 
@@ -84,4 +84,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """The other operators learn, hash, align or iterate; their tests hold them against brute force."""
-    return {"op2_quality_rules": quality_rules_sql(), "op5_url_filters": url_filters_sql(URL_RULES)}
+    return {"op2_quality_rules": quality_rules_sql(), "op5_url_filters": url_filters_sql(URL_RULES), "op10_suffix_dedup": suffix_dedup_sql()}

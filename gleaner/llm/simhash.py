@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions
+from .common import materialize, scratch, shuffle_partitions
 from .components import connected_components
 
 BITS, BLOCKS, RADIUS, SHINGLE, SEED = 64, 5, 3, 3, 42
@@ -219,12 +219,14 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     if similarity is not None:
         from .verified import known_groups
 
-        prints, known, key = *known_groups(docs, radius, shingle, similarity), "node"
+        with scratch():
+            prints, known, key = *known_groups(docs, radius, shingle, similarity), "node"
     else:
         prints, key = materialize(fingerprints(docs, shingle), "fingerprints"), "fp"
-        classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprint_classes")
-        found = materialize(fingerprint_links(classes.select("fp"), radius), "fingerprint_links")
-        known = components(classes, found, "fp")
+        with scratch():
+            classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprint_classes")
+            found = materialize(fingerprint_links(classes.select("fp"), radius), "fingerprint_links")
+            known = components(classes, found, "fp")
     return prints.join(known, key).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -233,4 +235,4 @@ def components(classes: DataFrame, found: DataFrame, key: str) -> DataFrame:
     groups = materialize(connected_components(found), "fingerprint_groups")
     labelled = classes.join(groups.withColumnRenamed("node", key), key, "left").select(key, "first_id", F.coalesce("component", key).alias("group"))
     least = labelled.groupBy("group").agg(F.min("first_id").alias("component_id"))
-    return materialize(labelled.join(least, "group").select(key, "component_id"), "fingerprint_components")
+    return materialize(labelled.join(least, "group").select(key, "component_id"), "fingerprint_components", keep=True)

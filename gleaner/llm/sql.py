@@ -60,3 +60,15 @@ def url_filters_sql(rules: list[tuple[str, str, str]]) -> str:
  blocked AS (SELECT node FROM ({best("nodes", "node")}) WHERE verdict = 'block' UNION SELECT v FROM blocked JOIN edges ON node = u),
  parsed AS ({split("url", "page_id, url", "pages")}), ruled AS ({best("parsed", "page_id")})
  SELECT p.page_id, p.host, p.path, r.rule, coalesce(r.verdict, CASE WHEN {node_of("p.url")} IN (SELECT node FROM blocked) THEN 'block' END, 'allow') AS verdict FROM parsed p LEFT JOIN ruled r ON p.page_id = r.page_id"""
+
+
+def suffix_dedup_sql(length: int = 50) -> str:
+    """Every window of ``length`` bytes, in hex; meant for tables of a few megabytes."""
+    return f"""WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+ w AS (SELECT doc_id, i, substr(h, 2 * i + 1, {2 * length}) AS g FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - {length - 1})) AS i FROM d WHERE length(h) >= {2 * length})),
+ c AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS first FROM w) WHERE first < doc_id),
+ s AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {length} THEN 0 ELSE 1 END AS fresh FROM c)),
+ r AS (SELECT doc_id, min(i) AS a, max(i) + {length} AS b FROM s GROUP BY doc_id, run),
+ k AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS after FROM r),
+ p AS (SELECT d.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * after + 1, 2 * (a - after)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept FROM k JOIN d USING (doc_id) GROUP BY d.doc_id)
+ SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN p USING (doc_id)"""

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize
+from .common import ascii_lower, materialize, scratch
 from .components import connected_components
 
 Rule = tuple[str, str, str]
@@ -94,7 +94,8 @@ def url_filters(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     parsed = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     names = parsed.select("host", "path").distinct()
     ruled = match_rules(names.select(F.struct("host", "path").alias("key"), "host", "path"), table, labels).select("key.host", "key.path", "rule", "verdict")
-    members = materialize(connected_components(links), "alias_members")
+    with scratch():
+        members = materialize(connected_components(links), "alias_members", keep=True)
     host, path = host_and_path(F.col("node"))
     judged = match_rules(members.select(F.col("node").alias("key"), host.alias("host"), path.alias("path")), table, labels).where("verdict = 'block'")
     bad = judged.join(members, judged["key"] == members["node"]).select("component").distinct()

@@ -154,7 +154,7 @@ def verified_links(members: DataFrame, shingle: int, similarity: float) -> DataF
 
 def known_groups(docs: DataFrame, radius: int, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """(doc_id, node, fp, .. of every row; node, component_id)."""
-    prints = materialize(nodes(docs, shingle), "near_nodes")
+    prints = materialize(nodes(docs, shingle), "near_nodes", keep=True)
     single = prints.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first(F.octet_length("words")).alias("bytes"))
     classes = materialize(single, "near_classes")
     # Nodes of the same fingerprint are together in any case; the keys of all of them count.

@@ -168,3 +168,11 @@ def test_long_texts_score_alike_in_parts(monkeypatch):
     whole = net.score(texts)
     monkeypatch.setattr(quality_model, "BLOCK", 512)
     assert np.allclose(whole, net.score(texts)) and np.allclose(whole, [net.score([t])[0] for t in texts])
+
+
+def test_what_is_broadcast_names_no_package(spark):
+    import pickle
+
+    rows = spark.createDataFrame([(1, "some words here", "en", ""), (2, "autres mots ici", "fr", "")], DOCS)
+    for plain in (quality_model.ByteConvNet(1).plain(), vars(language_id.fit(rows))):
+        assert b"gleaner" not in pickle.dumps(plain)

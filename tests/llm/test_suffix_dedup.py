@@ -54,6 +54,17 @@ def test_against_brute_force(spark, monkeypatch):
         assert sorted(tuple(r) for r in got) == brute(rows)
 
 
+def test_sql_agrees(spark, tmp_path):
+    import duckdb
+    from gleaner.llm.sql import suffix_dedup_sql
+
+    rows = [r for i, r in enumerate(corpus(4)) if r[0] not in {x for x, _ in corpus(4)[:i]}]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    assert sorted(con.sql(suffix_dedup_sql()).fetchall()) == brute(rows)
+
+
 def test_suffix_classes():
     rng = np.random.default_rng(3)
     text = np.concatenate([np.tile(rng.integers(97, 99, 60), 5), rng.integers(97, 98, 300), rng.integers(97, 99, 900), np.tile(rng.integers(97, 99, 33), 40)]).astype(np.uint8)
