@@ -3,7 +3,8 @@
 ``STAGES`` names the stages in order. Each takes (spark, docs, sf_dir) and
 returns a DataFrame; all but the last return the columns of ``docs``, with the
 rows and texts that the stage keeps. ``run`` writes and rereads what each stage
-returns before the next one begins, in the folder all executors share.
+returns before the next one begins, in the folder all executors share, and then
+removes what the stage and the one before had written there.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import pii, quality_model
-from gleaner.llm.common import fresh, held_out, materialize, table
+from gleaner.llm.common import discard, fresh, held_out, materialize, scratch, table
 from gleaner.llm.decontaminate import annotate
 from gleaner.llm.packing import pack
 from gleaner.llm.queries import tokenizer_path
@@ -74,5 +75,8 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with scratch():
+            kept = materialize(stage(spark, docs, sf_dir), name, keep=True)
+        discard(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
