@@ -24,6 +24,8 @@ from .common import materialize, shuffle_partitions
 
 #: Bytes of text in a block, but for a longer document, which has one of its own.
 BLOCK_BYTES = 2 << 20
+#: Blocks or buckets, one after the other, of a task at most, about.
+TASK_GROUPS = 16
 #: Ask: numbered payloads of each bucket. Answer: one payload for each question of a bucket.
 Ask = Callable[..., Iterator[tuple[int, bytes]]]
 Answer = Callable[[list[bytes]], list[bytes]]
@@ -100,9 +102,14 @@ def make_blocks(rows: DataFrame, encode: Callable[[list[tuple]], bytes], columns
     return materialize(rows.select(*columns).mapInArrow(run, "block long, data binary"), label)
 
 
-def exchange(blocks: DataFrame, earlier: list[DataFrame], ask: Ask, answer: Answer, label: str) -> DataFrame:
-    """Written table (block, bucket, data): the answers to each block's questions. ``ask`` gets the block's data and its earlier answers."""
-    n = shuffle_partitions(blocks.sparkSession)
+def task_count(spark: SparkSession, groups: int) -> int:
+    """Tasks for so many blocks or buckets: those of the session, and more where one would get over TASK_GROUPS."""
+    return max(shuffle_partitions(spark), -(-groups // TASK_GROUPS))
+
+
+def exchange(blocks: DataFrame, earlier: list[DataFrame], ask: Ask, answer: Answer, label: str, groups: int = 1) -> DataFrame:
+    """Written table (block, bucket, data): the answers to each block's questions. ``ask`` gets the block's data and its earlier answers; groups: blocks or buckets, whichever are more."""
+    n = task_count(blocks.sparkSession, groups)
 
     def questions(block: int, data: bytes, known: list[dict[int, bytes]]) -> Iterator[tuple]:
         for bucket, payload in ask(data, known):
@@ -114,7 +121,7 @@ def exchange(blocks: DataFrame, earlier: list[DataFrame], ask: Ask, answer: Answ
             found = answer([r["data"] for r in rows])
             yield pa.RecordBatch.from_arrays([pa.array([r["block"] for r in rows], pa.int64()), pa.array([bucket] * len(rows), pa.int64()), pa.array(found, pa.binary())], ["block", "bucket", "data"])
 
-    asked = per_block(blocks, earlier, questions, "block long, bucket long, data binary")
+    asked = per_block(blocks, earlier, questions, "block long, bucket long, data binary", groups)
     out = materialize(asked.repartition(n, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(reduce, "block long, bucket long, data binary"), label)
     del asked
     release(blocks.sparkSession)
@@ -140,7 +147,7 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
         yield held[0][key], held
 
 
-def per_block(blocks: DataFrame, earlier: list[DataFrame], make: Callable[[int, bytes, list[dict[int, bytes]]], Iterator[tuple]], schema: str) -> DataFrame:
+def per_block(blocks: DataFrame, earlier: list[DataFrame], make: Callable[[int, bytes, list[dict[int, bytes]]], Iterator[tuple]], schema: str, groups: int = 1) -> DataFrame:
     """Rows that ``make`` yields for each block, given its data and, for each earlier exchange, its answers by bucket."""
     types = [f.type for f in pa_schema(schema)]
     names = [f.name for f in pa_schema(schema)]
@@ -176,7 +183,7 @@ def per_block(blocks: DataFrame, earlier: list[DataFrame], make: Callable[[int,
     every = blocks.select("block", F.lit(0).alias("step"), F.lit(0).cast("long").alias("bucket"), "data")
     for i, answers in enumerate(earlier):
         every = every.unionByName(answers.select("block", F.lit(i + 1).alias("step"), "bucket", "data"))
-    n = shuffle_partitions(blocks.sparkSession)
+    n = task_count(blocks.sparkSession, groups)
     return every.repartition(n, "block").sortWithinPartitions("block", "step", "bucket").mapInArrow(met, schema)
 
 

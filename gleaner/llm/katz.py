@@ -388,22 +388,23 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     more = scaled(size, BLOCK_BYTES, BUCKET_BYTES, ROW_BYTES)
     few, many, most = (bucket_count(size, int(n * BUCKET_BYTES * more)) for n in (2, 1, 0.5))
     blocks = make_blocks(rows, encode, ["doc_id", "text", "learn"], lambda r: len(r[1] or b"") + 8, "token_blocks", int(BLOCK_BYTES * more))
+    groups = max(most, bucket_count(size, int(BLOCK_BYTES * more)))
     buckets, tables = [few] + [many] * (order - 1), []
     for k in range(1, order + 1):
         cuts = np.linspace(0, buckets[k - 1], 1 + (1 if k == 1 else min(PASSES, buckets[k - 1]))).astype(int).tolist()
-        tables.append([exchange(blocks, [], ask_counts(k, buckets[k - 1], a, b), answer_counts, f"counts_{k}") for a, b in zip(cuts, cuts[1:], strict=False)])
+        tables.append([exchange(blocks, [], ask_counts(k, buckets[k - 1], a, b), answer_counts, f"counts_{k}", groups) for a, b in zip(cuts, cuts[1:], strict=False)])
     joined = [reduce(DataFrame.unionByName, t) for t in tables]
     model = Model([totals(t) for t in joined])
     schema, own = "block long, waiting binary, sums binary", []
     for g in range(GROUPS):
         part = lambda t, g=g: t.where(F.pmod("block", F.lit(GROUPS)) == g)
-        own.append(materialize(per_block(part(blocks), [part(t) for t in joined], evaluate(model, buckets), schema), "open_scores"))
+        own.append(materialize(per_block(part(blocks), [part(t) for t in joined], evaluate(model, buckets), schema, groups), "open_scores"))
         release(docs.sparkSession)
     for t in (blocks, *(x for t in tables for x in t)):
         discard(t)
     open_ = reduce(DataFrame.unionByName, own)
     sized = lambda c: F.unhex(F.concat(*(F.substring(F.lpad(F.hex(F.length(c)), 16, "0"), i, 2) for i in range(15, 0, -2))))
     both = open_.select("block", F.concat(sized("waiting"), "waiting", "sums").alias("data"))
-    sums = exchange(both, [], ask_sums(order, most), answer_sums(model), "sums")
-    out = per_block(open_.select("block", F.col("waiting").alias("data")), [sums], finish(model, order, most), "doc_id long, learn boolean, n_tokens long, n_known long, base_score double, score double")
+    sums = exchange(both, [], ask_sums(order, most), answer_sums(model), "sums", groups)
+    out = per_block(open_.select("block", F.col("waiting").alias("data")), [sums], finish(model, order, most), "doc_id long, learn boolean, n_tokens long, n_known long, base_score double, score double", groups)
     return out.withColumn("train_tokens", F.lit(model.n).cast("long"))

@@ -467,9 +467,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     more = scaled(total, BLOCK_BYTES, BUCKET_BYTES, ROW_BYTES)
     buckets = bucket_count(total, int(BUCKET_BYTES * more))
     blocks = make_blocks(rows, encode, ["doc_id", "text"], lambda r: len(r[1] or b"") + 8, "text_blocks", int(BLOCK_BYTES * more))
-    shared = exchange(blocks, [], ask_anchors(buckets), answer_anchors, "shared_anchors")
-    repeated = exchange(blocks, [shared], ask_windows(buckets), answer_windows, "repeated_windows")
-    return per_block(blocks, [shared, repeated], cut(buckets), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    groups = max(buckets, bucket_count(total, int(BLOCK_BYTES * more)))
+    shared = exchange(blocks, [], ask_anchors(buckets), answer_anchors, "shared_anchors", groups)
+    repeated = exchange(blocks, [shared], ask_windows(buckets), answer_windows, "repeated_windows", groups)
+    return per_block(blocks, [shared, repeated], cut(buckets), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", groups)
 
 
 def digest(found: DataFrame) -> DataFrame:
