@@ -87,7 +87,9 @@ def keyword(docs: DataFrame, query: str, limit: int = 40, variant: str = "plain"
         times = 1 if variant == "plain" else found.count(t)
         parts.append(times * idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("dl") / F.lit(totals["avgdl"] or 1.0))))
     scored = counted.select("doc_id", reduce(lambda x, y: x + y, parts).alias("score")).where("score > 0")
-    return top(scored, F.desc(F.round("score", 9)), F.asc("doc_id"), limit=limit)
+    out = top(scored, F.desc(F.round("score", 9)), F.asc("doc_id"), limit=limit)
+    out._cached = counted  # for those who collect at once
+    return out
 
 
 def keyword_by_postings(index: DataFrame, n: int, avgdl: float, query: str, limit: int = 40, variant: str = "plain") -> DataFrame:

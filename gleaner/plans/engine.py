@@ -51,7 +51,10 @@ class Engine:
             return []
         else:
             found = S.vector(self.chunks, self.embed(query), router.SEMANTIC_LIMIT)
-        return [(r.doc_id, float(r.score)) for r in found.collect()]
+        rows = [(r.doc_id, float(r.score)) for r in found.collect()]
+        if hasattr(found, "_cached"):
+            found._cached.unpersist()
+        return rows
 
     def _all_lists(self, backends: list[str], query: str) -> dict[str, list[tuple]]:
         """The backends' lists; their jobs run side by side."""
