@@ -9,6 +9,10 @@ the old index or the new one.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,14 +26,24 @@ LIST, LOOKED_UP = 4096, 2000
 NARROW = ("doc_id", "path", "lang", "size", "mtime", "n_lines", "is_dir")
 
 
-def trigrams(literal: str) -> list[str]:
-    return sorted({literal[i : i + 3] for i in range(len(literal) - 2)})
+def trigrams(text: str) -> np.ndarray:
+    """The distinct trigrams of a text, each as one number of three code points."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    return np.unique((c[:-2] << 42) | (c[1:-1] << 21) | c[2:])
 
 
 def gram_lists(docs: DataFrame) -> DataFrame:
     """gram, n, docs: for each trigram sorted lists of the documents that hold it, of at most LIST each."""
-    cut = F.transform(F.sequence(F.lit(1), F.length("text") - 2), lambda i: F.substring(F.col("text"), i, F.lit(3)))
-    each = docs.where(F.length("text") >= 3).select("doc_id", F.explode(F.array_distinct(cut)).alias("gram"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                own = [trigrams(t or "") for t in part.column("text").to_pylist()]
+                ids = np.repeat(part.column("doc_id").to_numpy(), [len(x) for x in own])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(own), pa.int64())], ["doc_id", "gram"])
+
+    each = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, gram long")
     lists = each.groupBy("gram", F.expr(f"doc_id div {LIST}").alias("lot")).agg(F.sort_array(F.collect_list("doc_id")).alias("docs"))
     return lists.select("gram", F.size("docs").cast("long").alias("n"), "docs")
 
@@ -62,7 +76,7 @@ class SearchIndex:
 
     def exact(self, literal: str, limit: int = 40) -> DataFrame:
         """As search.exact, verified on the texts of the documents that hold all trigrams of the literal."""
-        grams = trigrams(literal)
+        grams = trigrams(literal).tolist()
         if not grams:
             return _counted(self.texts if len(literal) == 2 else self.texts.limit(0), literal, limit)
         lists = self.grams.where(F.col("gram").isin(grams)).select("gram", F.explode("docs").alias("doc_id"))
