@@ -159,22 +159,24 @@ def answer_counts(asked: list[bytes]) -> list[bytes]:
     """For each key asked for its count over all blocks, whether this block owns it (the first that counted it) and whether sums after it are wanted; once per bucket [tokens, keys, keys counted 1 .. K + 1 times]."""
     keys, counts, apart = zip(*((unpack_keys(k), n, np.unpackbits(x, count=len(k))) for k, n, x in map(unpack_arrays, asked)), strict=True)
     sizes = [len(k) for k in keys]
-    flat, n = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
-    order = np.argsort(flat, kind="stable")
-    s, n = flat[order], n[order]
+    order = np.argsort(flat := np.concatenate(keys), kind="stable")
+    s, n = flat[order], np.concatenate(counts)[order].astype(np.int64)
+    apart = np.concatenate(apart)[order]
+    del keys, counts, flat
     head = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
     total = np.add.reduceat(n, head)
     size = np.diff(np.r_[head, len(s)])
     owner = np.minimum.reduceat(np.where(n > 0, np.arange(len(n)), len(n)), head)
     own = np.zeros(len(n) + 1, np.uint8)
     own[owner] = 1
-    wanted = (np.maximum.reduceat(np.concatenate(apart)[order], head) > 0) | (total > K)
-    count, owns, wants = np.empty(len(n), np.int64), np.empty(len(n), np.uint8), np.empty(len(n), np.uint8)
+    wanted = (np.maximum.reduceat(apart, head) > 0) | (total > K)
+    del s, n, apart
+    wide = np.uint32 if total.max() < 1 << 32 else np.int64
+    count, owns, wants = np.empty(len(order), wide), np.empty(len(order), np.uint8), np.empty(len(order), np.uint8)
     count[order], owns[order], wants[order] = np.repeat(total, size), own[:-1], np.repeat(wanted, size)
     stats = np.array([total.sum(), np.count_nonzero(total), *(np.count_nonzero(total == r) for r in range(1, K + 2))], np.int64)
     cuts = np.cumsum(sizes)[:-1]
-    wide = np.uint32 if total.max() < 1 << 32 else np.int64
-    return [pack_arrays(c.astype(wide), np.packbits(o), np.packbits(w), stats if i == 0 else stats[:0]) for i, (c, o, w) in enumerate(zip(*(np.split(x, cuts) for x in (count, owns, wants)), strict=True))]
+    return [pack_arrays(c, np.packbits(o), np.packbits(w), stats if i == 0 else stats[:0]) for i, (c, o, w) in enumerate(zip(*(np.split(x, cuts) for x in (count, owns, wants)), strict=True))]
 
 
 def totals(answers: DataFrame) -> list[int]:
@@ -389,7 +391,8 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     few, many, most = (bucket_count(size, int(n * BUCKET_BYTES * more)) for n in (2, 1, 0.5))
     blocks = make_blocks(rows, encode, ["doc_id", "text", "learn"], lambda r: len(r[1] or b"") + 8, "token_blocks", int(BLOCK_BYTES * more))
     groups = max(most, bucket_count(size, int(BLOCK_BYTES * more)))
-    buckets, tables = [few] + [many] * (order - 1), []
+    buckets, tables = [few, many] + [2 * many] * (order - 2), []  # there are more distinct n-grams of three words and more
+    buckets = buckets[:order]
     for k in range(1, order + 1):
         cuts = np.linspace(0, buckets[k - 1], 1 + (1 if k == 1 else min(PASSES, buckets[k - 1]))).astype(int).tolist()
         tables.append([exchange(blocks, [], ask_counts(k, buckets[k - 1], a, b), answer_counts, f"counts_{k}", groups) for a, b in zip(cuts, cuts[1:], strict=False)])
