@@ -46,7 +46,7 @@ from .common import fresh, materialize
 
 Q, SEGMENT, STRIDE, LEAST, EDITS = 8, 100, 25, 24, 0.08
 #: Characters of segments in a part, and of an item in a piece.
-PART_CHARS, PIECE = 8_000_000, 16_384
+PART_CHARS, PIECE = 4_000_000, 16_384
 #: Characters of documents searched at a time; a longer document is searched whole, in pieces of the hashing only.
 BLOCK = 1 << 20
 #: Occurrences of q-grams counted at a time, and alignments made at a time.
