@@ -43,7 +43,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(row).alias("row"))  # the smallest of a group stays
     groups = near_duplicates(numbered.select(key.alias("doc_id"), "text"), NEAR_RADIUS, NEAR_SHINGLE, NEAR_SIMILARITY)
     gone = materialize(groups.where("doc_id.row != component_id.row").select(F.col("doc_id.row").alias(row)), "dropped_rows")
-    return numbered.join(gone, row, "left_anti").select(docs.columns)
+    # The rows dropped grow with the input, so they are never broadcast: one exchange of the texts, at every size.
+    return numbered.join(gone.hint("merge"), row, "left_anti").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
