@@ -29,7 +29,7 @@ from, and those of more than K occurrences. The keys of pairs and longer n-grams
 are exchanged in ``PASSES`` passes over the hash, and blocks are evaluated in
 ``GROUPS`` groups, which bounds what lies on disk at a time. Blocks and buckets
 grow with the square root of very large inputs, so the rows of an exchange stay
-in proportion to the text. Words are told apart by a 64-bit hash.
+in proportion to the text. Words and n-grams are told apart by 64-bit hashes.
 
 Defined cases: null and empty texts are the end token alone; a null ``learn``
 counts as false; with no learning document every word is the unknown one, of
@@ -45,6 +45,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,21 +66,25 @@ _MIX = U(0x9E3779B97F4A7C15)
 
 def encode(rows: list[tuple]) -> bytes:
     """Token numbers index the block's sorted word keys."""
-    number: dict[bytes, int] = {b"": 0}  # no word is empty: this is the end token
-    tokens, sizes = [], []
-    for _, text, _ in rows:
-        own = [number.setdefault(w, len(number)) for w in (text or b"").lower().split()]
-        own.append(0)
-        tokens.append(np.array(own, np.uint32))
-        sizes.append(len(own))
-    keys = np.array([xxhash.xxh64_intdigest(w, 42) for w in number], U)
-    keys[0] = END_KEY
-    order = np.argsort(keys, kind="stable")
+    texts = pa.array([t or b"" for _, t, _ in rows], pa.large_binary()).view(pa.large_string())
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))  # byte by byte, like bytes.split(), but for empty words at the ends
+    words = split.values.view(pa.large_binary())
+    real = pc.not_equal(words, pa.scalar(b"", pa.large_binary()))
+    coded = words.filter(real).dictionary_encode()
+    sizes = np.diff(np.r_[0, np.cumsum(real.to_numpy(zero_copy_only=False))][split.offsets.to_numpy()]) + 1  # and the end token
+    tokens = np.zeros(sizes.sum(), np.uint32)
+    at = np.ones(len(tokens), bool)
+    at[np.cumsum(sizes) - 1] = False
+    tokens[at] = coded.indices.to_numpy() + 1
+    keys = np.array([END_KEY, *(xxhash.xxh64_intdigest(w, 42) for w in coded.dictionary.to_numpy(zero_copy_only=False))], U)
+    order = np.argsort(keys)
     place = np.empty(len(keys), np.uint32)
     place[order] = np.arange(len(keys))
     ids = np.array([d or 0 for d, _, _ in rows], np.int64)
     marks = np.array([bool(x) + 2 * (d is None) for d, _, x in rows], np.uint8)  # 1: learn, 2: no doc_id
-    return pack_arrays(ids, marks, np.array(sizes, np.int64), place[np.concatenate(tokens)], pack_keys(keys[order]))
+    del texts, split, words, real, coded
+    pa.default_memory_pool().release_unused()
+    return pack_arrays(ids, marks, sizes.astype(np.int64), place[tokens], pack_keys(keys[order]))
 
 
 class Level:
@@ -87,96 +92,143 @@ class Level:
 
     ``gram``: that of each token (-1: the token stands too near the start).
     ``history`` and ``lower``: numbers, one level below, of the n-gram without its
-    last and without its first word; ``word``: the last word.
+    last and without its first word.
     """
 
-    def __init__(self, key: np.ndarray, gram: np.ndarray, history: np.ndarray, word: np.ndarray, lower: np.ndarray):
-        self.key, self.gram, self.history, self.word, self.lower = key, gram, history, word, lower
+    def __init__(self, key: np.ndarray, gram: np.ndarray, history: np.ndarray, lower: np.ndarray):
+        self.key, self.gram, self.history, self.lower = key, gram, history, lower
 
 
 class Block:
-    def __init__(self, data: bytes, order: int):
+    def __init__(self, data: bytes):
         self.ids, self.marks, self.sizes, tokens, steps = unpack_arrays(data)
-        keys, tokens = unpack_keys(steps), tokens.astype(np.int64)
+        self.words, self.tokens = unpack_keys(steps), tokens.astype(np.int64)
         self.first = np.cumsum(self.sizes) - self.sizes
         self.learning = np.repeat(self.marks & 1 > 0, self.sizes)
-        none = np.zeros(0, np.int64)
-        self.levels = [Level(keys, tokens, none, np.arange(len(keys)), none)]
-        place = np.arange(len(tokens)) - np.repeat(self.first, self.sizes)
+
+    def keyed(self, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each length from 2 the tokens at which n-grams end, and their keys: each made from the key of the history and the last word's."""
+        place = np.arange(len(self.tokens)) - np.repeat(self.first, self.sizes)
+        word = self.words[self.tokens]
+        low, times = word >> U(7), word * U(0xC2B2AE3D27D4EB4F)
+        key = word
         for k in range(2, order + 1):
-            below = self.levels[-1]
-            at = np.flatnonzero(place >= k - 2)
-            before = np.full(len(tokens) + 1, len(keys))  # the start mark is the number behind the last word
-            before[1:] = below.gram
+            before = np.zeros_like(key)
+            before[1:] = key[:-1]
             if k == 2:
-                before[self.first] = len(keys)
-            code, one, gram = np.unique(before[at] * (len(keys) + 1) + tokens[at], return_index=True, return_inverse=True)
-            history, word = code // (len(keys) + 1), code % (len(keys) + 1)
-            a, b = self.named(k - 1)[history], keys[word]
-            key = (a * _MIX) ^ (b >> U(7))
-            key = (key ^ (key >> U(31))) * _MIX + b * U(0xC2B2AE3D27D4EB4F)
+                before[self.first] = START_KEY
+            key = before * _MIX
+            key ^= low
+            key ^= key >> U(31)
+            key *= _MIX
+            key += times
             key ^= key >> U(29)
-            sort = np.argsort(key, kind="stable")
-            new = np.empty(len(sort), np.int64)
-            new[sort] = np.arange(len(sort))
-            of = np.full(len(tokens), -1)
-            of[at] = new[gram]
-            self.levels.append(Level(key[sort], of, history[sort], word[sort], below.gram[at[one]][sort]))
+            at = np.flatnonzero(place >= k - 2)
+            yield at, key[at]
+
+    def levels(self, order: int) -> list[Level]:
+        none = np.zeros(0, np.int64)
+        out = [Level(self.words, self.tokens, none, none)]
+        for k, (at, key) in enumerate(self.keyed(order), 2):
+            below = out[-1].gram
+            sort = np.argsort(key)
+            key, at = key[sort], at[sort]
+            new = changes(key)
+            gram = np.full(len(self.tokens), -1)
+            gram[at] = np.cumsum(new) - 1
+            one = at[new]  # a token at which the n-gram ends
+            before = np.empty_like(below)
+            before[1:] = below[:-1]
+            if k == 2:
+                before[self.first] = len(self.words)  # the start mark is the number behind the last word
+            out.append(Level(key[new], gram, before[one], below[one]))
+        return out
+
+
+def named(levels: list[Level], k: int) -> np.ndarray:
+    """Keys of the n-grams of k words, with the start mark for k = 1."""
+    return np.append(levels[0].key, START_KEY) if k == 1 else levels[k - 1].key
 
-    def named(self, k: int) -> np.ndarray:
-        """Keys of the n-grams of k words, with the start mark for k = 1."""
-        return np.append(self.levels[0].key, START_KEY) if k == 1 else self.levels[k - 1].key
 
-    def uses(self, k: int, which: np.ndarray) -> np.ndarray:
-        """How often each n-gram of k words occurs among the tokens of ``which``."""
-        gram = self.levels[k - 1].gram[which]
-        return np.bincount(gram[gram >= 0], minlength=len(self.levels[k - 1].key))
+def changes(keys: np.ndarray) -> np.ndarray:
+    """Which of the sorted keys differ from the one before."""
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    return new
+
+
+def starts(buckets: int) -> np.ndarray:
+    """The least key of each bucket, a range of the hash each."""
+    return (-(-(np.arange(buckets) << 32) // buckets)).astype(U) << U(32)
 
 
 def slices(keys: np.ndarray, buckets: int) -> dict[int, slice]:
-    """Rows of sorted keys by bucket, a range of the hash each."""
-    if not len(keys):
-        return {}
-    of = (keys >> U(32)).astype(np.int64) * buckets >> 32
-    edges = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-    return {int(of[a]): slice(int(a), int(b)) for a, b in zip(edges, np.r_[edges[1:], len(of)], strict=True)}
+    """Rows of sorted keys by bucket."""
+    edges = np.append(np.searchsorted(keys, starts(buckets)), len(keys)).tolist()
+    return {i: slice(a, b) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if a < b}
 
 
 def ask_counts(k: int, buckets: int, low: int, high: int):
-    """The block's n-grams of k words in the buckets low .. high - 1: keys, counts, and which occur in documents not learned from."""
+    """The block's n-grams of k words in the buckets low .. high - 1: keys, and twice the counts, and 1 for those in documents not learned from."""
+
+    def counted(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys, occurrences, and those learned from."""
+        if k == 1:
+            return b.words, np.bincount(b.tokens, minlength=len(b.words)), np.bincount(b.tokens[b.learning], minlength=len(b.words))
+        for at, key in b.keyed(k):  # noqa: B007  the last ones
+            pass
+        if high - low < buckets:
+            edges = starts(buckets)
+            here = key >= edges[low]
+            if high < buckets:
+                here &= key < edges[high]
+            at, key = at[here], key[here]
+        sort = np.argsort(key)
+        key = key[sort]
+        head = np.flatnonzero(changes(key))
+        learned = np.r_[0, np.cumsum(b.learning[at[sort]])]
+        ends = np.append(head[1:], len(key))[: len(head)]
+        return key[head], ends - head, learned[ends] - learned[head]
 
     def ask(data: bytes, known: list) -> Iterator[tuple[int, bytes]]:
-        b = Block(data, k)
-        key, n, apart = b.levels[k - 1].key, b.uses(k, b.learning).astype(np.uint32), b.uses(k, ~b.learning) > 0
+        key, size, n = counted(Block(data))
+        code = (2 * n + (size > n)).astype(np.uint32 if len(n) and n.max() < 1 << 31 else np.int64)
         for bucket, s in slices(key, buckets).items():
             if low <= bucket < high:
-                yield bucket, pack_arrays(pack_keys(key[s]), n[s], np.packbits(apart[s]))
+                yield bucket, pack_arrays(pack_keys(key[s]), code[s])
 
     return ask
 
 
 def answer_counts(asked: list[bytes]) -> list[bytes]:
-    """For each key asked for its count over all blocks, whether this block owns it (the first that counted it) and whether sums after it are wanted; once per bucket [tokens, keys, keys counted 1 .. K + 1 times]."""
-    keys, counts, apart = zip(*((unpack_keys(k), n, np.unpackbits(x, count=len(k))) for k, n, x in map(unpack_arrays, asked)), strict=True)
-    sizes = [len(k) for k in keys]
-    order = np.argsort(flat := np.concatenate(keys), kind="stable")
-    s, n = flat[order], np.concatenate(counts)[order].astype(np.int64)
-    apart = np.concatenate(apart)[order]
-    del keys, counts, flat
-    head = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-    total = np.add.reduceat(n, head)
-    size = np.diff(np.r_[head, len(s)])
-    owner = np.minimum.reduceat(np.where(n > 0, np.arange(len(n)), len(n)), head)
-    own = np.zeros(len(n) + 1, np.uint8)
-    own[owner] = 1
-    wanted = (np.maximum.reduceat(apart, head) > 0) | (total > K)
-    del s, n, apart
-    wide = np.uint32 if total.max() < 1 << 32 else np.int64
-    count, owns, wants = np.empty(len(order), wide), np.empty(len(order), np.uint8), np.empty(len(order), np.uint8)
-    count[order], owns[order], wants[order] = np.repeat(total, size), own[:-1], np.repeat(wanted, size)
-    stats = np.array([total.sum(), np.count_nonzero(total), *(np.count_nonzero(total == r) for r in range(1, K + 2))], np.int64)
-    cuts = np.cumsum(sizes)[:-1]
-    return [pack_arrays(c, np.packbits(o), np.packbits(w), stats if i == 0 else stats[:0]) for i, (c, o, w) in enumerate(zip(*(np.split(x, cuts) for x in (count, owns, wants)), strict=True))]
+    """For each key asked for four times its count over all blocks, 2 if this block owns it (one that counted it) and 1 if sums after it are wanted.
+
+    Before that, once per bucket, [tokens, keys, keys counted 1 .. K + 1 times], and the number of these bytes.
+    """
+    steps, codes = zip(*map(unpack_arrays, asked), strict=True)
+    sizes = [len(x) for x in steps]
+    keys = np.concatenate([unpack_keys(x) for x in steps])
+    del steps
+    order = np.argsort(keys)
+    keys = keys[order]
+    head = np.flatnonzero(changes(keys))
+    del keys
+    code = np.concatenate(codes)[order]
+    del codes
+    apart = np.bitwise_or.reduceat(code & 1, head) > 0
+    code >>= 1
+    total = np.add.reduceat(code, head, dtype=np.int64)
+    owner = np.minimum.reduceat(np.where(code > 0, np.arange(len(code)), len(code)), head)
+    found = 4 * total + (apart | (total > K))
+    del code
+    out = np.empty(len(order) + 1, np.uint32 if found.max() < (1 << 32) - 2 else np.int64)
+    out[:-1] = np.repeat(found, np.diff(np.append(head, len(order))))
+    out[owner] += 2
+    back = np.empty(len(order), out.dtype)
+    back[order] = out[:-1]
+    stats = np.array([total.sum(), np.count_nonzero(total), *(np.count_nonzero(total == r) for r in range(1, K + 2))], "<i8").tobytes()
+    ends = np.cumsum(sizes).tolist()
+    return [(bytes([len(stats)]) + stats if i == 0 else b"\0") + pack_arrays(back[end - n : end]) for i, (n, end) in enumerate(zip(sizes, ends, strict=True))]
 
 
 def totals(answers: DataFrame) -> list[int]:
@@ -185,15 +237,12 @@ def totals(answers: DataFrame) -> list[int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total = np.zeros(width, np.int64)
-            for data in batch.column("data").to_pylist():
-                stats = unpack_arrays(data)[3]
-                if len(stats):
-                    total += stats
+            total = sum((np.frombuffer(x, "<i8") for x in batch.column("stats").to_pylist()), np.zeros(width, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(total[i : i + 1]) for i in range(width)], [f"x{i}" for i in range(width)])
 
     names = [f"x{i}" for i in range(width)]
-    row = answers.select("data").mapInArrow(run, ", ".join(f"{x} long" for x in names)).agg(*(F.sum(x).alias(x) for x in names)).first()
+    with_stats = answers.where(F.substring("data", 1, 1) != F.lit(b"\0")).select(F.substring("data", 2, 8 * width).alias("stats"))
+    row = with_stats.mapInArrow(run, ", ".join(f"{x} long" for x in names)).agg(*(F.sum(x).alias(x) for x in names)).first()
     return [x or 0 for x in row]
 
 
@@ -227,11 +276,11 @@ class Model:
 
 
 def _read(known: dict[int, bytes], keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    count, own, wanted = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+    found = np.zeros(len(keys), np.int64)
     for bucket, s in slices(keys, buckets).items():
-        c, o, w, _ = unpack_arrays(known[bucket])
-        count[s], own[s], wanted[s] = c, np.unpackbits(o, count=len(c)) > 0, np.unpackbits(w, count=len(c)) > 0
-    return count, own, wanted
+        data = known[bucket]
+        (found[s],) = unpack_arrays(memoryview(data)[1 + data[0] :])
+    return found >> 2, found & 2 > 0, found & 1 > 0
 
 
 def evaluate(model: Model, buckets: list[int]):
@@ -244,17 +293,19 @@ def evaluate(model: Model, buckets: list[int]):
     order = len(buckets)
 
     def make(block: int, data: bytes, known: list[dict[int, bytes]]) -> Iterator[tuple]:
-        b = Block(data, order)
-        counts, own, wanted = map(list, zip(*(_read(known[k], b.levels[k].key, buckets[k]) for k in range(order)), strict=True))
-        counts[0] = np.append(counts[0], counts[0][np.searchsorted(b.levels[0].key, END_KEY)])  # every document starts and ends once
+        b = Block(data)
+        levels = b.levels(order)
+        tokens = b.tokens
+        counts, own, wanted = map(list, zip(*(_read(known[k], levels[k].key, buckets[k]) for k in range(order)), strict=True))
+        counts[0] = np.append(counts[0], counts[0][np.searchsorted(b.words, END_KEY)])  # every document starts and ends once
         wanted[0] = np.append(wanted[0], True)
         c1 = counts[0][:-1]
         value = np.log10(np.where(c1 > 0, model.kept(1, c1) / max(model.all, 1), model.unknown))
         waits = np.zeros((len(c1), 0), np.int64)
-        top, top_waits = value[b.levels[0].gram], np.full((len(b.learning), order - 1), -1)
+        top, top_waits = value[tokens], np.full((len(tokens), order - 1), -1)
         sums = []
         for k in range(2, order + 1):
-            level, c, history = b.levels[k - 1], counts[k - 1], counts[k - 2]
+            level, c, history = levels[k - 1], counts[k - 1], counts[k - 2]
             h, seen = level.history, c > 0
             sure = np.zeros(len(history), bool)  # histories of which a discounted n-gram is seen here
             sure[h[seen & (c <= K)]] = True
@@ -265,21 +316,21 @@ def evaluate(model: Model, buckets: list[int]):
             at = np.flatnonzero(level.gram >= 0)
             top[at] = value[level.gram[at]]
             top_waits[at, : k - 1] = waits[level.gram[at]]
-            sums += block_sums(b, k, counts, np.flatnonzero(own[k - 1] & seen & wanted[k - 2][h]))
+            sums += block_sums(levels, k, counts, np.flatnonzero(own[k - 1] & seen & wanted[k - 2][h]))
         part = np.add.reduceat(top, b.first)
-        base = np.add.reduceat(np.log10((c1[b.levels[0].gram] + 1) / (model.n + model.v + 1)), b.first)
-        n_known = np.add.reduceat((c1[b.levels[0].gram] > 0).astype(np.int64), b.first)
+        base = np.add.reduceat(np.log10((c1[tokens] + 1) / (model.n + model.v + 1)), b.first)
+        n_known = np.add.reduceat((c1[tokens] > 0).astype(np.int64), b.first)
         doc = np.repeat(np.arange(len(b.ids)), b.sizes)
         lists: dict[int, list[np.ndarray]] = {}
         above: np.ndarray | None = None
         for k in range(order, 1, -1):  # a(h) needs m of h's own lower history: so that is asked for too
-            names, n = b.named(k - 1), len(counts[k - 2])
+            names, n = named(levels, k - 1), len(counts[k - 2])
             late = np.flatnonzero(top_waits[:, k - 2] >= 0)
             what, times = np.unique(doc[late] * (2 * n) + top_waits[late, k - 2], return_counts=True)
             d, h, kind = what // (2 * n), what % (2 * n) // 2, what % 2
-            below = h[:0] if above is None else b.levels[k - 1].lower[above]
+            below = h[:0] if above is None else levels[k - 1].lower[above]
             need = np.unique(np.concatenate([h, below]))
-            need = need[np.argsort(names[need], kind="stable")]
+            need = need[np.argsort(names[need])]
             place = np.zeros(n, np.int64)
             place[need] = np.arange(len(need))
             if above is not None:
@@ -292,11 +343,11 @@ def evaluate(model: Model, buckets: list[int]):
     return make
 
 
-def block_sums(b: Block, k: int, counts: list[np.ndarray], mine: np.ndarray) -> list[np.ndarray]:
-    """By history (sorted keys): lower counts above K added up, and how many n-grams, and lower n-grams, have the counts 1 .. K."""
-    level, names = b.levels[k - 1], b.named(k - 1)
+def block_sums(levels: list[Level], k: int, counts: list[np.ndarray], mine: np.ndarray) -> list[np.ndarray]:
+    """By history (sorted keys): lower counts above K added up, and, one after the other, how many n-grams, and lower n-grams, have the counts 1 .. K."""
+    level, names = levels[k - 1], named(levels, k - 1)
     hs, slot = np.unique(level.history[mine], return_inverse=True)
-    order = np.argsort(names[hs], kind="stable")
+    order = np.argsort(names[hs])
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     slot = place[slot]
@@ -304,31 +355,36 @@ def block_sums(b: Block, k: int, counts: list[np.ndarray], mine: np.ndarray) ->
     per = [np.bincount(slot[x == r], minlength=len(hs)).astype(np.uint32) for x in (c, low) for r in range(1, K + 1)]
     large = np.zeros(len(hs), np.int64)
     np.add.at(large, slot, np.where(low > K, low, 0))
-    return [pack_keys(names[hs][order]), large, *per]
+    return [pack_keys(names[hs][order]), large, np.concatenate(per)]
 
 
 #: Arrays of a length in what evaluate hands on: in ``waiting`` behind the documents' own, and in the sums.
-OWN, WAITING, SUMS = 6, 7, 2 + 2 * K
+OWN, WAITING, SUMS = 6, 7, 3
 
 
-def ask_sums(order: int, buckets: int):
+def ask_sums(order: int, buckets: list[int]):
     """A block's part of the sums, and the histories it waits for; buckets of one length follow those of the other."""
 
     def ask(data: bytes, known: list) -> Iterator[tuple[int, bytes]]:
         waiting, sums = map(unpack_arrays, split_two(data))
         none = slice(0, 0)
-        for k in range(2, order + 1):
+        for k, n, before in placed(buckets):
             wanted = unpack_keys(waiting[OWN + (k - 2) * WAITING])
-            steps, *columns = sums[(k - 2) * SUMS : (k - 1) * SUMS]
-            keys = unpack_keys(steps)
-            have, want = slices(keys, buckets), slices(wanted, buckets)
+            steps, large, per = sums[(k - 2) * SUMS : (k - 1) * SUMS]
+            keys, per = unpack_keys(steps), per.reshape(2 * K, -1)
+            have, want = slices(keys, n), slices(wanted, n)
             for bucket in sorted({*have, *want}):
                 s, t = have.get(bucket, none), want.get(bucket, none)
-                yield (k - 2) * buckets + bucket, pack_arrays(np.array([k]), pack_keys(wanted[t]), pack_keys(keys[s]), *(c[s] for c in columns))
+                yield before + bucket, pack_arrays(np.array([k]), pack_keys(wanted[t]), pack_keys(keys[s]), large[s], per[:, s].ravel())
 
     return ask
 
 
+def placed(buckets: list[int]) -> list[tuple[int, int, int]]:
+    """Each length from 2, the buckets of its sums and how many go before."""
+    return [(k, n, sum(buckets[: k - 2])) for k, n in enumerate(buckets, 2)]
+
+
 def answer_sums(model: Model):
     """For each history asked for: its missing mass times its count, and the discounted lower counts of what was seen after it."""
 
@@ -338,10 +394,12 @@ def answer_sums(model: Model):
         keys = np.concatenate([unpack_keys(p[2]) for p in parts])
         if not len(keys):
             return [pack_arrays(np.zeros(len(p[1])), np.zeros(len(p[1]))) for p in parts]
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         s = keys[order]
-        head = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-        large, *per = (np.add.reduceat(np.concatenate([p[i] for p in parts]).astype(np.int64)[order], head) for i in range(3, 4 + 2 * K))
+        head = np.flatnonzero(changes(s))
+        large = np.add.reduceat(np.concatenate([p[3] for p in parts])[order], head)
+        split = [p[4].reshape(2 * K, -1) for p in parts]
+        per = [np.add.reduceat(np.concatenate([x[r] for x in split])[order], head, dtype=np.int64) for r in range(2 * K)]
         missing = sum(per[r - 1] * ((1 - model.d[k - 1][r]) * r) for r in range(1, K + 1))
         lower = large + sum(per[K + r - 1] * (model.d[k - 2][r] * r) for r in range(1, K + 1))
         known, out = s[head], []
@@ -360,17 +418,17 @@ def split_two(data: bytes) -> tuple[bytes, bytes]:
     return data[8 : 8 + n], data[8 + n :]
 
 
-def finish(model: Model, order: int, buckets: int):
+def finish(model: Model, buckets: list[int]):
     def make(block: int, data: bytes, known: list[dict[int, bytes]]) -> Iterator[tuple]:
         every = unpack_arrays(data)
         ids, marks, sizes, n_known, base, score = every[:OWN]
         denominator = np.zeros(0)
-        for k in range(2, order + 1):
+        for k, n, before in placed(buckets):
             steps, c, lower, doc, at, kind, times = every[OWN + (k - 2) * WAITING : OWN + (k - 1) * WAITING]
             keys = unpack_keys(steps)
             missing, seen = np.zeros(len(keys)), np.zeros(len(keys))
-            for bucket, s in slices(keys, buckets).items():
-                missing[s], seen[s] = unpack_arrays(known[0][(k - 2) * buckets + bucket])
+            for bucket, s in slices(keys, n).items():
+                missing[s], seen[s] = unpack_arrays(known[0][before + bucket])
             whole = c + (missing <= 0)
             left = 1 - seen / (max(model.all, 1) if k == 2 else denominator[lower])
             backed = np.log10(np.where(missing > 0, missing, 1.0) / whole / np.maximum(left, 1e-300))
@@ -392,7 +450,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     blocks = make_blocks(rows, encode, ["doc_id", "text", "learn"], lambda r: len(r[1] or b"") + 8, "token_blocks", int(BLOCK_BYTES * more))
     groups = max(most, bucket_count(size, int(BLOCK_BYTES * more)))
     buckets, tables = [few, many] + [2 * many] * (order - 2), []  # there are more distinct n-grams of three words and more
-    buckets = buckets[:order]
+    buckets, sum_buckets = buckets[:order], [many] + [most] * (order - 2)
     for k in range(1, order + 1):
         cuts = np.linspace(0, buckets[k - 1], 1 + (1 if k == 1 else min(PASSES, buckets[k - 1]))).astype(int).tolist()
         tables.append([exchange(blocks, [], ask_counts(k, buckets[k - 1], a, b), answer_counts, f"counts_{k}", groups) for a, b in zip(cuts, cuts[1:], strict=False)])
@@ -408,6 +466,6 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     open_ = reduce(DataFrame.unionByName, own)
     sized = lambda c: F.unhex(F.concat(*(F.substring(F.lpad(F.hex(F.length(c)), 16, "0"), i, 2) for i in range(15, 0, -2))))
     both = open_.select("block", F.concat(sized("waiting"), "waiting", "sums").alias("data"))
-    sums = exchange(both, [], ask_sums(order, most), answer_sums(model), "sums", groups)
-    out = per_block(open_.select("block", F.col("waiting").alias("data")), [sums], finish(model, order, most), "doc_id long, learn boolean, n_tokens long, n_known long, base_score double, score double", groups)
+    sums = exchange(both, [], ask_sums(order, sum_buckets), answer_sums(model), "sums", groups)
+    out = per_block(open_.select("block", F.col("waiting").alias("data")), [sums], finish(model, sum_buckets), "doc_id long, learn boolean, n_tokens long, n_known long, base_score double, score double", groups)
     return out.withColumn("train_tokens", F.lit(model.n).cast("long"))

@@ -1,4 +1,5 @@
 import math
+import time
 from collections import Counter
 
 import numpy as np
@@ -120,3 +121,36 @@ def test_nothing_to_learn_and_empty(spark):
     out = M.score(spark.createDataFrame([(1, "a b", False, ""), (2, None, None, "")], SCHEMA)).collect()
     assert sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in out) == [(1, 3, 0, 0, 0.0, 0.0), (2, 1, 0, 0, 0.0, 0.0)]
     assert M.score(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_work_of_a_block_is_a_few_sorts():
+    """The questions of a block, over both passes, and its n-grams cost no more than a few sorts of its tokens."""
+    rng = np.random.default_rng(4)
+    words = np.array([f"w{x}" for x in range(60000)])
+    rows = [(i, " ".join(words[np.minimum(rng.zipf(1.3, 500), 60000) - 1]).encode(), i % 7 != 2) for i in range(1500)]
+    data = M.encode(rows)
+    tokens = rng.integers(0, 1 << 63, 500 * 1500)
+
+    def least(work, times=3):
+        took = []
+        for _ in range(times):
+            began = time.process_time()
+            work()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    sort = least(lambda: np.argsort(tokens, kind="stable"))
+    for k in (2, 3):
+        assert least(lambda k=k: [list(M.ask_counts(k, 8, a, a + 4)(data, [])) for a in (0, 4)]) < 5 * sort
+
+
+def test_words_are_split_at_the_same_bytes():
+    """Blanks of other scripts, control characters and broken UTF-8 are parts of words; empty words are none."""
+    rng = np.random.default_rng(5)
+    bits = [b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r", b"a", b"B", "É".encode(), "\xa0".encode(), "\u2003".encode(), b"\x1c", b"\x85", b"\x00", b"\xff"]
+    texts = [None, b"", b" ", *(b"".join(bits[i] for i in rng.integers(0, len(bits), rng.integers(0, 20))) for _ in range(500))]
+    _, _, sizes, tokens, steps = M.unpack_arrays(M.encode([(i, t, True) for i, t in enumerate(texts)]))
+    keys = M.unpack_keys(steps)[tokens]
+    want = [[M.xxhash.xxh64_intdigest(w, 42) for w in (t or b"").lower().split()] + [int(M.END_KEY)] for t in texts]
+    assert sizes.tolist() == [len(w) for w in want]
+    assert keys.tolist() == [x for w in want for x in w]
