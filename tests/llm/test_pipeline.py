@@ -160,3 +160,21 @@ def test_edited_copies_are_dropped(spark, tables):
         rows.append((300 + i, " ".join(far), "en", "s", 1))
     out = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), tables[0])
     assert sorted(r.doc_id for r in out.collect()) == [*range(40), *range(300, 340)]
+
+
+def test_texts_of_candidates_are_exchanged_at_every_size(spark, tables):
+    """A join that is a broadcast for few candidates and an exchange for many makes the shuffle grow faster than the input."""
+    rng = np.random.default_rng(10)
+    rows = []
+    for i in range(20):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 100)]
+        rows += [(2 * i, " ".join(words), "en", "s", 1), (2 * i + 1, " ".join([*words, "more"]), "en", "s", 1)]
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    out = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), tables[0])
+    assert sorted(r.doc_id for r in out.collect()) == list(range(0, 40, 2))
+    found = store.executionsList(int(before), int(store.executionsCount() - before))
+    plans = [found.apply(i).physicalPlanDescription() for i in range(found.size())]
+    verified = [p for p in plans if "near_wanted" in p and "near_nodes" in p and "MapInArrow" in p]
+    assert len(verified) == 1
+    assert "SortMergeJoin" in verified[0] and "BroadcastHashJoin" not in verified[0]
