@@ -8,10 +8,10 @@ and later joins see true sizes.
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
-from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,19 +30,29 @@ def _path(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-_made: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("made", default=())
+class _Made(threading.local):
+    """Of each thread: the tables made inside each ``scratch``. Sent to an executor it arrives empty."""
+
+    lists: tuple[list[DataFrame], ...] = ()
+
+    def __reduce__(self):
+        return _Made, ()
+
+
+_made = _Made()
 
 
 @contextmanager
 def scratch() -> Iterator[None]:
     """Tables that ``materialize`` makes inside are discarded at the end, but for those it is told to keep."""
-    token = _made.set((*_made.get(), []))
+    before = _made.lists
+    _made.lists = (*before, [])
     try:
         yield
     finally:
-        for df in _made.get()[-1]:
+        for df in _made.lists[-1]:
             discard(df)
-        _made.reset(token)
+        _made.lists = before
 
 
 def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
@@ -54,7 +64,7 @@ def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     fs.deleteOnExit(p.getParent())
     out = spark.read.schema(df.schema).parquet(path)
     out._gleaner_path = path
-    around = _made.get()[: -1 if keep else None]
+    around = _made.lists[: -1 if keep else None]
     if around:
         around[-1].append(out)
     return out
