@@ -55,11 +55,11 @@ def scratch() -> Iterator[None]:
         _made.lists = before
 
 
-def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again; removed at the end of the ``scratch`` around it (``keep``: of the next one out) or of the application."""
+def materialize(df: DataFrame, label: str, keep: bool = False, partition: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder (in directories by the column ``partition``, if given) and read it again; removed at the end of the ``scratch`` around it (``keep``: of the next one out) or of the application."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gleaner/{uuid.uuid4().hex}/{label}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*([partition] if partition else [])).parquet(path)
     p, fs = _path(spark, path)
     fs.deleteOnExit(p.getParent())
     out = spark.read.schema(df.schema).parquet(path)

@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 from . import katz, language_id, quality_model
 from .common import held_out, table
 from .decontaminate import contaminated
+from .hard_negatives import hard_negatives
 from .packing import pack
 from .pii import find_pii
 from .quality_rules import quality_rules
+from .sharding import assign_shards
 from .simhash import near_duplicates
-from .sql import quality_rules_sql, suffix_dedup_sql, url_filters_sql
+from .sql import hard_negatives_sql, quality_rules_sql, ranked_search_sql, suffix_dedup_sql, url_filters_sql
 from .suffix_dedup import digest, remove_repeats
+from .tiered_search import ranked_search
 from .url_filters import url_filters
 
 #: The rules of the registered query (fixed values): verdict, host, path.
@@ -78,10 +81,27 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = assign_shards(table(spark, sf_dir, "documents"), 24)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op13_tiered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
     """The other operators learn, hash, align or iterate; their tests hold them against brute force."""
-    return {"op2_quality_rules": quality_rules_sql(), "op5_url_filters": url_filters_sql(URL_RULES), "op10_suffix_dedup": suffix_dedup_sql()}
+    return {
+        "op2_quality_rules": quality_rules_sql(), "op5_url_filters": url_filters_sql(URL_RULES), "op10_suffix_dedup": suffix_dedup_sql(),
+        "op12_hard_negatives": hard_negatives_sql(), "op13_tiered_search": ranked_search_sql(),
+    }

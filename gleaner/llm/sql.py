@@ -62,6 +62,29 @@ def url_filters_sql(rules: list[tuple[str, str, str]]) -> str:
  SELECT p.page_id, p.host, p.path, r.rule, coalesce(r.verdict, CASE WHEN {node_of("p.url")} IN (SELECT node FROM blocked) THEN 'block' END, 'allow') AS verdict FROM parsed p LEFT JOIN ruled r ON p.page_id = r.page_id"""
 
 
+def hard_negatives_sql() -> str:
+    """Every product of an anchor with a row of its length."""
+    return """WITH v AS (SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS (SELECT a.row AS anchor, a.vec_id AS anchor_id, c.row, c.vec_id, list_inner_product(a.e, c.e)::BIGINT AS score, a.label = c.label AS same
+  FROM v a, v c WHERE a.vec_id % 100 = 0 AND a.row <> c.row AND len(a.e) = len(c.e)),
+ p AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST, row) AS place FROM s WHERE same QUALIFY place <= 5),
+ n AS (SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.anchor, p.place ORDER BY s.score DESC, s.vec_id NULLS LAST, s.row) AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s ON p.anchor = s.anchor WHERE NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score QUALIFY rank <= 5)
+ SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n"""
+
+
+def ranked_search_sql() -> str:
+    """Every posting of an item's terms, without an index."""
+    words = lambda c: f"regexp_extract_all(translate({c}, {UP}, {LOW}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    return f"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, {words("text")} AS t FROM documents), b AS (SELECT row_number() OVER () AS item, item_id, list_distinct({words("text")}) AS t FROM benchmark),
+ s AS (SELECT count(*) AS n_docs, sum(len(t))::BIGINT AS n_terms FROM d WHERE len(t) > 0), q AS (SELECT item, item_id, unnest(t) AS term FROM b), e AS (SELECT row, doc_id, len(t) AS n, unnest(t) AS term FROM d),
+ p AS (SELECT row, doc_id, n, term, count(*) AS tf FROM e WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+ w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, s GROUP BY term, n_docs),
+ r AS (SELECT item, item_id, row, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score FROM q JOIN p USING (term) JOIN w USING (term), s GROUP BY item, item_id, row, doc_id)
+ SELECT item_id, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST, row)::INTEGER AS rank, doc_id, score FROM r WHERE score > 0 QUALIFY rank <= 50"""
+
+
 def suffix_dedup_sql(length: int = 50) -> str:
     """Every window of ``length`` bytes, in hex; meant for tables of a few megabytes."""
     return f"""WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
