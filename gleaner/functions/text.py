@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -83,9 +84,11 @@ def base_name(path: Column) -> Column:
 
 
 def language_of(path: Column) -> Column:
-    """Language label by name or extension; ``text`` by default."""
+    """Language label by extension, or else by name; ``text`` by default."""
     name = F.lower(base_name(path))
-    return F.when(name.startswith(".env"), "env").when(name == "dockerfile", "docker").otherwise(suffix_label(path, fixed.LANGUAGE_EXTS, "text"))
+    named = F.when(F.instr(F.substring(name, 2, 1 << 20), ".") > 0, suffix_label(path, fixed.LANGUAGE_EXTS, None))  # a leading dot begins no extension
+    by_name = F.when(name == "dockerfile", "docker").when(name == "makefile", "make").when(name == "cmakelists.txt", "cmake").when(name.startswith(".env"), "env")
+    return F.coalesce(named, by_name, F.lit("text"))
 
 
 def embed_kind(path: Column) -> Column:
@@ -105,22 +108,36 @@ def embed_target(path: Column, text: Column) -> Column:
     return F.when(kind.isin("structural", "log"), "").when(kind == "code", F.when(F.length(prose) >= 40, prose).otherwise("")).otherwise(text)
 
 
+def cuts(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
+    """Begin and end of each chunk, in one walk: every step looks at one window only."""
+    out, at, n = [], 0, len(text)
+    while at < n:
+        stop = min(at + size, n)
+        last = text.rfind("\n", at, stop) if stop - at == size else -1
+        end = last if last - at > size // 2 else stop
+        out.append((at, end))
+        at = n if end == n else max(end - overlap, at + 1)
+    return out
+
+
 def chunks(text: Column, size: int = 1400, overlap: int = 200) -> Column:
-    """array(struct(off, chunk)): windows of ``size`` characters that end at a newline past their middle if there is one."""
-
-    def grow(acc, _):
-        rest = F.substring(text, acc["at"] + 1, F.lit(size))
-        last = F.lit(size) - F.locate("\n", F.reverse(rest))
-        stop = F.when((F.length(rest) == size) & (F.locate("\n", rest) > 0) & (last > size // 2), last).otherwise(F.length(rest))
-        ended = (acc["at"] + F.length(rest) >= F.length(text)) & (stop == F.length(rest))
-        piece = F.struct(acc["at"].alias("off"), F.substring(text, acc["at"] + 1, stop).alias("chunk"))
-        after = F.when(ended, F.length(text)).otherwise(F.greatest(acc["at"] + stop - overlap, acc["at"] + 1))
-        more = F.struct(after.cast("int").alias("at"), F.concat(acc["out"], F.array(piece)).alias("out"))
-        return F.when(acc["at"] >= F.length(text), acc).otherwise(more)
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<off:int,chunk:string>>").alias("out"))
-    steps = F.sequence(F.lit(0), F.ceil(F.length(text) / (size // 2 - overlap)).cast("int"))
-    return F.aggregate(steps, start, grow, lambda acc: acc["out"])
+    """array(struct(off, chunk)): windows of ``size`` characters that end at a newline past their middle if there is one; null for a null text.
+
+    In Arrow batches, in time proportional to the text.
+    """
+
+    @F.arrow_udf("array<struct<off:int,chunk:string>>")
+    def cut(texts: pa.Array) -> pa.Array:
+        ends, offs, parts = [0], [], []
+        for t in texts.to_pylist():
+            for a, b in cuts(t or "", size, overlap):
+                offs.append(a)
+                parts.append(t[a:b])
+            ends.append(len(offs))
+        pieces = pa.StructArray.from_arrays([pa.array(offs, pa.int32()), pa.array(parts, pa.string())], ["off", "chunk"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pieces, mask=texts.is_null())
+
+    return cut(text)
 
 
 def token_chunks(ids: Column, size: int = 435, stride: int = 375) -> Column:

@@ -131,6 +131,18 @@ def current(spark: SparkSession, folder: str) -> DataFrame | None:
     return None if name is None else spark.read.parquet(f"{folder}/{name}")
 
 
+def vacuum(spark: SparkSession, folder: str, keep: set[str]) -> int:
+    """Remove the folders in ``folder`` that are not named in ``keep``, and all pointers but the newest; how many folders."""
+    versions, fs, jvm = _files(spark, folder)
+    names = [s.getPath().getName() for s in fs.listStatus(versions.getParent())]
+    gone = [n for n in names if n not in keep and not n.startswith("_")]
+    for n in gone:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(versions.getParent(), n), True)
+    for number, name in _versions(spark, folder)[:-1]:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(versions, f"{number:012d}-{name}"), True)
+    return len(gone)
+
+
 def drop_documents(vectors: DataFrame, plan: DataFrame) -> DataFrame:
     """The vector rows whose document the plan (doc_id, action) keeps."""
     return vectors.join(plan.where("action = 'keep'").select("doc_id"), "doc_id", "left_semi")

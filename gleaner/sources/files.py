@@ -1,12 +1,14 @@
 """Ingest of directories: listing, admission, text decoding and the ledger of skipped files.
 
-The listing reads no content. What is new by (path, mtime, size) and admitted by
+The listing (sources.tree) reads no content. What is new by (path, mtime, size) and admitted by
 name and size alone is read, file by file where it lies, so a refresh costs the
-changed files and no content is ever shuffled.
+changed files and no content is ever shuffled. Every entry of the tree is a document, a
+directory, unchanged, or a row of the ledger.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,11 +19,13 @@ from pyspark.sql import types as T
 from gleaner.functions import fixed
 from gleaner.functions import text as X
 
+from .shared import shared_dir, until_exit
+from .tree import local, tree
 
-def listing(spark: SparkSession, root: str) -> DataFrame:
-    """path, mtime, size of every file below ``root``."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return found.select("path", F.unix_micros("modificationTime").cast("double").__truediv__(1e6).alias("mtime"), F.col("length").alias("size"))
+
+def folder_rows(paths: DataFrame) -> DataFrame:
+    """Directories (path) as documents without text; their time is 0, so that a new file does not change those above it."""
+    return paths.select("path", F.lit(0.0).alias("mtime"), F.lit(0).cast("long").alias("size"), F.lit("").alias("lang"), F.lit(0).alias("n_lines"), F.lit("").alias("text"), F.lit("dir").alias("method"), F.lit(True).alias("is_dir"))
 
 
 def directories(files: DataFrame, root: str) -> DataFrame:
@@ -29,7 +33,7 @@ def directories(files: DataFrame, root: str) -> DataFrame:
     below = F.split(F.expr(f"substring(path, {len(root.rstrip('/')) + 2})"), "/")
     names = F.transform(F.sequence(F.lit(1), F.size(below) - 1), lambda i: F.array_join(F.slice(below, 1, i), "/"))
     inner = files.select(below.alias("b"), "path").where(F.size("b") > 1).select(F.explode(names).alias("d")).distinct()
-    return inner.select(F.concat(F.lit(root.rstrip("/") + "/"), "d").alias("path"), F.lit(0.0).alias("mtime"), F.lit(0).cast("long").alias("size"), F.lit("").alias("lang"), F.lit(0).alias("n_lines"), F.lit("").alias("text"), F.lit("dir").alias("method"), F.lit(True).alias("is_dir"))
+    return folder_rows(inner.select(F.concat(F.lit(root.rstrip("/") + "/"), "d").alias("path")))
 
 
 def in_skipped_directory(path: Column, include_deps: bool = False, root: str = "") -> Column:
@@ -112,21 +116,16 @@ def contents_of(files: DataFrame, read: Read = opened) -> DataFrame:
     return files.mapInPandas(run, T.StructType([*files.schema.fields, T.StructField("content", T.BinaryType())]))
 
 
-def rooted(spark: SparkSession, root: str) -> str:
-    """``root`` as the paths of a listing begin."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
-
-
 def ingest(spark: SparkSession, root: str, known: DataFrame | None = None, include_deps: bool = False, media: Column | None = None, read: Read = opened) -> tuple[DataFrame, DataFrame]:
     """(documents and directories, ledger) of a directory.
 
     ``known``: path, mtime, size of files that need no reading. ``media``: expression over ``content`` and ``path`` for the text of pdf files and images.
+    The tree is listed once, into the shared folder; documents and ledger are of that moment.
     """
-    base = rooted(spark, root)
-    every = listing(spark, root)
-    files = every.where(~in_skipped_directory(F.col("path"), include_deps, base))
+    at = until_exit(spark, f"{shared_dir(spark)}/gleaner/{uuid.uuid4().hex}")
+    tree(spark, root, include_deps).write.parquet(at)
+    every = spark.read.parquet(at)
+    files = every.where("kind = 'file'").select("path", "mtime", "size")
     if known is not None:
         files = files.join(known.select("path", "mtime", "size"), ["path", "mtime", "size"], "left_anti")
     judged = files.withColumn("why", admission(F.col("path"), F.col("size")))
@@ -140,16 +139,19 @@ def ingest(spark: SparkSession, root: str, known: DataFrame | None = None, inclu
         F.xxhash64("path").alias("doc_id"), "path", "mtime", "size", X.language_of(F.col("path")).alias("lang"), X.line_count(F.col("x.text")).alias("n_lines"),
         "x.text", "x.method", F.lit(False).alias("is_dir"),
     )
-    folders = directories(files, base).select(F.xxhash64("path").alias("doc_id"), *(c for c in docs.columns if c != "doc_id"))
+    folders = folder_rows(every.where("kind = 'dir'")).select(F.xxhash64("path").alias("doc_id"), *(c for c in docs.columns if c != "doc_id"))
     why = F.when(F.col("why").isin(*TAKEN, "media"), "no_text_content").otherwise(F.col("why"))
     late = done.where(~taken).select("path", "size", why.alias("reason"), F.col("mtime").alias("seen"))
     skipped = judged.where(~wanted).select("path", "size", F.col("why").alias("reason"), F.col("mtime").alias("seen"))
-    return docs.unionByName(folders), skipped.unionByName(late)
+    unlisted = every.where("kind = 'skipped'").select("path", "size", "reason", F.col("mtime").alias("seen"))
+    return docs.unionByName(folders), skipped.unionByName(late).unionByName(unlisted)
 
 
 def pruned(spark: SparkSession, root: str, include_deps: bool = False) -> DataFrame:
     """How many files, and bytes, lie in directories that are left out."""
-    return listing(spark, root).where(in_skipped_directory(F.col("path"), include_deps, rooted(spark, root))).agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+    base = (local(root) or root).rstrip("/")
+    files = tree(spark, root, prune=False).where("kind = 'file'")
+    return files.where(in_skipped_directory(F.col("path"), include_deps, base)).agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
 
 
 def write_json(hits: DataFrame, path: str) -> None:

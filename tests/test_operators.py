@@ -77,6 +77,27 @@ def test_chunks_cover_the_text(spark):
         assert at == len(r.t)
 
 
+def test_chunks_in_one_walk(spark):
+    """Two million characters, and what cutting from the start of the rest each time gives."""
+    import time
+
+    text = ("some words of a line\n" * 100_000)[:2_000_000]
+    start = time.time()
+    assert len(X.cuts(text, 1400, 200)) > 1600
+    assert time.time() - start < 1
+    for t in ("x" * 5000, "line of words\n" * 400, "a" * 1399 + "\n" + "b" * 10, "é😀\n" * 1500, ("y" * 800 + "\n") * 9):
+        at, want = 0, []
+        while at < len(t):
+            rest = t[at : at + 1400]
+            last = rest.rfind("\n")
+            stop = last if len(rest) == 1400 and last > 700 else len(rest)
+            want.append((at, at + stop))
+            at = len(t) if at + stop == len(t) else max(at + stop - 200, at + 1)
+        assert X.cuts(t, 1400, 200) == want
+    rows = spark.createDataFrame([(None,), ("",), ("ab",)], "t string").select(X.chunks(F.col("t")).alias("c")).collect()
+    assert [r.c for r in rows] == [None, [], [(0, "ab")]]
+
+
 def test_code_graph_attribution():
     symbols, calls = graph.parse("def a():\n    b()\nclass K:\n    def m(self):\n        a()\nb()\n", "python")
     assert [s[0] for s in symbols] == ["a", "K", "m"]
@@ -108,7 +129,7 @@ def test_ingest_of_a_directory(spark, tmp_path):
     docs, folders = every.where("not is_dir"), every.where("is_dir")
     assert {(r.path.rsplit("/", 1)[1], r.lang, r.n_lines) for r in docs.collect()} == {("n.md", "markdown", 2), ("none", "text", 1)}
     assert {r.path.rsplit("/", 1)[1] for r in folders.collect()} == {"aa", "b"}
-    assert {(r.path.rsplit("/", 1)[1], r.reason) for r in skipped.collect()} == {("x.so", "binary_ext"), ("bin", "unknown_ext"), ("blank.txt", "no_text_content"), ("big.txt", "too_large"), ("p.pdf", "media")}
+    assert {(r.path.rsplit("/", 1)[1], r.reason) for r in skipped.collect()} == {("x.so", "binary_ext"), ("bin", "unknown_ext"), ("blank.txt", "no_text_content"), ("big.txt", "too_large"), ("p.pdf", "media"), ("node_modules", "dir:node_modules")}
     assert files.pruned(spark, str(root)).first().files == 1
     assert files.ingest(spark, str(root), known=docs)[0].where("not is_dir").count() == 0
     assert [r.path.rsplit("/", 1)[1] for r in S.grep(files.contents(skipped), "A\0B").collect()] == ["bin"]
@@ -118,10 +139,13 @@ def test_ingest_of_a_directory(spark, tmp_path):
 
 def test_a_refresh_does_not_read_what_is_known(spark, tmp_path):
     (tmp_path / "a.md").write_text("x")
-    docs = files.ingest(spark, str(tmp_path))[0]
-    plan = files.ingest(spark, str(tmp_path), known=docs)[0]._jdf.queryExecution().executedPlan().toString()
-    assert "MapInPandas" in plan and "BinaryFile" in plan.replace("binaryFile", "BinaryFile")
-    assert not any("content" in line for line in plan.split("\n") if "Scan binaryFile" in line)
+    docs = files.ingest(spark, str(tmp_path))[0].cache()
+    docs.count()
+
+    def refuse(path):
+        raise AssertionError(path)
+
+    assert files.ingest(spark, str(tmp_path), known=docs, read=refuse)[0].count() == 0
 
 
 def test_upsert_of_repeated_paths(spark):
@@ -152,6 +176,82 @@ def test_index_finds_what_a_scan_finds(spark, docs, tmp_path):
         assert hits.drop("sources").collect() == Engine(docs).search(query)[0].drop("sources").collect()
 
 
+def test_encoded_lists():
+    import numpy as np
+    from gleaner.operators import index as I
+
+    rng = np.random.default_rng(3)
+    lists = [np.sort(rng.choice(I.LOT, n, replace=False)) for n in (0, 1, 7, 4095, 4096, 30_000, I.LOT)]
+    for x in lists:
+        assert len(I.encode(x)) == min(2 * len(x), I.LOT // 8) and (I.decode(I.encode(x)) == x).all()
+    for a in lists[1:]:
+        for b in lists[1:]:
+            assert (I.intersect([(len(a), I.encode(a)), (len(b), I.encode(b))]) == np.intersect1d(a, b)).all()
+
+
+def test_lists_are_alike_for_any_ids(spark, tmp_path):
+    texts = [f"the text number {i} of many" for i in range(300)]
+    rows = [(i, f"p{i}", float(i), len(t), "text", 1, t, "utf8", False) for i, t in enumerate(texts)]
+    small = spark.createDataFrame(rows, DOCUMENT).coalesce(1)
+    hashed = small.withColumn("doc_id", F.xxhash64("path"))
+    sizes = [sorted(r.n for r in SearchIndex.write(d, str(tmp_path / n))._all("grams", "").collect()) for n, d in (("small", small), ("hashed", hashed))]
+    assert sizes[0] == sizes[1] and sizes[0][-1] == 300
+
+
+def test_a_common_trigram_is_not_read(spark, tmp_path):
+    from gleaner.operators import index as I
+
+    texts = ["the same words in all"] * 400 + ["the same words in allqzx"]
+    rows = [(i, f"p{i}", 0.0, len(t), "text", 1, t, "utf8", False) for i, t in enumerate(texts)]
+    index = SearchIndex.write(spark.createDataFrame(rows, DOCUMENT).coalesce(2), str(tmp_path / "i"))
+    read = []
+    keep, I.intersect = I.intersect, lambda lists: read.append([n for n, _ in lists]) or keep(lists)
+    try:
+        assert [r.doc_id for r in index.exact("in allqzx").collect()] == [400]
+    finally:
+        I.intersect = keep
+    assert read == [[1, 1, 1]]  # of seven trigrams those of one document
+
+
+@pytest.mark.parametrize("few", [2000, 0])
+def test_segments_equal_a_rebuild(spark, tmp_path, monkeypatch, few):
+    """Upserts, removals, removed documents that come back, and merges: always what a new index of the same documents has."""
+    import random
+
+    from gleaner.operators import index as I
+
+    monkeypatch.setattr(I, "LOOKED_UP", few)
+    monkeypatch.setattr(I, "LEAST", 4)
+    rng = random.Random(few)
+    words = ["alpha", "beta", "gamma", "delta", "omega", "rare_one"]
+    make = lambda i, n: (i, f"/r/{rng.choice(words)}{i}.md", float(n), 9, "text", 1, " ".join(rng.choices(words, k=rng.randint(1, 9))), "utf8", False)
+    state = {i: make(i, 0) for i in range(40)}
+    frame = lambda rows: spark.createDataFrame(list(rows), DOCUMENT)
+    index = SearchIndex.write(frame(state.values()), str(tmp_path / "i"))
+    counts = []
+    for step in range(1, 8):
+        new = {i: make(i, step) for i in rng.sample(range(60), 3)}
+        gone = [i for i in rng.sample(sorted(state), 4) if i not in new]
+        before = {s.name for s in index.segments}
+        index = index.upsert(frame(new.values()), spark.createDataFrame([(i,) for i in gone], "doc_id long"))
+        state = {i: r for i, r in (state | new).items() if i not in gone}
+        counts.append((len(index.segments), len({s.name for s in index.segments} - before)))
+        if step in (1, 4, 7):
+            fresh = SearchIndex.write(frame(state.values()), str(tmp_path / f"f{step}"))
+            assert (index.n, index.avgdl) == (fresh.n, fresh.avgdl) == (len(state), index.avgdl)
+            for query in ("alpha rare_one", "omega"):
+                assert index.keyword(query).collect() == fresh.keyword(query).collect() == S.keyword(frame(state.values()), query).collect()
+            for literal in ("a rare_one", "beta", "nowhere", "ga"):
+                assert index.exact(literal).collect() == S.exact(frame(state.values()), literal).collect()
+            assert index.path("alpha3").collect() == fresh.path("alpha3").collect()
+            wanted = list(range(0, 60, 5))
+            assert sorted((r.doc_id, r.text) for r in index.documents(wanted).collect()) == sorted((i, state[i][6]) for i in wanted if i in state)
+    assert counts[0] == (2, 1) and max(n for n, _ in counts) <= 5 and any(a < b[0] for a, b in zip([n for n, _ in counts][1:], counts, strict=False))
+    index.vacuum()
+    assert sorted(p.name for p in (tmp_path / "i").iterdir() if p.name[0] not in "._") == sorted([maintenance.current_name(spark, str(tmp_path / "i")), *(s.name for s in index.segments)])
+    assert SearchIndex(spark, str(tmp_path / "i")).keyword("omega").collect() == index.keyword("omega").collect()
+
+
 def test_trace_of_a_search(spark, docs):
     ledger = spark.createDataFrame([("/x/huge.bin", 9_000_000, "holds zzqqxx inside")], "path string, size long, text string")
     code = graph.extract(spark.createDataFrame([(1, "a.py", "def load():\n    open_it()\n")], "doc_id long, path string, text string"))
