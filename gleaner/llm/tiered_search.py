@@ -107,8 +107,10 @@ def _bins(forward: DataFrame, count: int, total: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, n, term, tf = _flat(batch)
+            if not len(term):
+                continue
             v = impact(tf, n, count, total)
-            key, own, times = np.unique((term << 20) | v, return_inverse=False, return_index=True, return_counts=True)
+            key, own, times = np.unique((term << 20) | v, return_index=True, return_counts=True)
             v, term = v[own], key >> 20
             bins, first = np.unique((term << 20) | (v >> BIN_BITS), return_index=True)
             last = np.r_[first[1:], len(v)] - 1  # sorted by impact within a term
@@ -153,6 +155,8 @@ def _lists(forward: DataFrame, tiers: Tiers, count: int, total: int) -> DataFram
         tiers = sent.value
         for batch in batches:
             at, n, term, tf = _flat(batch)
+            if not len(term):
+                continue
             row = batch.column("row").to_numpy()[at]
             v = impact(tf, n, count, total)
             tier = tiers.of(term, v)
