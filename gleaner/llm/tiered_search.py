@@ -10,9 +10,9 @@ A round reads one more tier for the items still open. What a document has in the
 tiers read bounds its score from below; that and the residual bounds of the terms it was not
 seen with bound it from above. An item has its proof when even a document
 seen nowhere stays below the 50th best lower bound: then no other document than those
-whose upper bound reaches it can be among the best. Items without proof fall
-through to the next tier by themselves; after the last nothing is left unseen.
-The documents that remain are scored exactly from their own terms.
+whose upper bound reaches it can be among the best, and these are taken from the lists in
+a second look. Items without proof fall through to the next tier by themselves; after
+the last nothing is left unseen. The documents taken are scored exactly from their own terms.
 
 Documents lie in blocks, and the lists of a block are scored by one task, for ``ITEMS``
 items at a time, in arrays of fixed size; so postings are never joined with items
@@ -182,28 +182,22 @@ class Items:
         self.item, self.term, self.weight, self.terms = item[order], term[order], weight[order], terms
         self.key = self.item * terms + self.term
 
-    def unseen(self, residual: np.ndarray, items: int) -> np.ndarray:
+    def unseen(self, residual: np.ndarray) -> np.ndarray:
         """The most that a document seen nowhere can score, for each item."""
-        out = np.zeros(items, np.int64)
+        out = np.zeros(self.item.max() + 1, np.int64)
         np.add.at(out, self.item, self.weight * residual[self.term])
         return out
 
 
-def _bounds(lists: DataFrame, items: Items, open_items: np.ndarray, least: np.ndarray, residual: np.ndarray, k: int) -> DataFrame:
-    """item, row, low, high: documents of each block that may be among an open item's best, with the bounds of their scores.
-
-    ``least``: a score that ``k`` documents are known to reach.
-    """
-    own = np.isin(items.item, open_items)
-    weight, residual_of = items.weight[own], residual
-    unseen = items.unseen(residual, len(least))
-    sent = lists.sparkSession.sparkContext.broadcast((open_items, items.item[own], items.term[own], weight, residual_of, unseen, least))
+def _scored(lists: DataFrame, items: Items, chosen: np.ndarray, residual: np.ndarray, keep, schema: str) -> DataFrame:
+    """What ``keep`` makes of the scores of the ``chosen`` items in each block: it gets an item, the block, the places seen, their scores so far, and the most they can reach."""
+    own = np.isin(items.item, chosen)
+    sent = lists.sparkSession.sparkContext.broadcast((chosen, items.item[own], items.term[own], items.weight[own], residual, items.unseen(residual)))
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        chosen, item, term, weight, residual, unseen, least = sent.value
-        block = key[0].as_py()
+        chosen, item, term, weight, residual, unseen = sent.value
         own = [(t, np.frombuffer(p, "<u2"), np.frombuffer(v, "<u4").astype(np.int64)) for t, p, v in zip(rows["term"].to_pylist(), rows["places"].to_pylist(), rows["impacts"].to_pylist(), strict=True)]
-        found: list[tuple[np.ndarray, ...]] = []
+        found = []
         for a in range(0, len(chosen), ITEMS):
             part = chosen[a : a + ITEMS]
             inside = np.flatnonzero(np.isin(item, part))
@@ -218,15 +212,36 @@ def _bounds(lists: DataFrame, items: Items, open_items: np.ndarray, least: np.nd
                     high[place[x], at] += w * (v - residual[t])
             for x, i in enumerate(part):
                 seen = np.flatnonzero(low[x])
-                lows = low[x, seen]
-                limit = max(least[i], np.partition(lows, -k)[-k] if len(lows) >= k else 0)
-                highs = high[x, seen] + unseen[i]
-                keep = highs >= limit
-                found.append((np.full(keep.sum(), i), block * BLOCK + seen[keep], lows[keep], highs[keep]))
-        cols = [np.concatenate(c) for c in zip(*found, strict=True)]
-        return pa.table(dict(zip(("item", "row", "low", "high"), map(pa.array, cols), strict=True)))
+                found.append(keep(i, key[0].as_py(), seen, low[x, seen], high[x, seen] + unseen[i]))
+        return pa.table([np.concatenate(c) for c in zip(*found, strict=True)], names=[c.split()[0] for c in schema.split(", ")])
+
+    return lists.groupBy("block").applyInArrow(run, schema)
+
+
+def _raised(lists: DataFrame, items: Items, left: np.ndarray, least: np.ndarray, residual: np.ndarray, k: int) -> np.ndarray:
+    """For each item of ``left`` a score that ``k`` documents reach in the tiers read, or that they were known to reach before."""
+
+    def best(i, block, seen, low, high):
+        top = low if len(low) <= k else np.partition(low, -k)[-k:]
+        return np.full(len(top), i), top
+
+    found = _scored(lists, items, left, residual, best, "item long, low long")
+    place = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("low")))
+    rows = found.withColumn("place", place).where(F.col("place") <= k).where(F.col("place") == k).select("item", "low").toArrow()  # one for each item of the part
+    out = least.copy()
+    out[rows["item"].to_numpy()] = np.maximum(out[rows["item"].to_numpy()], rows["low"].to_numpy())
+    return out
+
+
+def _candidates(lists: DataFrame, items: Items, proved: np.ndarray, least: np.ndarray, residual: np.ndarray) -> DataFrame:
+    """item, row: the documents that can reach the score that the item's best are known to reach."""
+    sent = lists.sparkSession.sparkContext.broadcast(least)
+
+    def near(i, block, seen, low, high):
+        at = seen[high >= sent.value[i]]
+        return np.full(len(at), i), block * BLOCK + at
 
-    return lists.groupBy("block").applyInArrow(run, "item long, row long, low long, high long")
+    return _scored(lists, items, proved, residual, near, "item long, row long")
 
 
 def _exact(forward: DataFrame, wanted: DataFrame, items: Items, count: int, total: int) -> DataFrame:
@@ -272,13 +287,10 @@ def _search_part(docs: DataFrame, pairs: DataFrame, names: DataFrame, k: int) ->
             needed = np.unique(items.term[np.isin(items.item, left)])
             terms = spark.createDataFrame(pa.table({"term": pa.array(needed.astype(np.int32))}))
             read = lists.where(F.col("tier") <= depth).join(F.broadcast(terms), "term", "left_semi")  # at most the terms of a part
-            found = materialize(_bounds(read, items, left, least, residual, k), "bounds")
-            order = Window.partitionBy("item").orderBy(F.desc("low"))
-            best = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).where(F.col("place") == k).select("item", "low").toArrow()
-            least[best["item"].to_numpy()] = best["low"].to_numpy()  # one for each item of the part
-            proof = (items.unseen(residual, len(numbers)) < least)[left] | (depth == tiers.depth - 1)
-            limits = spark.createDataFrame(pa.table({"item": pa.array(left[proof]), "least": pa.array(least[left[proof]])}))
-            wanted.append(found.join(F.broadcast(limits), "item").where("high >= least").select("item", "row"))
+            least = _raised(read, items, left, least, residual, k)
+            proof = (items.unseen(residual) < least)[left] | (depth == tiers.depth - 1)
+            if proof.any():
+                wanted.append(materialize(_candidates(read, items, left[proof], least, residual), "candidates"))
             left = left[~proof]
             if not len(left):
                 break

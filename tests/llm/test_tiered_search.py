@@ -61,8 +61,8 @@ def test_items_are_proved_in_early_tiers(spark, corpus, monkeypatch):
     """Some items stop before the last tier and some fall through; what they read is no more than they need."""
     monkeypatch.setattr(T, "FIRST", 16)
     read = []
-    bounds = T._bounds
-    monkeypatch.setattr(T, "_bounds", lambda lists, items, left, *rest: read.append(len(left)) or bounds(lists, items, left, *rest))
+    raised = T._raised
+    monkeypatch.setattr(T, "_raised", lambda lists, items, left, *rest: read.append(len(left)) or raised(lists, items, left, *rest))
     assert Counter(found(spark, *corpus, 3)) == Counter(plain(*corpus, 3))
     assert len(read) > 2 and read[0] > read[1] > read[-1] > 0
 
