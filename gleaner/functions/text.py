@@ -23,12 +23,24 @@ def line_count(text: Column) -> Column:
     return (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("int")
 
 
+def needles(query: str) -> list[str]:
+    """What find_line looks for: the query, then its words of over three letters, longest first."""
+    return [query.strip().lower(), *sorted((w for w in query.lower().split() if len(w) > 3), key=lambda w: -len(w))]
+
+
 def find_line(text: Column, needle: str) -> Column:
     """struct(line_no, line): the first line that holds the needle, or else its longest word of over three letters; null if none does."""
-    words = sorted((w for w in needle.lower().split() if len(w) > 3), key=lambda w: -len(w))
     low = F.lower(text)
-    places = [F.locate(w, low) for w in [needle.strip().lower(), *words]]
-    at = F.coalesce(*(F.when(p > 0, p) for p in places))
+    return _line_at(text, F.coalesce(*(F.when(p > 0, p) for p in (F.locate(w, low) for w in needles(needle)))))
+
+
+def find_first_line(text: Column, needles: Column) -> Column:
+    """As find_line, with an array of what to look for in each row."""
+    places = F.transform(needles, lambda w: F.position(w, F.lower(text)))
+    return _line_at(text, F.get(F.filter(places, lambda p: p > 0), F.lit(0)))
+
+
+def _line_at(text: Column, at: Column) -> Column:
     number = F.length(F.substring(text, F.lit(1), at - 1)) - F.length(F.replace(F.substring(text, F.lit(1), at - 1), F.lit("\n"), F.lit(""))) + 1
     line = F.substring(F.get(F.split(text, "\n"), number - 1), 1, 400)
     return F.when(at.isNotNull(), F.struct(number.cast("int").alias("line_no"), line.alias("line")))

@@ -1,8 +1,11 @@
-"""Retrieval quality from (case_id, wanted, doc_id, pos) rows."""
+"""Retrieval quality: known-item cases drawn from the documents, and measures over (case_id, wanted, doc_id, pos) rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as X
@@ -24,3 +27,75 @@ def recall_and_mrr(ranked: DataFrame, cases: DataFrame, k: int = 10) -> DataFram
         F.sum((F.coalesce("pos", F.lit(1 << 30)) < k).cast("long")).alias("found"),
         F.round(F.sum(F.coalesce(1.0 / (F.col("pos") + 1), F.lit(0.0))) / F.count("*"), 6).alias("mrr"),
     )
+
+
+#: A sentence that can be a case, the words counted in it, and how many it must have.
+SENTENCE, WORD, WORDS = r"[^.!?\n]{70,140}[.!?]", "[A-Za-z]{3,}", 8
+
+
+def _mark(*parts: Column) -> Column:
+    """A seeded order that any engine can compute."""
+    return F.md5(F.concat_ws(":", *(p.cast("string") for p in parts)))
+
+
+def sentences(docs: DataFrame, least: int = 20, most: int = 4000) -> DataFrame:
+    """doc_id, place, phrase, words: the sentences of documents of so many lines that no other document has as a sentence of its own."""
+    long = docs.where(F.col("n_lines").between(least, most))
+    each = long.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0))).alias("place", "phrase")).withColumn("phrase", F.trim("phrase"))
+    own = each.withColumn("words", F.regexp_extract_all("phrase", F.lit(WORD), F.lit(0))).where(F.size("words") >= WORDS).withColumn("hash", F.xxhash64("phrase"))
+    shared = own.groupBy("hash").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("hash")
+    return own.join(shared, "hash", "left_anti").drop("hash")
+
+
+def holders(docs: DataFrame, phrases: list[str]) -> dict[str, int]:
+    """How many documents hold each phrase anywhere: one walk of every text for all of them."""
+    sent = docs.sparkSession.sparkContext.broadcast(phrases)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        found = ahocorasick.Automaton()
+        for i, p in enumerate(sent.value):
+            found.add_word(p, i)
+        found.make_automaton()
+        for batch in batches:
+            met = [i for t in batch.column("text").to_pylist() for i in {i for _, i in found.iter(t or "")}]
+            yield pa.RecordBatch.from_arrays([pa.array(met, pa.int64())], ["phrase"])
+
+    if not phrases:
+        return {}
+    counted = docs.select("text").mapInArrow(run, "phrase long").groupBy("phrase").agg(F.count("*").alias("n"))
+    return {phrases[r.phrase]: r.n for r in counted.collect()}  # one row for each phrase asked about
+
+
+def cases(docs: DataFrame, n: int = 24, seed: int = 7, least: int = 20, most: int = 4000) -> DataFrame:
+    """case_id, wanted, phrase, words: ``n`` documents in seeded order, each with its first sentence that stands in no other document.
+
+    A sentence that others have as a sentence goes at once, by counts of hashes; the rest is
+    looked for in all texts, for a few documents at a time, until there are enough.
+    """
+    spark = docs.sparkSession
+    own = sentences(docs, least, most).withColumn("mark", _mark(F.col("doc_id"), F.lit(seed)))
+    found: list[tuple] = []
+    after, step = "", 4 * n
+    while len(found) < n:
+        first = own.where(F.col("mark") > after).groupBy("mark", "doc_id").agg(F.sort_array(F.collect_list(F.struct("place", "phrase", "words"))).alias("s")).orderBy("mark", "doc_id").limit(step)
+        some = first.collect()  # the sentences of a few documents
+        known = holders(docs, sorted({x.phrase for r in some for x in r.s}))
+        for r in some:
+            unique = next((x for x in r.s if known.get(x.phrase, 0) == 1), None)
+            if unique is not None and len(found) < n:
+                found.append((len(found), r.doc_id, unique.phrase, unique.words))
+        if len(some) < step:
+            break
+        after = some[-1].mark
+    return spark.createDataFrame(found, "case_id long, wanted long, phrase string, words array<string>")
+
+
+def with_query(cases: DataFrame, seed: int = 11) -> DataFrame:
+    """``cases`` with a query: half of the words, at least three, in seeded order, none of the first three; cases of fewer words are left out."""
+    tail = F.slice("words", 4, F.greatest(F.size("words") - 3, F.lit(0)))
+    drawn = F.array_sort(F.transform(tail, lambda w, i: F.struct(_mark(F.col("wanted"), F.lit(seed), i), w.alias("word"))))
+    few = F.slice(F.transform(drawn, lambda x: x["word"]), 1, F.greatest(F.lit(3), F.floor(F.size(tail) / 2).cast("int")))
+    return cases.where(F.size("words") >= 6).withColumn("query", F.array_join(few, " "))
+

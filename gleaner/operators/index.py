@@ -5,7 +5,7 @@ A segment is written once and never changed:
 - ``texts`` by place: the documents as they came, with their number of tokens. Places number
   them densely within a written file, whatever their doc_ids are.
 - ``names`` by doc_id: the narrow columns, each with its place.
-- ``postings`` by term.
+- ``postings`` by term, and ``positions`` by term for phrases.
 - ``grams`` by trigram: for each trigram and lot of 65,536 places one list, as 16-bit
   distances or, where that is longer, as a bitmap; ``n`` is its length.
 - ``gone``: doc_ids that the segment removes.
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import text as X
 from gleaner.sources.shared import remove, shared_dir
 
-from . import maintenance
+from . import fulltext, maintenance
 from .search import keyword_by_postings, path, top
 
 #: Places whose lists share a row, candidates that are looked up by their places, and how many times as long as the rarest list another may be to be read.
@@ -152,12 +152,14 @@ def write_segment(docs: DataFrame, folder: str, gone: DataFrame | None = None) -
     spark, name = docs.sparkSession, maintenance.fresh_name()
     own = f"{folder}/{name}"
     dl = F.coalesce(F.regexp_count("text", F.lit(X.fixed.TOKEN)), F.lit(0)).cast("long").alias("dl")
-    docs.select(F.monotonically_increasing_id().alias("place"), *NARROW, dl, "text").write.parquet(f"{own}/texts")
+    words = F.coalesce(F.size(fulltext.terms_of(F.col("text"))), F.lit(0)).cast("long").alias("words")
+    docs.select(F.monotonically_increasing_id().alias("place"), *NARROW, dl, words, "text").write.parquet(f"{own}/texts")
     texts = spark.read.parquet(f"{own}/texts")
-    texts.select("place", *NARROW, "dl").repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.parquet(f"{own}/names")
+    texts.select("place", *NARROW, "dl", "words").repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.parquet(f"{own}/names")
     t = texts.select("doc_id", "dl", F.explode(X.tokens(F.col("text"))).alias("term"))
     postings = t.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.parquet(f"{own}/postings")
+    fulltext.positions(texts).repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.parquet(f"{own}/positions")
     at = f"{shared_dir(spark)}/gleaner/{uuid.uuid4().hex}"
     gram_parts(texts).write.parquet(at)  # so that neither sampling nor a lost executor repeats them
     gram_lists(spark.read.schema("gram long, lot long, places binary").parquet(at)).repartitionByRange("gram", "lot").sortWithinPartitions("gram", "lot").write.parquet(f"{own}/grams")
@@ -173,8 +175,8 @@ class SearchIndex:
         self.spark, self.folder = spark, folder
         rows = spark.read.parquet(f"{folder}/{maintenance.current_name(spark, folder)}").orderBy("number").collect()  # a few
         self.segments = [Segment(r.number, r.name, r.docs) for r in rows if r.name]
-        self.n, tokens = next((r.docs, r.tokens) for r in rows if not r.name)
-        self.avgdl = tokens / self.n if self.n else 0.0
+        self.n, tokens, words = next((r.docs, r.tokens, r.words) for r in rows if not r.name)
+        self.avgdl, self.mean_words = (tokens / self.n, words / self.n) if self.n else (0.0, 0.0)
 
     @classmethod
     def write(cls, docs: DataFrame, folder: str) -> SearchIndex:
@@ -188,10 +190,10 @@ class SearchIndex:
         numbered = [Segment(i + 1, s.name, s.docs) for i, s in enumerate(segments)]
         own = object.__new__(cls)
         own.spark, own.folder, own.segments = spark, folder, numbered
-        n, tokens = own.names.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+        totals = own.names.agg(F.count("*"), *(F.coalesce(F.sum(c), F.lit(0)) for c in ("dl", "words"))).first()
         name = maintenance.fresh_name()
-        rows = [(0, "", n, tokens), *((s.number, s.name, s.docs, 0) for s in numbered)]
-        spark.createDataFrame(rows, "number int, name string, docs long, tokens long").coalesce(1).write.parquet(f"{folder}/{name}")
+        rows = [(0, "", *totals), *((s.number, s.name, s.docs, 0, 0) for s in numbered)]
+        spark.createDataFrame(rows, "number int, name string, docs long, tokens long, words long").coalesce(1).write.parquet(f"{folder}/{name}")
         maintenance.point(spark, folder, name)
         return cls(spark, folder)
 
@@ -234,15 +236,15 @@ class SearchIndex:
 
     @property
     def names(self) -> DataFrame:
-        return self._all("names", "place long, doc_id long, path string, lang string, size long, mtime double, n_lines int, is_dir boolean, dl long")
+        return self._all("names", "place long, doc_id long, path string, lang string, size long, mtime double, n_lines int, is_dir boolean, dl long, words long")
 
     @property
     def texts(self) -> DataFrame:
         return self._all("texts", "place long, doc_id long, text string", lambda t: t.select("place", "doc_id", "text"))
 
-    def postings(self, terms: list[str]) -> DataFrame:
-        """term, doc_id, tf, dl of the documents with these terms."""
-        return self._all("postings", "term string, doc_id long, tf long, dl long", lambda t: t.where(F.col("term").isin(terms)))
+    def postings(self, terms: list[str] | None = None) -> DataFrame:
+        """term, doc_id, tf, dl of the documents with these terms (all, if none are named)."""
+        return self._all("postings", "term string, doc_id long, tf long, dl long", lambda t: t if terms is None else t.where(F.col("term").isin(terms)))
 
     def keyword(self, query: str, limit: int = 40, variant: str = "plain") -> DataFrame:
         import re
@@ -250,6 +252,12 @@ class SearchIndex:
         terms = sorted({w.lower() for w in re.findall(X.fixed.TOKEN, query)})
         return keyword_by_postings(self.postings(terms), self.n, self.avgdl, query, limit, variant)
 
+    def phrases(self, query: str, limit: int = 40) -> DataFrame:
+        """As fulltext.phrase_search."""
+        terms = sorted({t for p in fulltext.phrases_of(query) for t in p})
+        hits = self._all("positions", "term string, doc_id long, words long, places array<int>", lambda t: t.where(F.col("term").isin(terms)))
+        return fulltext.phrase_search(hits, self.n, self.mean_words, query, limit)
+
     def _places(self, s: Segment, grams: list[int]) -> list[int] | DataFrame | None:
         """Places of a segment whose texts may hold all ``grams``: a list if they are few, or a table; none if there are none."""
         lists = self._read(s, "grams")

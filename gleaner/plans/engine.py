@@ -99,14 +99,8 @@ class Engine:
             names = {r.path: r.path for r in rows if r.doc_id is None}
             if pure and not rows:
                 lists = {"meta": []}
-        best_path = max((s for _, s in lists.get("path", [])), default=0.0)
-        keys = {b: [k for k, _ in own] for b, own in lists.items()}
-        lead = router.primary(plan["kind"], keys, best_path, pure)
-        order = _cut(router.interleave(keys, lead, pure), names, top_k)
-        score: dict = {}
-        for b, own in keys.items():
-            for i, k in enumerate(own):
-                score[k] = score.get(k, 0.0) + router.weight(b, pure) / (60 + i + 1)
+        keys, score, ranked, lead = order_of(lists, plan["kind"], pure)
+        order = cut(ranked, names, top_k)
         trace = {"plan": plan, "backend_counts": {b: len(own) for b, own in lists.items()}, "broadened": broadened, "meta": filters, "primary": lead}
         if filters and not lists["meta"]:
             trace["explain_empty"] = S.explain_empty(self.index.names if self.index else self.docs, filters).first().asDict()
@@ -135,7 +129,19 @@ class Engine:
         return self.docs.agg(F.count("*").alias("documents"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.coalesce(F.sum("n_lines"), F.lit(0)).alias("lines"))
 
 
-def _cut(order: list, names: dict, top_k: int) -> list:
+def order_of(lists: dict[str, list[tuple]], kind: str, pure: bool) -> tuple[dict[str, list], dict, list, str | None]:
+    """Of the backends' lists of (key, score): their keys, the fused score of each key, all keys in order, and the backend that leads."""
+    best_path = max((s for _, s in lists.get("path", [])), default=0.0)
+    keys = {b: [k for k, _ in own] for b, own in lists.items()}
+    lead = router.primary(kind, keys, best_path, pure)
+    score: dict = {}
+    for b, own in keys.items():
+        for i, k in enumerate(own):
+            score[k] = score.get(k, 0.0) + router.weight(b, pure) / (60 + i + 1)
+    return keys, score, router.interleave(keys, lead, pure), lead
+
+
+def cut(order: list, names: dict, top_k: int) -> list:
     """The first ``top_k`` documents, with the skipped files before the last of them."""
     out, n = [], 0
     for k in order:

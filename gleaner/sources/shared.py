@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,6 +28,13 @@ def until_exit(spark: SparkSession, folder: str) -> str:
     return folder
 
 
+def kept(spark: SparkSession, df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``df`` written to the shared folder and read again, and where; removed at the end of the application, or by ``remove``."""
+    folder = until_exit(spark, f"{shared_dir(spark)}/gleaner/{uuid.uuid4().hex}")
+    df.write.parquet(f"{folder}/{label}")
+    return spark.read.schema(df.schema).parquet(f"{folder}/{label}"), folder
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
