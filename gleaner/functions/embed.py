@@ -55,9 +55,12 @@ def docstrings(code: str | None) -> str:
     return "\n".join(found)
 
 
-@F.pandas_udf(T.StringType())
-def python_docstrings(code: pd.Series) -> pd.Series:
-    return code.map(docstrings)
+def python_docstrings(code: Column | str) -> Column:
+    @F.pandas_udf(T.StringType())
+    def of(code: pd.Series) -> pd.Series:
+        return code.map(docstrings)
+
+    return of(code)
 
 
 def embed_target(path: Column, text: Column) -> Column:

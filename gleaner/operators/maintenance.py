@@ -90,12 +90,17 @@ def fresh_name() -> str:
     return uuid.uuid4().hex
 
 
-def _files(spark: SparkSession, folder: str):
+def folder_of(spark: SparkSession, folder: str):
+    """(path, its file system, the driver's JVM)."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/_versions")
+    path = jvm.org.apache.hadoop.fs.Path(folder)
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm
 
 
+def _files(spark: SparkSession, folder: str):
+    return folder_of(spark, f"{folder}/_versions")
+
+
 def _versions(spark: SparkSession, folder: str) -> list[tuple[int, str]]:
     path, fs, _ = _files(spark, folder)
     names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []

@@ -8,10 +8,12 @@ directory, unchanged, or a row of the ledger.
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import InheritableThread
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,9 +74,12 @@ def decode(content: bytes | None) -> str:
     return "\n".join(x if len(x) <= fixed.MAX_LINE_CHARS else x[: fixed.MAX_LINE_CHARS] + " …[line truncated]" for x in text.splitlines())
 
 
-@F.pandas_udf(T.StringType())
-def decoded(content: pd.Series) -> pd.Series:
-    return content.map(decode)
+def decoded(content: Column) -> Column:
+    @F.pandas_udf(T.StringType())
+    def of(content: pd.Series) -> pd.Series:
+        return content.map(decode)
+
+    return of(content)
 
 
 def extract(content: Column, path: Column, media: Column | None = None) -> Column:
@@ -164,6 +169,69 @@ def contents(ledger: DataFrame, most: int = 48 << 20, read: Read = opened) -> Da
     return contents_of(small, read).where("content is not null").select("path", "size", decoded(F.col("content")).alias("text"))
 
 
+#: Sizes up to which skipped files are looked at together, smallest first, and how much of a file is read.
+WAVES, READ = (1 << 16, 1 << 20, 1 << 23, 1 << 26, 1 << 62), 48 << 20
+
+
+def grep_within(spark: SparkSession, ledger: DataFrame, query: str, limit: int = 30, budget: float = 6.0, read: Read = opened) -> DataFrame:
+    """path, size of skipped files (path, size) that hold ``query`` in any case, smallest first; then one row with timed_out, checked and total, if ``budget`` seconds did not do.
+
+    Files are looked at in waves of growing size, each a job that is cancelled when the time is up; what
+    the waves before found stays. Unreadable files count as checked; the first 48 MB of a file are searched.
+    """
+    schema = "path string, size long, timed_out boolean, checked long, total long"
+    if not query.strip():
+        return spark.createDataFrame([], schema)
+    context, needle = spark.sparkContext, query.lower()
+    files = ledger.select("path", "size").distinct()
+    checked, group = context.accumulator(0), uuid.uuid4().hex
+    end, low, found, late = time.monotonic() + budget, -1, [], False
+
+    def matches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def holds(path: str) -> bool:
+            checked.add(1)
+            try:
+                return needle in read(path)[:READ].decode("utf-8", "replace").lower()
+            except OSError:
+                return False
+
+        for f in frames:
+            yield f[f["path"].map(holds).astype(bool)]
+
+    for high in WAVES:
+        wave = files.where((F.col("size") > low) & (F.col("size") <= high)).mapInPandas(matches, "path string, size long")
+        wave, rows, wrong = wave.orderBy("size", "path").limit(limit - len(found)), [], []
+
+        def look(wave: DataFrame = wave, rows: list = rows, wrong: list = wrong) -> None:
+            context.setJobGroup(group, "search of skipped files", interruptOnCancel=True)
+            try:
+                rows += wave.collect()
+            except Exception as e:  # told below, unless it was cancelled
+                wrong.append(e)
+
+        if time.monotonic() >= end:
+            late = True
+            break
+        job = InheritableThread(target=look)
+        job.start()
+        job.join(max(0.0, end - time.monotonic()))
+        if job.is_alive():
+            late = True
+            while job.is_alive():  # a job that was about to begin is cancelled too
+                context.cancelJobGroup(group)
+                job.join(0.2)
+            break
+        if wrong:
+            raise wrong[0]
+        found += [(r.path, r.size, None, None, None) for r in rows]
+        low = high
+        if len(found) == limit:
+            break
+    if late:
+        found.append((None, None, True, checked.value, files.count()))
+    return spark.createDataFrame(found, schema)
+
+
 def written(hits: DataFrame) -> DataFrame:
     """Hits as lines of text: place, path, line and snippet."""
     place = F.concat_ws(":", "path", F.col("line_no").cast("string"))

@@ -271,14 +271,103 @@ def test_skipped_files_do_not_use_up_places(spark, docs):
 
 
 def test_stream_upserts_by_path(spark, tmp_path):
+    from gleaner.operators.buckets import Buckets
+
     source, folder, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
-    schema = "doc_id long, path string, text string"
-    spark.createDataFrame([(1, "a", "old"), (2, "b", "same")], schema).write.parquet(source)
-    follow(spark, source, schema, folder, mark).awaitTermination()
-    spark.createDataFrame([(9, "a", "new"), (3, "c", "more")], schema).write.mode("append").parquet(source)
+    schema = "doc_id long, path string, mtime double, text string, removed boolean"
+    spark.createDataFrame([(1, "a", 1.0, "old", None), (2, "b", 1.0, "same", False), (4, "d", 1.0, "goes", None)], schema).write.parquet(source)
+    follow(spark, source, schema, folder, mark, buckets=8).awaitTermination()
+    spark.createDataFrame([(9, "a", 2.0, "new", None), (3, "c", 1.0, "more", None), (4, "d", 2.0, "", True), (5, "e", 2.0, "", True), (5, "e", 3.0, "stays", None)], schema).write.mode("append").parquet(source)
     follow(spark, source, schema, folder, mark).awaitTermination()
-    got = sorted((r.doc_id, r.path, r.text) for r in maintenance.current(spark, folder).collect())
-    assert got == [(1, "a", "new"), (2, "b", "same"), (3, "c", "more")]
+    got = sorted((r.doc_id, r.path, r.text) for r in Buckets(spark, folder).read().collect())
+    assert got == [(1, "a", "new"), (2, "b", "same"), (3, "c", "more"), (5, "e", "stays")]
+
+
+def test_a_change_writes_its_buckets_only(spark, tmp_path):
+    from gleaner.operators.buckets import Buckets
+
+    folder = str(tmp_path / "t")
+    rows = {f"p{i}": (i, f"p{i}", 1.0, f"text {i}") for i in range(300)}
+    frame = lambda rows: spark.createDataFrame(list(rows), "doc_id long, path string, mtime double, text string")
+    own = Buckets.create(frame(rows.values()), folder, 32)
+    assert len(own.parts) == 32 and own.read().count() == 300
+    reader = own.read()
+    before = dict(own.parts)
+    new = [(900 + i, f"p{i}", 2.0, "changed") for i in (3, 77)] + [(950, "q", 1.0, "fresh")]
+    own = own.apply(frame(new), spark.createDataFrame([("p8",), ("p77",), ("nowhere",)], "path string"))
+    changed = {b for b in own.parts if own.parts[b] != before.get(b)}
+    assert 0 < len(changed) <= 6
+    want = {p: r for p, r in rows.items() if p != "p8"} | {"p3": (3, "p3", 2.0, "changed"), "p77": (77, "p77", 2.0, "changed"), "q": (950, "q", 1.0, "fresh")}
+    assert sorted(tuple(r) for r in own.read().collect()) == sorted(want.values())
+    assert reader.count() == 300  # an older version is still whole
+    again = own.apply(frame(new), spark.createDataFrame([("p8",), ("p77",)], "path string"))
+    assert sorted(tuple(r) for r in again.read().collect()) == sorted(want.values())
+    assert again.apply(frame([])) is again
+    assert again.vacuum() > 0 and sorted(tuple(r) for r in Buckets(spark, folder).read().collect()) == sorted(want.values())
+    few = again.rebucket(3)
+    assert len(few.parts) == 3 and few.read().count() == len(want)
+    emptied = few.apply(frame([]), few.read().select("path"))
+    assert emptied.read().count() == 0 and emptied.apply(frame(new)).read().count() == 3
+
+
+def test_no_document_is_embedded_twice(spark, docs, tmp_path):
+    """A run that dies halfway, one that dies between writing and publishing, and the run that resumes."""
+    import pandas as pd
+    from gleaner.operators.vectors import VectorStore
+
+    seen = str(tmp_path / "seen")
+    (tmp_path / "seen").mkdir()
+    rows = [(i, f"/x/{i}.md", 1.0, 9, "markdown", 1, f"text number {i}", "utf8", False) for i in range(30)]
+    many = spark.createDataFrame(rows, DOCUMENT)
+
+    def counting(texts):
+        import os
+        import uuid
+
+        for t in texts:
+            with open(os.path.join(seen, uuid.uuid4().hex), "w") as f:
+                f.write(t)
+        return embed.hashing_embedder(texts)
+
+    def embedded():
+        found = sorted(p.read_text() for p in (tmp_path / "seen").iterdir())
+        for p in (tmp_path / "seen").iterdir():
+            p.unlink()
+        return found
+
+    folder = str(tmp_path / "v")
+    store = VectorStore(spark, folder)
+    publish, done = VectorStore._publish, []
+
+    def dying(self, shards):
+        if len(done) == 2:
+            raise RuntimeError("killed after the third part was written")
+        done.append(shards)
+        return publish(self, shards)
+
+    VectorStore._publish = dying
+    try:
+        with pytest.raises(RuntimeError, match="killed"):
+            store.refresh(many, counting, parts=5)
+    finally:
+        VectorStore._publish = publish
+    first = embedded()
+    assert 0 < len(first) < 30 and len(VectorStore(spark, folder).shards) == 2
+    store = VectorStore(spark, folder).refresh(many, counting, parts=5)
+    assert sorted(first + embedded()) == sorted(r[6] for r in rows)
+    assert tuple(store.status(many).first()) == (30, 0, 0, True)
+    key = lambda r: (r.doc_id, r.off, r.embedding)
+    assert sorted(map(key, store.rows().collect())) == sorted(map(key, embed.chunk_vectors(many).collect()))
+    assert store.search(embed.embed_query("text number 7"), 1).first().doc_id == 7
+    now = many.where("doc_id != 4").withColumn("text", F.when(F.col("doc_id") == 9, "other words than before").otherwise(F.col("text")))
+    store = store.refresh(now, counting, parts=5)
+    assert embedded() == ["other words than before"] and tuple(store.status(now).first()) == (29, 0, 0, True)
+    assert store.refresh(now, counting, parts=5).shards == store.shards and embedded() == []
+    back = store.refresh(many, counting, parts=5)  # what is gone can come back
+    assert embedded() == ["text number 4", "text number 9"] and tuple(back.status(many).first()) == (30, 0, 0, True)
+    packed = back.compact()
+    assert packed.vacuum() > 0 and sorted(map(key, packed.rows().collect())) == sorted(map(key, embed.chunk_vectors(many).collect()))
+    assert isinstance(embed.hashing_embedder(pd.Series(["x"])), pd.Series)
 
 
 def test_vectors_resume_by_document(spark, docs):
@@ -371,6 +460,8 @@ def test_functions_need_no_package_where_they_run(spark):
 
     from pyspark import cloudpickle
 
+    for module in (graph, files, embed, X, S, maintenance, engine):  # also functions that name a module of the package
+        cloudpickle.dumps(lambda module=module: module)
     sent = cloudpickle.dumps((graph.parse, files.decode, embed.docstrings))
     code = "import sys, pickle; p, d, s = pickle.load(sys.stdin.buffer); assert 'gleaner' not in sys.modules; print(p('def a():\\n  b()\\n', 'python')[1], d(b'x'), s('\"\"\"doc\"\"\"'))"
     done = subprocess.run([sys.executable, "-c", code], input=sent, capture_output=True, cwd="/", env={"PATH": "/usr/bin"}, timeout=120)

@@ -99,3 +99,26 @@ def test_languages(spark):
     want = {"Makefile": "make", "x/Dockerfile": "docker", ".env.json": "json", ".env": "env", ".env.local": "env", "CMakeLists.txt": "text", "a.PY": "python", "none": "text", "x.unknown": "text", "d.py/none": "text"}
     rows = spark.createDataFrame([(k,) for k in want], "p string").select("p", X.language_of(F.col("p")).alias("l")).collect()
     assert {r.p: r.l for r in rows} == want
+
+
+def test_grep_with_a_budget(spark, tmp_path):
+    import time
+
+    sizes = {"a": 10, "b": 70_000, "c": 2_000_000, "d": 20}
+    for name, size in sizes.items():
+        (tmp_path / name).write_bytes(b"x" * size + (b"" if name == "d" else b" NeedLe"))
+    ledger = spark.createDataFrame([(f"{tmp_path}/{n}", s) for n, s in sizes.items()] + [(f"{tmp_path}/gone", 15)], "path string, size long")
+    shown = lambda df: [(r.path and r.path[-1], r.timed_out, r.checked, r.total) for r in df.collect()]
+    assert shown(files.grep_within(spark, ledger, "needle", budget=60)) == [(n, None, None, None) for n in "abc"]
+    assert shown(files.grep_within(spark, ledger, "needle", limit=2, budget=60)) == [(n, None, None, None) for n in "ab"]
+    assert shown(files.grep_within(spark, ledger, "needle", budget=0)) == [(None, True, 0, 5)]
+    assert shown(files.grep_within(spark, ledger, "  ")) == []
+
+    def slow(path):
+        if path.endswith("c"):
+            time.sleep(60)
+        return files.opened(path)
+
+    start = time.time()
+    *hits, last = shown(files.grep_within(spark, ledger, "needle", budget=8, read=slow))
+    assert time.time() - start < 40 and hits == [("a", None, None, None), ("b", None, None, None)] and last == (None, True, 4, 5)
