@@ -86,6 +86,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: One in so many of all rows makes a group hot.
+HOT = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined with ``groups`` (one row for each ``key``, with its number of rows ``n``, of ``total`` together).
+
+    Groups of a thousandth of all rows or more, of which there are a thousand at most, are
+    broadcast, so that no task gets a hot group's rows; the others are joined by exchange.
+    """
+    hot = F.broadcast(groups.where(F.col("n") * HOT >= total))
+    rest = groups.where(F.col("n") * HOT < total)
+    others = rows.join(hot.select(key), key, "left_anti")
+    return rows.join(hot, key).unionByName(others.join(rest, key))
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not have (names differ by more than case)."""
     taken = {c.lower() for c in df.columns}

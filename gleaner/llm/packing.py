@@ -20,8 +20,8 @@ space differs, are encoded whole).
 
 Defined cases: null and empty texts give one piece with the end id alone; a very
 long text gives as many pieces as it needs, encoded whole by one task; pieces of
-equal length are ranked by bucket, then doc_id, start and ids, and equal ones in
-any order, which changes no padding; repeated rows are packed each; an empty table
+equal length are ranked by buckets of a number of their own, so that neither null or
+repeated doc_ids nor repeated rows meet in one; repeated rows are packed each; an empty table
 gives no rows; other columns are ignored.
 """
 
@@ -198,15 +198,15 @@ def counts_before(counts: DataFrame) -> DataFrame:
 def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
-    cut = materialize(pieces(docs, tokenizer_path, length), "pieces")
+    cut = materialize(pieces(docs, tokenizer_path, length).withColumn("row", F.monotonically_increasing_id()), "pieces")
     histogram = {r.length: r.n for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``length`` rows
     slots = spark.sparkContext.broadcast(slot_table(pack_histogram(histogram, length)))
     buckets = spark.createDataFrame([(k, -(-n // BUCKET_ROWS)) for k, n in histogram.items()], "length long, buckets long")
-    spread = cut.join(F.broadcast(buckets), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.col("buckets"))).drop("buckets")
+    spread = cut.join(F.broadcast(buckets), "length").withColumn("bucket", F.pmod(F.xxhash64("row"), F.col("buckets"))).drop("buckets")
     counts = spread.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     with scratch():
         before = materialize(counts_before(counts), "rank_offsets", keep=True)
-    own = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32")) - 1
+    own = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("row")) - 1
     ranked = spread.withColumn("own", own).join(before, ["length", "bucket"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("own")).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

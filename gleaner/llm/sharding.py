@@ -33,11 +33,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh, materialize, scratch
+from .common import fresh, join_groups, materialize, scratch
 from .packing import counts_before
 
-#: Significant bits of a weight, rows in a bucket (about), and the share of all rows (one in so many) that makes a group hot.
-WEIGHT_BITS, BUCKET_ROWS, HOT = 16, 1000, 1000
+#: Significant bits of a weight, and rows in a bucket (about).
+WEIGHT_BITS, BUCKET_ROWS = 16, 1000
 #: Bytes that a document takes beside its text.
 OVERHEAD = 8
 
@@ -230,13 +230,6 @@ def placed_groups(rows: DataFrame, shards: int | None, capacity: int | None) ->
     return ranked.mapInArrow(place, "key binary, n long, shard int")
 
 
-def _joined(rows: DataFrame, groups: DataFrame, total: int) -> DataFrame:
-    """``rows`` with the shard of their group; the hot groups by broadcast."""
-    hot = F.broadcast(groups.where(F.col("n") * HOT >= total).select("key", "shard"))  # at most HOT groups
-    rest = groups.where(F.col("n") * HOT < total).select("key", "shard")
-    return rows.join(hot, "key").unionByName(rows.join(hot.select("key"), "key", "left_anti").join(rest, "key"))
-
-
 def assign_shards(docs: DataFrame, shards: int | None = 24, capacity: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot of every document: evenly over ``shards``, or into as few as ``capacity`` bytes allow."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -245,7 +238,7 @@ def assign_shards(docs: DataFrame, shards: int | None = 24, capacity: int | None
         rows = materialize(measured, "sized_rows")
         groups = materialize(placed_groups(rows, shards, capacity), "placed_groups")
         total = rows.count()
-        sharded = materialize(_joined(rows, groups, total).drop("key"), "sharded_rows", keep=True)
+        sharded = materialize(join_groups(rows, groups, "key", total).drop("key", "n"), "sharded_rows", keep=True)
         buckets = max(1, -(-total // BUCKET_ROWS))
         spread = sharded.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)))
         counts = spread.groupBy(F.col("shard").alias("length"), "bucket").agg(F.count("*").alias("n"))
@@ -258,14 +251,12 @@ def assign_shards(docs: DataFrame, shards: int | None = 24, capacity: int | None
 def write_shards(docs: DataFrame, folder: str, shards: int | None = 24, capacity: int | None = None, files: int = 8) -> None:
     """Write ``docs``, all columns, below ``folder``: a directory ``shard=N`` for each shard, of about ``files`` files each."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    key, shard, salt = (fresh(docs, x) for x in ("key", "shard", "salt"))
+    shard, salt = (fresh(docs, x) for x in ("shard", "salt"))
     with scratch():
         rows = materialize(docs.select(_size(text).alias("size"), _key(text).alias("key")), "sized_rows")
         groups = materialize(placed_groups(rows, shards, capacity), "placed_groups")
-        named = groups.select(F.col("key").alias(key), "n", F.col("shard").alias(shard))
-        hot = F.broadcast(named.where(F.col("n") * HOT >= rows.count()).drop("n"))
-        rest = named.join(hot.select(key), key, "left_anti").drop("n")
-        keyed = docs.withColumn(key, _key(text))
-        both = keyed.join(hot, key).unionByName(keyed.join(hot.select(key), key, "left_anti").join(rest, key))
-        dealt = both.drop(key).withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(files)))
+        every = F.struct(*docs.columns)
+        keyed = docs.select(every.alias("row"), _key(text).alias("key"))
+        both = join_groups(keyed, groups, "key", rows.count()).select("row.*", F.col("shard").alias(shard))
+        dealt = both.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(files)))
         dealt.repartition(shard, salt).drop(salt).write.partitionBy(shard).parquet(folder)

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch, shuffle_partitions
+from .common import join_groups, materialize, scratch, shuffle_partitions
 from .components import connected_components
 
 BITS, BLOCKS, RADIUS, SHINGLE, SEED = 64, 5, 3, 3, 42
@@ -224,15 +224,17 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     else:
         prints, key = materialize(fingerprints(docs, shingle), "fingerprints"), "fp"
         with scratch():
-            classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprint_classes")
+            classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "fingerprint_classes")
             found = materialize(fingerprint_links(classes.select("fp"), radius), "fingerprint_links")
             known = components(classes, found, "fp")
-    return prints.join(known, key).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return join_groups(prints, known, key, prints.count()).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def components(classes: DataFrame, found: DataFrame, key: str) -> DataFrame:
-    """``key``, component_id: the least first_id of the classes (key, first_id) that the links ``found`` connect."""
+    """``key``, component_id, n: the least first_id of the classes (key, first_id, n) that the links ``found`` connect."""
     groups = materialize(connected_components(found), "fingerprint_groups")
-    labelled = classes.join(groups.withColumnRenamed("node", key), key, "left").select(key, "first_id", F.coalesce("component", key).alias("group"))
-    least = labelled.groupBy("group").agg(F.min("first_id").alias("component_id"))
-    return materialize(labelled.join(least, "group").select(key, "component_id"), "fingerprint_components", keep=True)
+    named = classes.join(groups.withColumnRenamed("node", key), key, "left")
+    labelled = materialize(named.select(key, "first_id", F.col("n").alias("rows"), F.coalesce("component", key).alias("group")), "fingerprint_labels")
+    least = labelled.groupBy("group").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n"))
+    joined = join_groups(labelled, materialize(least, "fingerprint_least"), "group", labelled.count())
+    return materialize(joined.select(key, "component_id", F.col("rows").alias("n")), "fingerprint_components", keep=True)

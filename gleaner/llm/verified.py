@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import release
-from .common import materialize, shuffle_partitions
+from .common import join_groups, materialize, shuffle_partitions
 from .components import connected_components
 from .simhash import bucket_links, components, majority, salted, shingles
 
@@ -156,19 +156,21 @@ def verified_links(members: DataFrame, shingle: int, similarity: float) -> DataF
 def known_groups(docs: DataFrame, radius: int, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """(doc_id, node, fp of every row; node, component_id)."""
     prints = materialize(nodes(docs, shingle), "near_nodes")
-    single = prints.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first(F.octet_length("words")).alias("bytes"))
+    single = prints.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.first("fp").alias("fp"), F.first(F.octet_length("words")).alias("bytes"))
     classes = materialize(single, "near_classes")
     # Nodes of the same fingerprint are together in any case; the keys of all of them count.
     dealt = prints.dropDuplicates(["node"]).select("fp", F.posexplode("keys").alias("choice", "bucket"))
     found = materialize(bucket_links(dealt, radius).where("u != v"), "near_candidates")
     coarse = materialize(connected_components(found), "near_components")
     placed = classes.where("bytes > 0").join(coarse.withColumnRenamed("node", "fp"), "fp", "left").select("node", "bytes", F.coalesce("component", "fp").alias("component"))
+    placed = materialize(placed, "near_placed")
     sizes = placed.groupBy("component").agg(F.count("*").alias("n"), F.sum("bytes").alias("size")).where("n > 1")
-    wanted = materialize(placed.join(sizes, "component").select("node", "component", F.ceil(F.greatest(F.col("n") / PART_ROWS, F.col("size") / PART_BYTES)).alias("wide")), "near_wanted")
-    # The nodes wanted grow with the input, so they are never broadcast: one exchange of the texts, at every size.
-    texts = prints.select("node", "words").join(wanted.hint("merge"), "node").dropDuplicates(["node"])
+    sized = join_groups(placed, sizes, "component", placed.count())
+    wanted = materialize(sized.select("node", "component", F.ceil(F.greatest(F.col("n") / PART_ROWS, F.col("size") / PART_BYTES)).alias("wide")), "near_wanted")
+    # Of the copies of a node each task sends one. The nodes wanted grow with the input, so they are never broadcast: one exchange of the texts, at every size.
+    texts = prints.select("node", "words").dropDuplicates(["node"]).join(wanted.hint("merge"), "node")
     members = salted(texts, F.xxhash64("node"), F.col("wide")).select("component", "part", "node", "words")
     links = materialize(verified_links(members, shingle, similarity), "near_links")
     rows = materialize(prints.select("doc_id", "node", "fp"), "near_rows", keep=True)  # what follows needs no words
     release(docs.sparkSession)
-    return rows, components(classes.select("node", "first_id"), links, "node")
+    return rows, components(classes.select("node", "first_id", "n"), links, "node")
