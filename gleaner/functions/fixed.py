@@ -138,3 +138,6 @@ KEYWORDS = (
     "namespace", "use", "impl", "struct", "enum", "trait", "interface", "extends", "implements", "instanceof", "delete", "foreach", "endforeach", "elseif",
     "endif", "endwhile", "endfor", "endswitch", "global", "exit", "die", "clone", "eval", "empty", "compact", "extract", "defined", "define",
 )
+
+#: What an answer says that found nothing.
+REFUSAL = "I could not find that in your files."

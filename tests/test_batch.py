@@ -136,3 +136,28 @@ def test_keyword_batch_by_terms(spark, docs):
     got = batch.keyword_many(postings, n, avgdl, terms, 3).collect()
     for i, q in ((1, "fox quick"), (2, "layer"), (3, "none")):
         assert [(r.doc_id, round(r.score, 9)) for r in sorted(got, key=lambda r: r.pos) if r.query_id == i] == [(r.doc_id, round(r.score, 9)) for r in S.keyword(docs, q, 3).collect()]
+
+
+def test_answers(spark):
+    from gleaner.functions import fixed
+    from gleaner.plans import answers
+
+    hits = [(1, i, 10 + i, f"p{i}", t, i % 2 == 1) for i, t in enumerate(["one", " ", "password = hunter2hunter2", None, "two", "three"])] + [(2, 0, 20, "q", "token = 0123456789abcdef", True)]
+    found = spark.createDataFrame(hits, "query_id long, pos int, doc_id long, path string, text string, lexical boolean")
+    own = answers.sources(found, 2)
+    assert sorted(tuple(r) for r in own.collect()) == [(1, 1, 10, "p0", "one"), (1, 2, 14, "p4", "two")]
+    told = {r.query_id: (r.sent, r.blocked) for r in answers.withheld(found, 2).collect()}
+    assert told[1] == (2, 1) and told[2] == (0, 1)
+    asked = spark.createDataFrame([(1, "which?"), (2, "what?"), (3, "none")], "query_id long, query string")
+    prompt = answers.prompts(asked, own).collect()
+    assert [r.query_id for r in prompt] == [1] and "[1] p0\none\n\n[2] p4\ntwo" in prompt[0].prompt
+    said = {r.query_id: (r.answer, r.error) for r in answers.ask(asked, own, lambda prompts: [f" {len(prompts)} [2] [7]. " for _ in prompts]).collect()}
+    assert said == {1: ("1 [2] [7].", None), 2: (fixed.REFUSAL, None), 3: (fixed.REFUSAL, None)}
+    assert {r.error for r in answers.ask(asked, own, lambda prompts: prompts[9]).where("query_id = 1").collect()} == {"IndexError: list index out of range"}
+    assert {r.error for r in answers.ask(asked, own, lambda prompts: [None for _ in prompts]).where("query_id = 1").collect()} == {"no content"}
+    given = spark.createDataFrame([(1, "x [2] [7] [2]"), (1, "plain"), (1, f'"{fixed.REFUSAL}"'), (3, "[1]"), (1, None)], "query_id long, answer string")
+    got = [(r.answer, [tuple(c) for c in r.citations], r.invented, r.refused, r.uncited) for r in answers.cited(given, own).collect()]
+    assert sorted(got, key=str) == sorted([("x [2] [7] [2]", [(2, "p4")], [7], False, False), ("plain", [], [], False, True), (f'"{fixed.REFUSAL}"', [], [], True, False), ("[1]", [], [1], False, True), (None, [], [], False, True)], key=str)
+    assert [(r.doc_id, r.group, r.place, r.total, r.left) for r in answers.page(found.where("query_id = 1"), 2, 4).orderBy("place").collect()] == [(12, "meaning", 5, 6, 0), (14, "meaning", 6, 6, 0)]
+    first = answers.page(found, 1, 4).where("query_id = 1").orderBy("place").collect()
+    assert [r.doc_id for r in first] == [11, 13, 15, 10] and {r.left for r in first} == {2}
