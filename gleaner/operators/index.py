@@ -6,7 +6,8 @@ A segment is written once and never changed:
   them densely within a written file, whatever their doc_ids are.
 - ``names`` by doc_id: the narrow columns, each with its place.
 - ``postings`` by term, and ``positions`` by term for phrases.
-- ``grams`` by trigram: for each trigram and lot of 65,536 places one list, as 16-bit
+- ``bases`` by place: the different file names, in lower case, and ``named`` by their place: the documents of each.
+- ``grams`` (of texts) and ``base_grams`` (of file names) by trigram: for each trigram and lot of 65,536 places one list, as 16-bit
   distances or, where that is longer, as a bitmap; ``n`` is its length.
 - ``gone``: doc_ids that the segment removes.
 
@@ -25,7 +26,6 @@ out those that would cost more than checking the texts they could rule out.
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -36,10 +36,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as X
-from gleaner.sources.shared import remove, shared_dir
+from gleaner.sources.shared import kept, remove, together
 
 from . import fulltext, maintenance
-from .search import keyword_by_postings, path, top
+from .search import keyword_by_postings, path, path_terms, top
 
 #: Places whose lists share a row, candidates that are looked up by their places, and how many times as long as the rarest list another may be to be read.
 LOT, LOOKED_UP, WORTH = 1 << 16, 2000, 64
@@ -147,6 +147,13 @@ def merge_from(segments: list[Segment]) -> int | None:
     return None
 
 
+def _write_lists(texts: DataFrame, folder: str) -> None:
+    """The lists of the trigrams of ``texts`` (place, text)."""
+    parts, at = kept(texts.sparkSession, gram_parts(texts), "parts")  # so that neither sampling nor a lost executor repeats them
+    gram_lists(parts).repartitionByRange("gram", "lot").sortWithinPartitions("gram", "lot").write.parquet(folder)
+    remove(texts.sparkSession, at)
+
+
 def write_segment(docs: DataFrame, folder: str, gone: DataFrame | None = None) -> Segment:
     """Write the tables of ``docs`` below ``folder``; not part of the index before a list names it."""
     spark, name = docs.sparkSession, maintenance.fresh_name()
@@ -155,17 +162,29 @@ def write_segment(docs: DataFrame, folder: str, gone: DataFrame | None = None) -
     words = F.coalesce(F.size(fulltext.terms_of(F.col("text"))), F.lit(0)).cast("long").alias("words")
     docs.select(F.monotonically_increasing_id().alias("place"), *NARROW, dl, words, "text").write.parquet(f"{own}/texts")
     texts = spark.read.parquet(f"{own}/texts")
-    texts.select("place", *NARROW, "dl", "words").repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.parquet(f"{own}/names")
-    t = texts.select("doc_id", "dl", F.explode(X.tokens(F.col("text"))).alias("term"))
-    postings = t.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.parquet(f"{own}/postings")
-    fulltext.positions(texts).repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.parquet(f"{own}/positions")
-    at = f"{shared_dir(spark)}/gleaner/{uuid.uuid4().hex}"
-    gram_parts(texts).write.parquet(at)  # so that neither sampling nor a lost executor repeats them
-    gram_lists(spark.read.schema("gram long, lot long, places binary").parquet(at)).repartitionByRange("gram", "lot").sortWithinPartitions("gram", "lot").write.parquet(f"{own}/grams")
-    remove(spark, at)
-    (gone if gone is not None else docs.limit(0)).select("doc_id").write.parquet(f"{own}/gone")
-    return Segment(0, name, spark.read.parquet(f"{own}/names").count())
+
+    def names() -> int:
+        by_id = texts.select("place", *NARROW, "dl", "words").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+        by_id.write.parquet(f"{own}/names")
+        every = spark.read.parquet(f"{own}/names")
+        named = every.select(F.lower(X.base_name(F.col("path"))).alias("base"), "doc_id", "is_dir").where("base is not null")
+        named.select("base").distinct().select(F.monotonically_increasing_id().alias("place"), F.col("base").alias("text")).write.parquet(f"{own}/bases")
+        bases = spark.read.parquet(f"{own}/bases")
+        _write_lists(bases, f"{own}/base_grams")
+        named.join(bases.withColumnRenamed("text", "base"), "base").repartitionByRange("place").sortWithinPartitions("place").write.parquet(f"{own}/named")
+        return every.count()
+
+    def postings() -> None:
+        t = texts.select("doc_id", "dl", F.explode(X.tokens(F.col("text"))).alias("term"))
+        counted = t.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+        counted.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.parquet(f"{own}/postings")
+
+    def positions() -> None:
+        fulltext.positions(texts).repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.parquet(f"{own}/positions")
+
+    removed = (gone if gone is not None else docs.limit(0)).select("doc_id")
+    n, *_ = together(names, postings, positions, lambda: _write_lists(texts, f"{own}/grams"), lambda: removed.write.parquet(f"{own}/gone"))
+    return Segment(0, name, n)
 
 
 class SearchIndex:
@@ -258,9 +277,9 @@ class SearchIndex:
         hits = self._all("positions", "term string, doc_id long, words long, places array<int>", lambda t: t.where(F.col("term").isin(terms)))
         return fulltext.phrase_search(hits, self.n, self.mean_words, query, limit)
 
-    def _places(self, s: Segment, grams: list[int]) -> list[int] | DataFrame | None:
-        """Places of a segment whose texts may hold all ``grams``: a list if they are few, or a table; none if there are none."""
-        lists = self._read(s, "grams")
+    def _places(self, s: Segment, grams: list[int], table: str = "grams") -> list[int] | DataFrame | None:
+        """Places of a segment whose texts (or names) may hold all ``grams``: a list if they are few, or a table; none if there are none."""
+        lists = self._read(s, table)
         sizes = {r.gram: r.n for r in lists.where(F.col("gram").isin(grams)).groupBy("gram").agg(F.sum("n").alias("n")).collect()}
         if len(sizes) < len(grams):
             return None
@@ -297,7 +316,20 @@ class SearchIndex:
         return _counted(reduce(DataFrame.unionByName, parts) if parts else self.texts.limit(0), literal, limit)
 
     def path(self, query: str, limit: int = 40) -> DataFrame:
-        return path(self.names, query, limit)
+        """As search.path, from the different names that may hold a term; a term of two characters is looked for in all of them."""
+        terms = path_terms(query)
+        parts = [self.spark.createDataFrame([], "doc_id long, path string, is_dir boolean")]
+        for s in self.segments:
+            bases, named = self._read(s, "bases"), self._read(s, "named")
+            for t in terms:
+                grams = trigrams(t).tolist()
+                places = self._places(s, grams, "base_grams") if grams else bases.where(F.col("text").contains(t)).select("place")
+                if places is None:
+                    continue
+                chosen = [df.where(F.col("place").isin(places)) if isinstance(places, list) else df.join(places, "place", "left_semi") for df in (named, bases)]
+                rows = chosen[0].join(chosen[1].where(F.col("text").contains(t)), "place").select("doc_id", F.col("text").alias("path"), "is_dir")
+                parts.append(self._live(rows, s).select("doc_id", "path", "is_dir"))
+        return path(reduce(DataFrame.unionByName, parts).distinct(), query, limit)
 
     def documents(self, ids: list[int]) -> DataFrame:
         """The documents of a list of ids, by pruned reads."""

@@ -108,11 +108,16 @@ def keyword_by_postings(index: DataFrame, n: int, avgdl: float, query: str, limi
     return top(scored, F.desc(F.round("score", 9)), F.asc("doc_id"), limit=limit)
 
 
-def path(docs: DataFrame, query: str, limit: int = 40) -> DataFrame:
-    """Match of the file or directory name: whole name or stem 6 (12 for a directory), beginning 3, part 2; the best term counts."""
+def path_terms(query: str) -> list[str]:
+    """What a path search looks for, in lower case."""
     import re
 
-    terms = [t.lower() for t in re.findall(fixed.PATH_TERM, query) if t.lower() not in fixed.PATH_STOPWORDS]
+    return [t.lower() for t in re.findall(fixed.PATH_TERM, query) if t.lower() not in fixed.PATH_STOPWORDS]
+
+
+def path(docs: DataFrame, query: str, limit: int = 40) -> DataFrame:
+    """Match of the file or directory name: whole name or stem 6 (12 for a directory), beginning 3, part 2; the best term counts."""
+    terms = path_terms(query)
     if not terms:
         return docs.select("doc_id", F.lit(0.0).alias("score")).limit(0)
     base = F.lower(X.base_name(F.col("path")))

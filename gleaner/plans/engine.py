@@ -18,6 +18,7 @@ from gleaner.functions import text as X
 from gleaner.operators import graph, maintenance
 from gleaner.operators import search as S
 from gleaner.operators.index import SearchIndex
+from gleaner.sources.shared import together
 
 from . import router
 
@@ -58,25 +59,7 @@ class Engine:
 
     def _all_lists(self, backends: list[str], query: str) -> dict[str, list[tuple]]:
         """The backends' lists; their jobs run side by side."""
-        from pyspark import InheritableThread
-
-        found: dict[str, list[tuple]] = {}
-        wrong: list[Exception] = []
-
-        def one(b: str) -> None:
-            try:
-                found[b] = self._list(b, query)
-            except Exception as e:  # told below, in this thread
-                wrong.append(e)
-
-        threads = [InheritableThread(target=one, args=(b,)) for b in backends]
-        for t in threads:
-            t.start()
-        for t in threads:
-            t.join()
-        if wrong:
-            raise wrong[0]
-        return {b: found[b] for b in backends}
+        return dict(zip(backends, together(*(lambda b=b: self._list(b, query) for b in backends)), strict=True))
 
     def search(self, query: str, top_k: int = 25, now: datetime | None = None) -> tuple[DataFrame, dict]:
         """(hits, trace). hits: pos, doc_id, path, lang, n_lines, line_no, snippet, rrf_score, sources, lexical.

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -38,3 +40,24 @@ def kept(spark: SparkSession, df: DataFrame, label: str) -> tuple[DataFrame, str
 def remove(spark: SparkSession, folder: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def together(*tasks: Callable[[], object]) -> list:
+    """What the tasks give; their jobs run side by side, and the first error of one is raised when all have ended."""
+    out: list = [None] * len(tasks)
+    wrong: list[Exception] = []
+
+    def one(i: int) -> None:
+        try:
+            out[i] = tasks[i]()
+        except Exception as e:  # told below, in the caller's thread
+            wrong.append(e)
+
+    threads = [InheritableThread(target=one, args=(i,)) for i in range(len(tasks))]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    if wrong:
+        raise wrong[0]
+    return out

@@ -6,6 +6,7 @@ from gleaner.functions import text as X
 from gleaner.operators import graph, maintenance
 from gleaner.operators import search as S
 from gleaner.operators.index import SearchIndex
+from gleaner.operators.index import trigrams as _trigrams
 from gleaner.plans import engine
 from gleaner.plans.engine import Engine
 from gleaner.sources import files
@@ -213,35 +214,46 @@ def test_a_common_trigram_is_not_read(spark, tmp_path):
     assert read == [[1, 1, 1]]  # of seven trigrams those of one document
 
 
-@pytest.mark.parametrize("few", [2000, 0])
-def test_segments_equal_a_rebuild(spark, tmp_path, monkeypatch, few):
+def test_names_are_read_where_a_trigram_fits(spark, tmp_path):
+    names = ["Config.py", "my_config.yaml", "config", "readme.md", "cfg", "x/con.fig", "a/deep/Config.py", None]
+    rows = [(i, p and f"/r/{p}", 0.0, 1, "text", 1, "t", "utf8", p == "config") for i, p in enumerate(names)]
+    docs = spark.createDataFrame(rows, DOCUMENT)
+    index = SearchIndex.write(docs, str(tmp_path / "i"))
+    for query in ("config", "config.py", "fig", "cf", "py md", "nothing", "config readme", "con.fig cfg", "a"):
+        assert index.path(query).collect() == S.path(docs, query).collect(), query
+    s = index.segments[0]
+    assert index._read(s, "bases").count() == 6 and len(index._places(s, _trigrams("config").tolist(), "base_grams")) == 3
+    assert index._places(s, _trigrams("absent").tolist(), "base_grams") is None
+
+
+def test_segments_equal_a_rebuild(spark, tmp_path, monkeypatch):
     """Upserts, removals, removed documents that come back, and merges: always what a new index of the same documents has."""
     import random
 
     from gleaner.operators import index as I
 
-    monkeypatch.setattr(I, "LOOKED_UP", few)
     monkeypatch.setattr(I, "LEAST", 4)
-    rng = random.Random(few)
+    rng = random.Random(3)
     words = ["alpha", "beta", "gamma", "delta", "omega", "rare_one"]
     make = lambda i, n: (i, f"/r/{rng.choice(words)}{i}.md", float(n), 9, "text", 1, " ".join(rng.choices(words, k=rng.randint(1, 9))), "utf8", False)
     state = {i: make(i, 0) for i in range(40)}
     frame = lambda rows: spark.createDataFrame(list(rows), DOCUMENT)
     index = SearchIndex.write(frame(state.values()), str(tmp_path / "i"))
     counts = []
-    for step in range(1, 8):
+    for step in range(1, 6):
         new = {i: make(i, step) for i in rng.sample(range(60), 3)}
         gone = [i for i in rng.sample(sorted(state), 4) if i not in new]
         before = {s.name for s in index.segments}
         index = index.upsert(frame(new.values()), spark.createDataFrame([(i,) for i in gone], "doc_id long"))
         state = {i: r for i, r in (state | new).items() if i not in gone}
         counts.append((len(index.segments), len({s.name for s in index.segments} - before)))
-        if step in (1, 4, 7):
+        if step in (2, 5):
             fresh = SearchIndex.write(frame(state.values()), str(tmp_path / f"f{step}"))
             assert (index.n, index.avgdl) == (fresh.n, fresh.avgdl) == (len(state), index.avgdl)
             for query in ("alpha rare_one", "omega"):
                 assert index.keyword(query).collect() == fresh.keyword(query).collect() == S.keyword(frame(state.values()), query).collect()
-            for literal in ("a rare_one", "beta", "nowhere", "ga"):
+            for literal, few in [(x, n) for x in ("a rare_one", "beta", "nowhere", "ga") for n in (2000, 0)]:
+                monkeypatch.setattr(I, "LOOKED_UP", few)
                 assert index.exact(literal).collect() == S.exact(frame(state.values()), literal).collect()
             assert index.path("alpha3").collect() == fresh.path("alpha3").collect()
             wanted = list(range(0, 60, 5))
