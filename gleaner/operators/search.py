@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 
 from gleaner.functions import fixed
 from gleaner.functions import text as X
+from gleaner.sources.shared import kept
 
 
 def top(df: DataFrame, *order: Column, limit: int) -> DataFrame:
@@ -56,7 +57,7 @@ def _idf(smooth: bool, df: Column, n: Column) -> Column:
 
 
 def keyword(docs: DataFrame, query: str, limit: int = 40, variant: str = "plain") -> DataFrame:
-    """BM25 in one read of the texts: it counts totals and keeps (cached) the few numbers of documents with a term.
+    """BM25 in one read of the texts: it counts totals and writes the few numbers of documents with a term to the shared folder.
 
     ``plain``: k1 1.5, b 0.75, smoothed idf, each distinct term once. ``weighted``:
     k1 1.2, term frequencies times 1.5, idf at least 1e-6, repeated terms each.
@@ -76,8 +77,7 @@ def keyword(docs: DataFrame, query: str, limit: int = 40, variant: str = "plain"
     counted = counted.select("doc_id", F.coalesce("dl", F.lit(0)).alias("dl"), *(tf(t).alias(f"tf{i}") for i, t in enumerate(terms)))
     seen = Observation()
     watched = counted.observe(seen, F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *(F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))))
-    counted = watched.where(" or ".join(f"tf{i} > 0" for i in range(len(terms)))).persist()
-    counted.count()
+    counted, folder = kept(docs.sparkSession, watched.where(" or ".join(f"tf{i} > 0" for i in range(len(terms)))), "counted")
     totals = seen.get
     k1, weight, b = (1.5, 1.0, 0.75) if variant == "plain" else (1.2, 1.5, 0.75)
     parts = []
@@ -88,7 +88,7 @@ def keyword(docs: DataFrame, query: str, limit: int = 40, variant: str = "plain"
         parts.append(times * idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("dl") / F.lit(totals["avgdl"] or 1.0))))
     scored = counted.select("doc_id", reduce(lambda x, y: x + y, parts).alias("score")).where("score > 0")
     out = top(scored, F.desc(F.round("score", 9)), F.asc("doc_id"), limit=limit)
-    out._cached = counted  # for those who collect at once
+    out._folder = folder  # for those who collect at once
     return out
 
 

@@ -18,7 +18,7 @@ from gleaner.functions import text as X
 from gleaner.operators import graph, maintenance
 from gleaner.operators import search as S
 from gleaner.operators.index import SearchIndex
-from gleaner.sources.shared import together
+from gleaner.sources.shared import remove, together
 
 from . import router
 
@@ -53,8 +53,8 @@ class Engine:
         else:
             found = S.vector(self.chunks, self.embed(query), router.SEMANTIC_LIMIT)
         rows = [(r.doc_id, float(r.score)) for r in found.collect()]
-        if hasattr(found, "_cached"):
-            found._cached.unpersist()
+        if hasattr(found, "_folder"):
+            remove(self.docs.sparkSession, found._folder)
         return rows
 
     def _all_lists(self, backends: list[str], query: str) -> dict[str, list[tuple]]:
