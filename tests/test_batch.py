@@ -161,3 +161,16 @@ def test_answers(spark):
     assert [(r.doc_id, r.group, r.place, r.total, r.left) for r in answers.page(found.where("query_id = 1"), 2, 4).orderBy("place").collect()] == [(12, "meaning", 5, 6, 0), (14, "meaning", 6, 6, 0)]
     first = answers.page(found, 1, 4).where("query_id = 1").orderBy("place").collect()
     assert [r.doc_id for r in first] == [11, 13, 15, 10] and {r.left for r in first} == {2}
+
+
+def test_what_is_broadcast_is_plain(spark, monkeypatch, docs):
+    """Executors need not have this package to read it."""
+    import pickle
+
+    from pyspark import SparkContext
+
+    sent, send = [], SparkContext.broadcast
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, value: sent.append(pickle.dumps(value)) or send(self, value))
+    batch.search_many(Engine(docs), spark.createDataFrame([(1, "fox under 1kb"), (2, "'qu'")], "query_id long, query string")).collect()
+    evaluate.holders(docs, ["fox"])
+    assert sent and not any(b"gleaner" in x for x in sent)
