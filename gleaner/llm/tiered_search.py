@@ -139,27 +139,29 @@ class Tiers:
         self.low = np.minimum.accumulate(lows)
         self.residual = np.maximum.accumulate(tops[::-1])[::-1][1:]  # of all tiers below
 
-    def of(self, term: np.ndarray, impact: np.ndarray) -> np.ndarray:
-        bins = impact >> BIN_BITS
-        tier = np.zeros(len(term), np.int64)
-        for low in self.low[:-1]:
-            tier += bins < low[term]
-        return tier
+
+def tiers_of(lows: np.ndarray, term: np.ndarray, impact: np.ndarray) -> np.ndarray:
+    """The tier of each posting, from the lowest bins of the tiers."""
+    bins = impact >> BIN_BITS
+    tier = np.zeros(len(term), np.int64)
+    for low in lows[:-1]:
+        tier += bins < low[term]
+    return tier
 
 
 def _lists(forward: DataFrame, tiers: Tiers, count: int, total: int) -> DataFrame:
     """tier, block, term, places, impacts: the inverted lists of each block, highest impact first, as arrays of 16 and 32 bits."""
-    sent = forward.sparkSession.sparkContext.broadcast(tiers)
+    sent = forward.sparkSession.sparkContext.broadcast(tiers.low)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tiers = sent.value
+        lows = sent.value
         for batch in batches:
             at, n, term, tf = _flat(batch)
             if not len(term):
                 continue
             row = batch.column("row").to_numpy()[at]
             v = impact(tf, n, count, total)
-            tier = tiers.of(term, v)
+            tier = tiers_of(lows, term, v)
             order = np.lexsort((-v, term, row // BLOCK, tier))
             keys = np.stack([tier, row // BLOCK, term])[:, order]
             cuts = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(0)][: len(order)])

@@ -132,3 +132,15 @@ def test_written_shards_hold_whole_rows(spark, texts, tmp_path):
     for r in back.collect():
         total[r["shard_"]] += len((r.text or "").encode()) + 8
     assert len(total) == 6 and max(total.values()) - min(total.values()) < 300
+
+
+def test_what_is_broadcast_is_plain(spark, monkeypatch, texts):
+    """Executors need not have this package to read it."""
+    import pickle
+
+    from pyspark import SparkContext
+
+    sent, send = [], SparkContext.broadcast
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, value: sent.append(pickle.dumps(value)) or send(self, value))
+    assign_shards(spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")).collect()
+    assert sent and not any(b"gleaner" in x for x in sent)

@@ -96,3 +96,15 @@ def test_nothing_to_search(spark):
     assert found(spark, [(1, "a")], []) == []
     assert found(spark, [(1, "?"), (2, None)], [(1, "a")]) == []
     assert found(spark, [(1, "a a")], [(1, "b"), (2, None)]) == []
+
+
+def test_what_is_broadcast_is_plain(spark, monkeypatch, corpus):
+    """Executors need not have this package to read it."""
+    import pickle
+
+    from pyspark import SparkContext
+
+    sent, send = [], SparkContext.broadcast
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, value: sent.append(pickle.dumps(value)) or send(self, value))
+    found(spark, *corpus)
+    assert sent and not any(b"gleaner" in x for x in sent)
