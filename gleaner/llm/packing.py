@@ -44,7 +44,7 @@ from .common import materialize, scratch
 
 END_ID = 1
 #: Words a worker remembers.
-WORDS = 300_000
+WORDS = 500_000
 #: Pieces of one length that one window partition ranks, about, and buckets whose counts one window partition adds up.
 BUCKET_ROWS, BUCKETS = 500, 10_000
 _ODD = re.compile("[\x1c-\x1f]")
@@ -108,12 +108,21 @@ class WordTokenizer:
         if _ODD.search(text):
             return self._encode(text)
         words = text.split()
+        ids = list(map(self.known.get, words))
         try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            known = self.known
-            new = self._learn({w for w in words if w not in known})
-            return b"".join([new[w] if w in new else known[w] for w in words])
+            at = ids.index(None)
+        except ValueError:
+            return b"".join(ids)
+        unknown = [at]
+        try:
+            while True:
+                at = ids.index(None, at + 1)
+                unknown.append(at)
+        except ValueError:  # that was the last
+            new = self._learn({words[i] for i in unknown})
+        for i in unknown:
+            ids[i] = new[words[i]]
+        return b"".join(ids)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, length: int) -> DataFrame:
