@@ -5,7 +5,8 @@ A segment is written once and never changed:
 - ``texts`` by place: the documents as they came, with their number of tokens. Places number
   them densely within a written file, whatever their doc_ids are.
 - ``names`` by doc_id: the narrow columns, each with its place.
-- ``postings`` by term, and ``positions`` by term for phrases.
+- ``postings``, and ``positions`` for phrases: a row for each term and some millions of neighbouring terms, by term among these.
+  Documents are counted and their terms sorted where the texts lie, so no posting is ever exchanged; a query reads a small page of each such run.
 - ``bases`` by place: the different file names, in lower case, and ``named`` by their place: the documents of each.
 - ``grams`` (of texts) and ``base_grams`` (of file names) by trigram: for each trigram and lot of 65,536 places one list, as 16-bit
   distances or, where that is longer, as a bitmap; ``n`` is its length.
@@ -18,7 +19,7 @@ of a doc_id the one in the newest segment counts, and a removed one counts no mo
 of like size are merged when there are ``FAN`` of them, so that there are few, and a document is
 rewritten a logarithmic number of times. Rows without doc_id are never replaced.
 
-A query reads the row groups of its terms. An exact search reads the lengths of
+A query reads the pages of its terms. An exact search reads the lengths of
 its trigrams' lists first, then lists from the rarest on, and leaves
 out those that would cost more than checking the texts they could rule out.
 """
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as X
-from gleaner.sources.shared import kept, remove, together
+from gleaner.sources.shared import together
 
 from . import fulltext, maintenance
 from .search import keyword_by_postings, path, path_terms, top
@@ -46,8 +47,8 @@ LOT, LOOKED_UP, WORTH = 1 << 16, 2000, 64
 #: Documents of a segment of the lowest level, and segments of a level before they are merged.
 LEAST, FAN = 1000, 4
 NARROW = ("doc_id", "path", "lang", "size", "mtime", "n_lines", "is_dir")
-#: Bytes of text whose trigrams are grouped at a time.
-BYTES = 2 << 20
+#: Bytes of text whose trigrams are grouped at a time, and terms of the texts whose trigrams share a file.
+BYTES, TERMS = 4 << 20, 4 << 20
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -111,16 +112,29 @@ def gram_parts(texts: DataFrame) -> DataFrame:
 
 
 def gram_lists(parts: DataFrame) -> DataFrame:
-    """gram, lot, n, docs: the encoded list of each trigram and lot."""
+    """gram, lot, n, docs: the encoded list of each trigram and lot, from parts that lie side by side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def lists(rows: list[tuple[tuple[int, int], list[bytes]]]) -> pa.RecordBatch:
+            whole = [np.sort(np.frombuffer(b"".join(p), "<u2")).astype(np.int64) for _, p in rows]  # at most LOT places
+            keys = [pa.array([k[i] for k, _ in rows], pa.int64()) for i in range(2)]
+            return pa.RecordBatch.from_arrays([*keys, pa.array([len(w) for w in whole], pa.int64()), pa.array([encode(w) for w in whole], pa.binary())], ["gram", "lot", "n", "docs"])
+
+        open_: list[tuple[tuple[int, int], list[bytes]]] = []  # the last list, which the next batch may continue
         for batch in batches:
-            whole = [np.sort(np.frombuffer(b"".join(p), "<u2")).astype(np.int64) for p in batch.column("parts").to_pylist()]
-            n, docs = pa.array([len(w) for w in whole], pa.int64()), pa.array([encode(w) for w in whole], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("gram"), batch.column("lot"), n, docs], ["gram", "lot", "n", "docs"])
+            gram, lot, places = (batch.column(c) for c in ("gram", "lot", "places"))
+            for key, part in zip(zip(gram.to_pylist(), lot.to_pylist(), strict=True), places.to_pylist(), strict=True):
+                if open_ and open_[-1][0] == key:
+                    open_[-1][1].append(part)
+                else:
+                    open_.append((key, [part]))
+            if len(open_) > 1:
+                yield lists(open_[:-1])
+                open_ = open_[-1:]
+        if open_:
+            yield lists(open_)
 
-    met = parts.groupBy("gram", "lot").agg(F.collect_list("places").alias("parts"))  # at most LOT places
-    return met.mapInArrow(run, "gram long, lot long, n long, docs binary")
+    return parts.mapInArrow(run, "gram long, lot long, n long, docs binary")
 
 
 @dataclass(frozen=True)
@@ -147,11 +161,10 @@ def merge_from(segments: list[Segment]) -> int | None:
     return None
 
 
-def _write_lists(texts: DataFrame, folder: str) -> None:
+def _write_lists(texts: DataFrame, folder: str, files: int) -> None:
     """The lists of the trigrams of ``texts`` (place, text)."""
-    parts, at = kept(texts.sparkSession, gram_parts(texts), "parts")  # so that neither sampling nor a lost executor repeats them
-    gram_lists(parts).repartitionByRange("gram", "lot").sortWithinPartitions("gram", "lot").write.parquet(folder)
-    remove(texts.sparkSession, at)
+    dealt = gram_parts(texts).repartition(files, "gram", "lot").sortWithinPartitions("gram", "lot")
+    gram_lists(dealt).write.parquet(folder)
 
 
 def write_segment(docs: DataFrame, folder: str, gone: DataFrame | None = None) -> Segment:
@@ -162,28 +175,27 @@ def write_segment(docs: DataFrame, folder: str, gone: DataFrame | None = None) -
     words = F.coalesce(F.size(fulltext.terms_of(F.col("text"))), F.lit(0)).cast("long").alias("words")
     docs.select(F.monotonically_increasing_id().alias("place"), *NARROW, dl, words, "text").write.parquet(f"{own}/texts")
     texts = spark.read.parquet(f"{own}/texts")
+    n, words = texts.agg(F.count("*"), F.coalesce(F.sum(F.greatest("dl", "words")), F.lit(0))).first()
+    files = 1 + words // TERMS
 
-    def names() -> int:
+    def names() -> None:
         by_id = texts.select("place", *NARROW, "dl", "words").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
         by_id.write.parquet(f"{own}/names")
         every = spark.read.parquet(f"{own}/names")
         named = every.select(F.lower(X.base_name(F.col("path"))).alias("base"), "doc_id", "is_dir").where("base is not null")
         named.select("base").distinct().select(F.monotonically_increasing_id().alias("place"), F.col("base").alias("text")).write.parquet(f"{own}/bases")
         bases = spark.read.parquet(f"{own}/bases")
-        _write_lists(bases, f"{own}/base_grams")
+        _write_lists(bases, f"{own}/base_grams", 1 + n // TERMS)
         named.join(bases.withColumnRenamed("text", "base"), "base").repartitionByRange("place").sortWithinPartitions("place").write.parquet(f"{own}/named")
-        return every.count()
-
-    def postings() -> None:
-        t = texts.select("doc_id", "dl", F.explode(X.tokens(F.col("text"))).alias("term"))
-        counted = t.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-        counted.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.parquet(f"{own}/postings")
 
-    def positions() -> None:
-        fulltext.positions(texts).repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.parquet(f"{own}/positions")
+    def by_term(parts: DataFrame, table: str) -> None:
+        parts.write.option("parquet.page.row.count.limit", fulltext.PAGE).parquet(f"{own}/{table}")
 
     removed = (gone if gone is not None else docs.limit(0)).select("doc_id")
-    n, *_ = together(names, postings, positions, lambda: _write_lists(texts, f"{own}/grams"), lambda: removed.write.parquet(f"{own}/gone"))
+    together(
+        names, lambda: by_term(fulltext.posting_parts(texts, X.tokens(F.col("text"))), "postings"), lambda: by_term(fulltext.posting_parts(texts, fulltext.terms_of(F.col("text")), True), "positions"),
+        lambda: _write_lists(texts, f"{own}/grams", files), lambda: removed.write.parquet(f"{own}/gone"),
+    )
     return Segment(0, name, n)
 
 
@@ -263,7 +275,7 @@ class SearchIndex:
 
     def postings(self, terms: list[str] | None = None) -> DataFrame:
         """term, doc_id, tf, dl of the documents with these terms (all, if none are named)."""
-        return self._all("postings", "term string, doc_id long, tf long, dl long", lambda t: t if terms is None else t.where(F.col("term").isin(terms)))
+        return self._all("postings", "term string, doc_id long, tf long, dl long", lambda t: fulltext.postings_of(t if terms is None else t.where(F.col("term").isin(terms))))
 
     def keyword(self, query: str, limit: int = 40, variant: str = "plain") -> DataFrame:
         import re
@@ -274,7 +286,7 @@ class SearchIndex:
     def phrases(self, query: str, limit: int = 40) -> DataFrame:
         """As fulltext.phrase_search."""
         terms = sorted({t for p in fulltext.phrases_of(query) for t in p})
-        hits = self._all("positions", "term string, doc_id long, words long, places array<int>", lambda t: t.where(F.col("term").isin(terms)))
+        hits = self._all("positions", "term string, doc_id long, words long, places array<int>", lambda t: fulltext.positions_of(t.where(F.col("term").isin(terms))))
         return fulltext.phrase_search(hits, self.n, self.mean_words, query, limit)
 
     def _places(self, s: Segment, grams: list[int], table: str = "grams") -> list[int] | DataFrame | None:

@@ -4,6 +4,7 @@ import math
 import re
 
 import pytest
+from gleaner.functions import text as X
 from gleaner.operators import evaluate, fulltext
 from gleaner.operators import search as S
 from gleaner.operators.index import SearchIndex
@@ -98,6 +99,28 @@ def test_phrases_and_diacritics(spark, tmp_path):
     assert {r.doc_id for r in more.phrases("foo_bar").collect()} == {2, 3, 10}
 
 
+@pytest.mark.parametrize("piece", [1, 5, 1 << 20])
+def test_postings_are_made_without_an_exchange(spark, docs, piece):
+    more = docs.select(F.col("doc_id"), "text").unionByName(spark.createDataFrame([(70, None), (71, "  "), (None, "fox fox")], "doc_id long, text string")).repartition(2).cache()
+    texts = {r.doc_id: r.text or "" for r in more.collect()}
+    parts = fulltext.posting_parts(more, X.tokens(F.col("text")), piece=piece)
+    assert "Exchange" not in parts._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")).split("InMemoryTableScan")[0]
+    words = {i: [w.lower() for w in re.findall(X.fixed.TOKEN, t)] for i, t in texts.items()}
+    assert sorted(map(tuple, fulltext.postings_of(parts).collect()), key=repr) == sorted(((w, i, own.count(w), len(own)) for i, own in words.items() for w in set(own)), key=repr)
+    parts = fulltext.posting_parts(more, fulltext.terms_of(F.col("text")), True, piece)
+    words = {i: re.findall(r"[^\W_]+", t.lower()) for i, t in texts.items()}
+    want = [(w, i, len(own), [n for n, x in enumerate(own) if x == w]) for i, own in words.items() for w in set(own)]
+    assert sorted(map(tuple, fulltext.positions_of(parts).collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_written_postings_share_rows(spark, docs, tmp_path):
+    own = SearchIndex.write(docs.coalesce(1), f"file://{tmp_path}/x")
+    for table, terms in (("postings", S.postings(docs)), ("positions", fulltext.positions_of(fulltext.posting_parts(docs, fulltext.terms_of(F.col("text")), True)))):
+        rows = own._read(own.segments[0], table)
+        assert rows.count() == rows.select("term").distinct().count() == terms.select("term").distinct().count() < terms.count()
+        assert [r.term for r in rows.collect()] == sorted(r.term for r in rows.collect())
+
+
 def test_cases_equal_brute_force(spark):
     """Sentences of exactly one document, where copies and longer sentences hold others."""
     import hashlib

@@ -199,6 +199,20 @@ def test_lists_are_alike_for_any_ids(spark, tmp_path):
     assert sizes[0] == sizes[1] and sizes[0][-1] == 300
 
 
+def test_lists_go_on_in_the_next_batch(spark):
+    from gleaner.operators import index
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        pack = lambda x: index.np.array(x, "<u2").tobytes()
+        rows = [(1, 0, pack([5, 9])), (1, 0, pack([1])), (1, 0, pack([7])), (1, 1, pack([3])), (2, 0, pack([2])), (2, 0, pack([4])), (2, 0, pack([6])), (2, 0, pack([0]))]
+        dealt = spark.createDataFrame(rows, "gram long, lot long, places binary").coalesce(1)
+        got = [(r.gram, r.lot, r.n, index.decode(bytes(r.docs)).tolist()) for r in index.gram_lists(dealt).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == [(1, 0, 4, [1, 5, 7, 9]), (1, 1, 1, [3]), (2, 0, 4, [0, 2, 4, 6])]
+
+
 def test_a_common_trigram_is_not_read(spark, tmp_path):
     from gleaner.operators import index as I
 
