@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import ast
 import hashlib
+import itertools
 import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +24,9 @@ from . import fixed
 from . import text as X
 
 DIM = 64
+#: Chunks that are embedded at a time.
+CHUNKS = 500
+PYTHON = "\\.pyi?$"
 Embedder = Callable[[pd.Series], pd.Series]
 
 
@@ -65,7 +70,7 @@ def python_docstrings(code: Column | str) -> Column:
 
 def embed_target(path: Column, text: Column) -> Column:
     """As functions.text.embed_target, with Python code parsed."""
-    python = F.lower(path).rlike("\\.pyi?$")
+    python = F.lower(path).rlike(PYTHON)
     own = python_docstrings(F.when(python, text))
     return F.when(python, F.when(F.length(own) >= 40, own).otherwise("")).otherwise(X.embed_target(path, text))
 
@@ -77,13 +82,32 @@ def policy_version(revision: int = 2) -> str:
 
 
 def chunk_vectors(docs: DataFrame, embedder: Embedder = hashing_embedder) -> DataFrame:
-    """doc_id, off, embedding, fingerprint, policy of every chunk; a document with nothing to embed gives one row with off -1 and no vector, so that a resumed build passes it over."""
-    target = docs.select("doc_id", X.fingerprint(F.col("mtime"), F.col("text")).alias("fingerprint"), embed_target(F.col("path"), F.col("text")).alias("t"))
-    cut = target.select("doc_id", "fingerprint", F.explode_outer(X.chunks(F.col("t"))).alias("c")).select("doc_id", "fingerprint", F.coalesce("c.off", F.lit(-1)).alias("off"), "c.chunk")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            vectors = embedder(f.chunk.fillna(""))
-            yield f.assign(embedding=[None if o < 0 else v for o, v in zip(f.off, vectors, strict=True)])[["doc_id", "off", "embedding", "fingerprint"]]
-
-    return cut.mapInPandas(run, "doc_id long, off int, embedding array<double>, fingerprint string").withColumn("policy", F.lit(policy_version()))
+    """doc_id, off, embedding, fingerprint, policy of every chunk; a document with nothing to embed gives one row with off -1 and no vector, so that a resumed build passes it over.
+
+    What is embedded of a text, its chunks and their vectors are made in one Python step, CHUNKS at a time.
+    """
+    python = F.coalesce(F.lower("path").rlike(PYTHON), F.lit(False))
+    target = F.when(python, F.col("text")).otherwise(X.embed_target(F.col("path"), F.col("text")))
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), X.fingerprint(F.col("mtime"), F.col("text")).alias("fingerprint"), python.alias("python"), target.alias("t"))
+    names = ["doc_id", "off", "embedding", "fingerprint"]
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, int, str]]:
+        for batch in batches:
+            for at in range(batch.num_rows):  # one text at a time
+                doc, mark, python, text = (batch.column(i)[at].as_py() for i in range(4))
+                if python:
+                    text = own if len(own := docstrings(text)) >= 40 else ""
+                found = X.cuts(text or "", 1400, 200)
+                yield from ((doc, mark, a, text[a:b]) for a, b in found)
+                if not found:
+                    yield doc, mark, -1, ""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pieces(batches)
+        while some := list(itertools.islice(rows, CHUNKS)):
+            docs, marks, offs, texts = zip(*some, strict=True)
+            vectors = [None if o < 0 else list(v) for o, v in zip(offs, embedder(pd.Series(texts)), strict=True)]
+            cols = (docs, pa.int64()), (offs, pa.int32()), (vectors, pa.list_(pa.float64())), (marks, pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in cols], names)
+
+    return marked.mapInArrow(run, "doc_id long, off int, embedding array<double>, fingerprint string").withColumn("policy", F.lit(policy_version()))

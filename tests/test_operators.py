@@ -396,6 +396,26 @@ def test_no_document_is_embedded_twice(spark, docs, tmp_path):
     assert isinstance(embed.hashing_embedder(pd.Series(["x"])), pd.Series)
 
 
+def test_chunks_are_embedded_in_one_step_and_in_pieces(spark):
+    import pandas as pd
+    from gleaner.functions import text as X
+
+    texts = ["x" * 5000, "", None, "# a comment of the module here\ndef f():\n    'Says what the function does, at length.'\n" + "y = 1\n" * 400, "a\n" * 300_000]
+    many = spark.createDataFrame([(i, f"a{i}.{'py' if i == 3 else 'md'}", 1.0, t) for i, t in enumerate(texts)], "doc_id long, path string, mtime double, text string").coalesce(1)
+
+    def embedder(texts: pd.Series) -> pd.Series:
+        assert 0 < len(texts) <= embed.CHUNKS
+        return embed.hashing_embedder(texts)
+
+    rows = embed.chunk_vectors(many, embedder)
+    assert rows._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 0
+    want = []
+    for i, t in enumerate(texts):
+        own = embed.docstrings(t) if i == 3 else t or ""
+        want += [(i, a, embed.hashing_embedder(pd.Series([own[a:b]]))[0]) for a, b in X.cuts(own, 1400, 200)] or [(i, -1, None)]
+    assert [(r.doc_id, r.off, r.embedding) for r in rows.orderBy("doc_id", "off").collect()] == want
+
+
 def test_vectors_resume_by_document(spark, docs):
     stored = embed.chunk_vectors(docs).select("doc_id", "fingerprint", "policy").distinct()
     now = docs.withColumn("text", F.when(F.col("doc_id") == 1, "changed").otherwise(F.col("text")))
