@@ -416,6 +416,19 @@ def test_chunks_are_embedded_in_one_step_and_in_pieces(spark):
     assert [(r.doc_id, r.off, r.embedding) for r in rows.orderBy("doc_id", "off").collect()] == want
 
 
+def test_calls_of_many_files_are_given_in_pieces(spark, monkeypatch):
+    import pyarrow as pa
+
+    kept = {}
+    many = spark.createDataFrame([(0, "a.py", "")], "doc_id long, path string, text string")
+    plain = type(many).mapInArrow
+    monkeypatch.setattr(type(many), "mapInArrow", lambda df, f, schema: kept.update(run=f) or plain(df, f, schema))
+    graph.extract(many)
+    code = "def f():\n" + "    g(1)\n" * 1999
+    given = list(kept["run"](iter([pa.table({"doc_id": range(8), "path": [f"a{i}.py" for i in range(8)], "text": [code] * 8, "code": ["python"] * 8}).to_batches()[0]])))
+    assert sum(b.num_rows for b in given) == 8 * 2000 and max(b.num_rows for b in given) < graph.ROWS + 2000
+
+
 def test_vectors_resume_by_document(spark, docs):
     stored = embed.chunk_vectors(docs).select("doc_id", "fingerprint", "policy").distinct()
     now = docs.withColumn("text", F.when(F.col("doc_id") == 1, "changed").otherwise(F.col("text")))
