@@ -90,13 +90,14 @@ def gram_parts(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places, texts = batch.column("place").to_numpy(), batch.column("text").to_pylist()
+            places, texts = batch.column("place").to_numpy(), batch.column("text")
             at = 0
             while at < len(texts):
                 own, size, stop = [], 0, at
                 while stop < len(texts) and size < BYTES:
-                    own.append(trigrams(texts[stop] or ""))
-                    size, stop = size + len(texts[stop] or ""), stop + 1
+                    text = texts[stop].as_py() or ""  # one at a time
+                    own.append(trigrams(text))
+                    size, stop = size + len(text), stop + 1
                 place = np.repeat(places[at:stop], [len(x) for x in own])
                 gram = np.concatenate(own)
                 order = np.lexsort((place, gram))
