@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import InheritableThread
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from gleaner.functions import fixed
 from gleaner.functions import text as X
 
 from .shared import shared_dir, until_exit
-from .tree import local, tree
+from .tree import local, record_batch, tree
 
 
 def folder_rows(paths: DataFrame) -> DataFrame:
@@ -82,13 +83,13 @@ def decoded(content: Column) -> Column:
     return of(content)
 
 
-def extract(content: Column, path: Column, media: Column | None = None) -> Column:
-    """struct(text, method). ``media`` is an expression for pdf and image text; without one they are reported as unavailable."""
+def extract(text: Column, path: Column, media: Column | None = None) -> Column:
+    """struct(text, method) for decoded ``text``. ``media`` is an expression for pdf and image text; without one they are reported as unavailable."""
     pdf = F.lower(path).endswith(".pdf")
     image = F.lower(path).rlike("\\.(png|jpe?g|webp|bmp|tiff?|gif)$")
     found = media if media is not None else F.lit("")
     method = F.when(pdf, F.lit("pdftext" if media is not None else "pdf_unavailable")).when(image, F.lit("ocr" if media is not None else "ocr_unavailable")).otherwise("utf8")
-    return F.struct(F.when(pdf | image, found).otherwise(decoded(content)).alias("text"), method.alias("method"))
+    return F.struct(F.when(pdf | image, found).otherwise(text).alias("text"), method.alias("method"))
 
 
 Read = Callable[[str], bytes]
@@ -121,11 +122,50 @@ def contents_of(files: DataFrame, read: Read = opened) -> DataFrame:
     return files.mapInPandas(run, T.StructType([*files.schema.fields, T.StructField("content", T.BinaryType())]))
 
 
+#: Files read before their rows go on, and bytes of them.
+FILES, BYTES = 1024, 16 << 20
+
+
+def texts_of(files: DataFrame, read: Read = opened, whole: bool = True, media: bool = False) -> DataFrame:
+    """``files`` (path, mtime, size, why) with ``why`` as their content has it and ``text``, read and decoded in one step; ``content`` of pdf files and images, with ``media``.
+
+    Without ``whole`` a text ends after its first character that is no space: enough to tell which files have text.
+    """
+    schema = pa.schema([("path", pa.string()), ("mtime", pa.float64()), ("size", pa.int64()), ("why", pa.string()), ("text", pa.string()), ("content", pa.binary())])
+
+    def one(path: str, why: str) -> tuple[str, str | None, bytes | None]:
+        try:
+            content = read(path)
+        except OSError:
+            return "unreadable", None, None
+        if why == "sniffed" and b"\0" in content[: fixed.SNIFF_BYTES]:
+            return "unknown_ext", None, None
+        if path.lower().endswith(fixed.MEDIA_EXTS):
+            return why, None, content if media else None
+        text = decode(content)
+        return why, text if whole else text.lstrip(" ")[:1], None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for batch in batches:
+            for path, mtime, size, why in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = one(path, why)
+                rows.append((path, mtime, size, *found))
+                held += len(found[1] or "") + len(found[2] or b"")
+                if len(rows) >= FILES or held >= BYTES:
+                    yield record_batch(rows, schema)
+                    rows, held = [], 0
+        if rows:
+            yield record_batch(rows, schema)
+
+    return files.select("path", "mtime", "size", "why").mapInArrow(run, "path string, mtime double, size long, why string, text string, content binary")
+
+
 def ingest(spark: SparkSession, root: str, known: DataFrame | None = None, include_deps: bool = False, media: Column | None = None, read: Read = opened) -> tuple[DataFrame, DataFrame]:
     """(documents and directories, ledger) of a directory.
 
     ``known``: path, mtime, size of files that need no reading. ``media``: expression over ``content`` and ``path`` for the text of pdf files and images.
-    The tree is listed once, into the shared folder; documents and ledger are of that moment.
+    The tree is listed once, into the shared folder; documents and ledger are of that moment. The ledger reads the files for itself, but no text of them leaves the step that reads.
     """
     at = until_exit(spark, f"{shared_dir(spark)}/gleaner/{uuid.uuid4().hex}")
     tree(spark, root, include_deps).write.parquet(at)
@@ -135,18 +175,19 @@ def ingest(spark: SparkSession, root: str, known: DataFrame | None = None, inclu
         files = files.join(known.select("path", "mtime", "size"), ["path", "mtime", "size"], "left_anti")
     judged = files.withColumn("why", admission(F.col("path"), F.col("size")))
     wanted = F.col("why").isin(*TAKEN, *(["media"] if media is not None else []))
-    sniffed = admission(F.col("path"), F.col("size"), F.col("content"))
-    fetched = contents_of(judged.where(wanted), read).withColumn("why", F.when(F.col("content").isNull(), "unreadable").when(F.col("why") == "sniffed", sniffed).otherwise(F.col("why")))
-    x = extract(F.col("content"), F.col("path"), media)
-    done = fetched.withColumn("x", F.when(F.col("why").isin(*TAKEN, "media"), x)).drop("content")
+    x = extract(F.col("text"), F.col("path"), media)
     taken = F.coalesce(F.trim("x.text") != "", F.lit(False))
-    docs = done.where(taken).select(
+
+    def done(whole: bool) -> DataFrame:
+        return texts_of(judged.where(wanted), read, whole, media is not None).withColumn("x", F.when(F.col("why").isin(*TAKEN, "media"), x)).drop("content", "text")
+
+    docs = done(True).where(taken).select(
         F.xxhash64("path").alias("doc_id"), "path", "mtime", "size", X.language_of(F.col("path")).alias("lang"), X.line_count(F.col("x.text")).alias("n_lines"),
         "x.text", "x.method", F.lit(False).alias("is_dir"),
     )
     folders = folder_rows(every.where("kind = 'dir'")).select(F.xxhash64("path").alias("doc_id"), *(c for c in docs.columns if c != "doc_id"))
     why = F.when(F.col("why").isin(*TAKEN, "media"), "no_text_content").otherwise(F.col("why"))
-    late = done.where(~taken).select("path", "size", why.alias("reason"), F.col("mtime").alias("seen"))
+    late = done(False).where(~taken).select("path", "size", why.alias("reason"), F.col("mtime").alias("seen"))
     skipped = judged.where(~wanted).select("path", "size", F.col("why").alias("reason"), F.col("mtime").alias("seen"))
     unlisted = every.where("kind = 'skipped'").select("path", "size", "reason", F.col("mtime").alias("seen"))
     return docs.unionByName(folders), skipped.unionByName(late).unionByName(unlisted)

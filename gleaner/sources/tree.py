@@ -13,7 +13,10 @@ that file.
 
 The driver looks for about ``subtrees`` directories, widest first, and lists no file:
 each becomes a partition that an executor walks. A directory with more
-children than that is dealt to several partitions by the hash of their names.
+children than that is dealt to several partitions by the hash of their names,
+and each of these lists it; with the option ``later`` one partition lists it, once, and
+gives its directories the kind ``open``: nothing below them is listed yet. ``tree``
+exchanges these and has them walked.
 Folders on disk are read by the operating system, other stores through pyarrow.
 """
 
@@ -105,16 +108,16 @@ def local(root: str) -> str | None:
 
 
 class Part(InputPartition):
-    """A directory: its own entries only, or (``deep``) all below those whose name's hash is ``slot`` of ``slots``."""
+    """A directory: its own entries only (``later``: its directories are still to be walked), or (``deep``) all below those whose name's hash is ``slot`` of ``slots``."""
 
-    def __init__(self, folder: str, deep: bool, slot: int = 0, slots: int = 1):
+    def __init__(self, folder: str, deep: bool, slot: int = 0, slots: int = 1, later: bool = False):
         super().__init__(None)
-        self.folder, self.deep, self.slot, self.slots = folder, deep, slot, slots
+        self.folder, self.deep, self.slot, self.slots, self.later = folder, deep, slot, slots, later
 
 
 class TreeReader(DataSourceReader):
-    def __init__(self, root: str, pruned: set[str], subtrees: int):
-        self.root, self.skip, self.subtrees = (local(root) or root).rstrip("/") or "/", pruned, subtrees
+    def __init__(self, root: str, pruned: set[str], subtrees: int, later: bool = False):
+        self.root, self.skip, self.subtrees, self.later = (local(root) or root).rstrip("/") or "/", pruned, subtrees, later
 
     def store(self) -> Disk | Store:
         return Disk() if local(self.root) else Store(self.root)
@@ -134,7 +137,9 @@ class TreeReader(DataSourceReader):
             folder = deep.popleft()
             room = self.subtrees - len(deep) - len(parts)
             inner = list(islice((r[0] for r in self.entries(store, folder) if r[3] == "dir"), room))
-            if len(inner) == room:  # so wide that its children are dealt by hash
+            if len(inner) == room and self.later:
+                parts.append(Part(folder, False, later=True))
+            elif len(inner) == room:  # so wide that its children are dealt by hash
                 parts += [Part(folder, True, i, room) for i in range(room)]
             else:
                 parts.append(Part(folder, False))
@@ -150,9 +155,13 @@ class TreeReader(DataSourceReader):
         below = []
         for row in self.entries(store, part.folder):
             if mine(row[0]):
-                yield row
+                yield (*row[:3], "open", None) if part.later and row[3] == "dir" else row
                 if part.deep and row[3] == "dir":
                     below.append(row[0])
+        yield from self.below(store, below)
+
+    def below(self, store: Disk | Store, below: list[str]) -> Iterator[Row]:
+        """All that lies below these directories."""
         while below:
             for row in self.entries(store, below.pop()):
                 yield row
@@ -160,13 +169,35 @@ class TreeReader(DataSourceReader):
                     below.append(row[0])
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
-        rows = self.rows(partition)
-        while part := list(islice(rows, ROWS)):
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), _ARROW, strict=True)], schema=_ARROW)
+        return batches(self.rows(partition))
+
+    def walk(self, found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows as they are, and after each ``open`` directory all that lies below it."""
+        store = self.store()
+
+        def rows() -> Iterator[Row]:
+            for batch in found:
+                for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if row[3] == "open":
+                        yield (*row[:3], "dir", None)
+                        yield from self.below(store, [row[0]])
+                    else:
+                        yield row
+
+        return batches(rows())
+
+
+def record_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def batches(rows: Iterator[Row]) -> Iterator[pa.RecordBatch]:
+    while part := list(islice(rows, ROWS)):
+        yield record_batch(part, _ARROW)
 
 
 class Tree(DataSource):
-    """Options: path; include_deps (prune dotted names only); prune (false: nothing is pruned); subtrees (256)."""
+    """Options: path; include_deps (prune dotted names only); prune (false: nothing is pruned); subtrees (256); later (false)."""
 
     @classmethod
     def name(cls) -> str:
@@ -176,13 +207,18 @@ class Tree(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> TreeReader:
-        deps, prune = (self.options.get(k, v).lower() == "true" for k, v in (("include_deps", "false"), ("prune", "true")))
-        pruned = {n for n in fixed.SKIP_DIRS if prune and (not deps or n.startswith("."))}
-        return TreeReader(self.options["path"], pruned, int(self.options.get("subtrees", "256")))
+        deps, prune, later = (self.options.get(k, v).lower() == "true" for k, v in (("include_deps", "false"), ("prune", "true"), ("later", "false")))
+        return TreeReader(self.options["path"], pruned_names(deps, prune), int(self.options.get("subtrees", "256")), later)
+
+
+def pruned_names(include_deps: bool, prune: bool) -> set[str]:
+    return {n for n in fixed.SKIP_DIRS if prune and (not include_deps or n.startswith("."))}
 
 
 def tree(spark: SparkSession, root: str, include_deps: bool = False, prune: bool = True, subtrees: int = 256) -> DataFrame:
-    """path, mtime, size, kind, reason of everything below ``root``."""
+    """path, mtime, size, kind, reason of everything below ``root``; every directory is listed by one task, once."""
     spark.dataSource.register(Tree)
     reader = spark.read.format("tree").option("path", root).option("include_deps", str(include_deps)).option("prune", str(prune)).option("subtrees", subtrees)
-    return reader.load()
+    walker = TreeReader(root, pruned_names(include_deps, prune), subtrees)
+    found = reader.option("later", "true").load().repartition(4 * spark.sparkContext.defaultParallelism, "path")
+    return found.mapInArrow(walker.walk, SCHEMA)

@@ -61,6 +61,45 @@ def test_a_wide_directory_is_dealt_by_name(tmp_path):
     assert len({r[0] for p in parts for r in reader.rows(p)}) == 80
 
 
+def test_a_wide_directory_is_listed_once(spark, tmp_path, monkeypatch):
+    from gleaner.sources.tree import Disk, batches
+
+    for i in range(40):
+        (tmp_path / f"d{i}" / "in").mkdir(parents=True)
+        (tmp_path / f"d{i}" / "in" / "f.txt").write_text("x")
+    listed, entries = [], Disk.entries
+    monkeypatch.setattr(Disk, "entries", lambda self, folder: listed.append(folder) or entries(self, folder))
+    reader = TreeReader(str(tmp_path), set(), 8, later=True)
+    parts = reader.partitions()
+    assert len(parts) == 1
+    listed.clear()
+    found = [r for b in reader.walk(batches(reader.rows(parts[0]))) for r in b.to_pylist()]
+    assert len(listed) == len(set(listed)) == 81  # the root, and two below each of its directories
+    assert len({r["path"] for r in found}) == len(found) == 120 and {r["kind"] for r in found} == {"dir", "file"}
+    assert {tuple(r) for r in tree(spark, str(tmp_path), subtrees=8).collect()} == {tuple(r.values()) for r in found}
+
+
+def test_files_are_read_and_decoded_in_one_step(spark, tmp_path):
+    held = {"a.md": b"a\r\nb", "nul": b"x\0y", "late": b"x" * 9000 + b"\0", "blank.md": b"   ", "lines.md": b"\n\n ", "empty.md": b"", "bad.md": b"\xff ok", ".pdf": b"text", "p.png": b"pixels", "none.md": b"gone"}
+    for name, content in held.items():
+        (tmp_path / name).write_bytes(content)
+
+    def read(path):
+        if path.endswith("none.md"):
+            raise OSError(path)
+        return files.opened(path)
+
+    def told(**how):
+        docs, ledger = files.ingest(spark, str(tmp_path), read=read, **how)
+        assert docs._jdf.queryExecution().executedPlan().toString().count("Python") == ledger._jdf.queryExecution().executedPlan().toString().count("Python") == 0
+        return {os.path.basename(r.path): r.text for r in docs.collect()}, {os.path.basename(r.path): r.reason for r in ledger.collect()}
+
+    text = {"a.md": "a\nb", "late": "x" * 4000 + " …[line truncated]", "lines.md": "\n\n ", "bad.md": "\ufffd ok"}
+    why = {"nul": "unknown_ext", "blank.md": "no_text_content", "empty.md": "no_text_content", "none.md": "unreadable"}
+    assert told() == (text, why | {".pdf": "no_text_content", "p.png": "media"})
+    assert told(media=F.concat(F.lit("of "), F.col("content").cast("string"))) == (text | {".pdf": "of text", "p.png": "of pixels"}, why)
+
+
 def test_odd_roots(spark, tmp_path):
     assert [(r.kind, r.reason) for r in tree(spark, f"{tmp_path}/none").collect()] == [("skipped", "root_missing")]
     assert tree(spark, str(tmp_path)).count() == 0
