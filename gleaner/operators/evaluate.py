@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as X
+from gleaner.sources.shared import kept, remove
 
 
 def paraphrases(pairs: DataFrame, stop: list[str], most: float = 0.34) -> DataFrame:
@@ -31,6 +33,8 @@ def recall_and_mrr(ranked: DataFrame, cases: DataFrame, k: int = 10) -> DataFram
 
 #: A sentence that can be a case, the words counted in it, and how many it must have.
 SENTENCE, WORD, WORDS = r"[^.!?\n]{70,140}[.!?]", "[A-Za-z]{3,}", 8
+#: Characters of sentences that were looked for at once, from which on no more documents are taken.
+CHARS = 1 << 20
 
 
 def _mark(*parts: Column) -> Column:
@@ -38,13 +42,24 @@ def _mark(*parts: Column) -> Column:
     return F.md5(F.concat_ws(":", *(p.cast("string") for p in parts)))
 
 
-def sentences(docs: DataFrame, least: int = 20, most: int = 4000) -> DataFrame:
-    """doc_id, place, phrase, words: the sentences of documents of so many lines that no other document has as a sentence of its own."""
-    long = docs.where(F.col("n_lines").between(least, most))
-    each = long.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0))).alias("place", "phrase")).withColumn("phrase", F.trim("phrase"))
-    own = each.withColumn("words", F.regexp_extract_all("phrase", F.lit(WORD), F.lit(0))).where(F.size("words") >= WORDS).withColumn("hash", F.xxhash64("phrase"))
-    shared = own.groupBy("hash").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("hash")
-    return own.join(shared, "hash", "left_anti").drop("hash")
+#: What a text falls into, in one walk of it: up to the next end of a sentence or line, or of the text.
+_PIECE = r"[^.!?\n]*+(?:[.!?\n]|\z)"
+
+
+def sentences(docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` but the text, place, phrase: what SENTENCE finds in the text, where it has enough words.
+
+    SENTENCE itself looks at up to 140 characters from every character on; of a piece that ends a sentence it finds the last 141, if the piece has 71.
+    """
+    ends = F.filter(F.regexp_extract_all("text", F.lit(_PIECE), F.lit(0)), lambda x: (F.length(x) > 70) & ~x.endswith("\n") & F.right(x, F.lit(1)).isin(".", "!", "?"))
+    each = docs.select(*(c for c in docs.columns if c != "text"), F.posexplode(F.transform(ends, lambda x: F.trim(F.right(x, F.lit(141))))).alias("place", "phrase"))
+    return each.where(F.regexp_count("phrase", F.lit(WORD)) >= WORDS)
+
+
+def single(docs: DataFrame, least: int = 20, most: int = 4000) -> DataFrame:
+    """doc_id, hash of the sentences of documents of so many lines that no other document has as a sentence of its own; narrow rows only are exchanged."""
+    each = sentences(docs.select("doc_id", "text", F.col("n_lines").between(least, most).alias("long"))).select("doc_id", F.xxhash64("phrase").alias("hash"), "long")
+    return each.groupBy("hash").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.max("long").alias("long")).where("long AND NOT coalesce(doc_id < last, false)").select("doc_id", "hash")
 
 
 def holders(docs: DataFrame, phrases: list[str]) -> dict[str, int]:
@@ -71,24 +86,34 @@ def holders(docs: DataFrame, phrases: list[str]) -> dict[str, int]:
 def cases(docs: DataFrame, n: int = 24, seed: int = 7, least: int = 20, most: int = 4000) -> DataFrame:
     """case_id, wanted, phrase, words: ``n`` documents in seeded order, each with its first sentence that stands in no other document.
 
-    A sentence that others have as a sentence goes at once, by counts of hashes; the rest is
-    looked for in all texts, for a few documents at a time, until there are enough.
+    A sentence that others have as a sentence goes at once, by counts of hashes, which are taken once; the rest is
+    looked for in all texts, for a few documents at a time and then for more, until there are enough.
     """
     spark = docs.sparkSession
-    own = sentences(docs, least, most).withColumn("mark", _mark(F.col("doc_id"), F.lit(seed)))
+    own, folder = kept(spark, single(docs, least, most), "sentences")
+    own = own.withColumn("mark", _mark(F.col("doc_id"), F.lit(seed)))
     found: list[tuple] = []
     after, step = "", 4 * n
     while len(found) < n:
-        first = own.where(F.col("mark") > after).groupBy("mark", "doc_id").agg(F.sort_array(F.collect_list(F.struct("place", "phrase", "words"))).alias("s")).orderBy("mark", "doc_id").limit(step)
-        some = first.collect()  # the sentences of a few documents
-        known = holders(docs, sorted({x.phrase for r in some for x in r.s}))
+        first = own.where(F.col("mark") > after).groupBy("mark", "doc_id").agg(F.collect_set("hash").alias("hashes")).orderBy("mark", "doc_id").limit(step)
+        some = first.collect()  # hashes of the sentences of a few documents
+        ids = [r.doc_id for r in some]
+        theirs = docs.where(F.col("doc_id").isin([i for i in ids if i is not None]) | (F.col("doc_id").isNull() & F.lit(None in ids)))
+        theirs = sentences(theirs.where(F.col("n_lines").between(least, most)).select("doc_id", "text"))
+        held: dict = {r.doc_id: (set(r.hashes), []) for r in some}
+        for r in theirs.select("doc_id", "place", "phrase", F.xxhash64("phrase").alias("hash")).collect() if some else []:
+            if r.hash in held[r.doc_id][0]:
+                held[r.doc_id][1].append((r.place, r.phrase))
+        phrases = sorted({phrase for _, each in held.values() for _, phrase in each})
+        known = holders(docs, phrases)
         for r in some:
-            unique = next((x for x in r.s if known.get(x.phrase, 0) == 1), None)
+            unique = next((phrase for _, phrase in sorted(held[r.doc_id][1]) if known.get(phrase, 0) == 1), None)
             if unique is not None and len(found) < n:
-                found.append((len(found), r.doc_id, unique.phrase, unique.words))
+                found.append((len(found), r.doc_id, unique, re.findall(WORD, unique)))
         if len(some) < step:
             break
-        after = some[-1].mark
+        after, step = some[-1].mark, step if sum(map(len, phrases)) > CHARS else 4 * step
+    remove(spark, folder)
     return spark.createDataFrame(found, "case_id long, wanted long, phrase string, words array<string>")
 
 

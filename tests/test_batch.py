@@ -152,6 +152,36 @@ def test_cases_equal_brute_force(spark):
     assert evaluate.cases(docs.limit(0)).collect() == []
 
 
+def test_sentences_in_one_walk(spark):
+    """What the pattern finds, at the edges of its lengths; no sentence is exchanged to count it."""
+    import random
+
+    rng = random.Random(3)
+    run = lambda n: "".join(rng.choice("aeiou" * 4 + "   \t\r\u00e9\U0001f600") for _ in range(n))
+    texts = ["".join(run(rng.choice([0, 3, 69, 70, 71, 139, 140, 141, 142, 300])) + rng.choice(".!?\n") for _ in range(12)) + run(200) for _ in range(60)]
+    texts += ["", "\n", ".", run(5000), run(70) + ".", run(69) + "!", (run(140) + "?") * 2]
+    docs = spark.createDataFrame([(i, t, 30) for i, t in enumerate(texts)] + [(900, None, 30)], "doc_id long, text string, n_lines int")
+    want = [(i, p, x.strip(" ")) for i, t in enumerate(texts) for p, x in enumerate(re.findall(evaluate.SENTENCE, t)) if len(re.findall(evaluate.WORD, x)) >= evaluate.WORDS]
+    assert len(want) > 100
+    assert sorted((r.doc_id, r.place, r.phrase) for r in evaluate.sentences(docs.select("doc_id", "text")).collect()) == want
+    plan = evaluate.single(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_cases_where_few_sentences_are_single(spark, monkeypatch):
+    """Sentences within longer ones of another document: looked for in few walks of the texts, not a few documents at a time."""
+    import hashlib
+
+    last = max(range(300), key=lambda i: hashlib.md5(f"{i}:7".encode()).hexdigest())
+    sentence = lambda i: f"Number {i:04} has many words that stand together in one single sentence of some length."
+    rows = [(i, sentence(i) + "\nx" * 5, 6) for i in range(300)] + [(900, "\n".join("But " + sentence(i) for i in range(300) if i != last), 300)]
+    asked, holders = [], evaluate.holders
+    monkeypatch.setattr(evaluate, "holders", lambda docs, phrases: asked.append(len(phrases)) or holders(docs, phrases))
+    got = evaluate.cases(spark.createDataFrame(rows, "doc_id long, text string, n_lines int"), 1, least=5, most=50).collect()
+    assert [(r.wanted, r.phrase) for r in got] == [(last, sentence(last))]
+    assert sum(asked) == 300 and len(asked) <= 5
+
+
 def test_keyword_batch_by_terms(spark, docs):
     postings = S.postings(docs)
     n, avgdl = docs.select(F.size(F.regexp_extract_all("text", F.lit("[A-Za-z_][A-Za-z0-9_]*|[0-9]+"), F.lit(0))).alias("d")).agg(F.count("*"), F.avg("d")).first()
